@@ -71,7 +71,7 @@ class _Gains(dict):
     def __missing__(self, window: bytes) -> int:
         if len(self) >= self.most:
             self.clear()
-        padded = _PRIMER + b" " + window + b" "
+        padded = _PRIMER + b" " + window + b" " + _PRIMER  # no match starts in the last bytes of an input
         self[window] = gain = len(self.pair[0](padded)) - len(self.pair[1](padded))
         return gain
 
