@@ -124,7 +124,7 @@ def _large_runs(large: list[tuple[int, int]], capacity: int, groups: int) -> lis
     return runs
 
 
-def plan(histogram: dict[int, int], capacity: int, groups: int = 256, small: int = 8) -> list[Run]:
+def plan(histogram: dict[int, int], capacity: int, groups: int = 512, small: int = 3) -> list[Run]:
     """Runs of alike sequences that hold every item of the histogram."""
     lengths = sorted((length for length in histogram if histogram[length]), reverse=True)
     if any(not 0 < length <= capacity for length in lengths):
