@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import media, mixing, packing, toxicity, warc
+from . import jaccard, media, mixing, packing, toxicity, warc
 from ._shared import fold, map_rows
 
 
@@ -80,6 +80,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     bundles = warc.write_bundles(table(spark, sf_dir, "pages"))
     return warc.read_bundles(bundles).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -92,6 +96,7 @@ QUERIES = {
         op4_toxicity,
         op5_media_columns,
         op7_mixing,
+        op8_jaccard_join,
         op9_warc,
     )
 }
