@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import jaccard, media, mixing, packing, toxicity, warc
+from . import jaccard, lm, media, mixing, packing, toxicity, warc
 from ._shared import fold, map_rows
 
 
@@ -72,6 +72,12 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored, model = lm.train_and_score(docs, F.coalesce(fold("doc_id", 5), F.lit(0)) != 1)
+    return scored.select("doc_id", (fold("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     rows, sizes, targets = mixing.mix_sources(docs)
@@ -95,6 +101,7 @@ QUERIES = {
         op2_best_fit_packing,
         op4_toxicity,
         op5_media_columns,
+        op6_lm_scoring,
         op7_mixing,
         op8_jaccard_join,
         op9_warc,
