@@ -3,15 +3,12 @@
 from __future__ import annotations
 
 import functools
-import hashlib
-import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from . import jaccard, lm, media, mixing, packing, toxicity, warc
-from ._shared import fold, map_rows
+from . import jaccard, lm, media, mixing, packing, pii, toxicity, warc
+from ._shared import fold
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,44 +28,31 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, encoder_files(), keep_ids=False)
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.fit(docs))
+    return found.select("doc_id", *((F.size(F.split("base", f"{kind}:")) - 1).cast("long").alias(f"n_{kind}") for kind in pii.KINDS), F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
-    model = toxicity.fit(toxicity.sample_rows(training_rows(docs, labels)))
+    model = toxicity.fit(toxicity.sample_rows(docs, training_labels(labels)))
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted", "n_windows", "top_gain")
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labelled rows outside the held-out fold."""
-    known = labels.where((fold("doc_id", 4) != 2) & F.col("toxic").isNotNull()).select("doc_id", "toxic")
-    return docs.select("doc_id", "text").join(known, "doc_id")
+def training_labels(labels: DataFrame) -> DataFrame:
+    """Labels outside the held-out fold."""
+    return labels.where(fold("doc_id", 4) != 2).select("doc_id", "toxic")
 
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    read = media.tiles(media.text_images(docs), samples=True)
-
-    def make():
-        def step(batch):
-            out: dict[str, list] = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "tile_sha256")}
-            for name in ("samples", "media", "tile"):
-                out[name] = batch.column(batch.schema.get_field_index(name))
-            for samples, stored, tile in zip(out.pop("samples"), out.pop("media"), out.pop("tile")):
-                payload, raw = samples.as_py(), stored.as_py()
-                out["payload_bytes"].append(len(payload))
-                out["payload_sha256"].append(hashlib.sha256(payload).hexdigest())
-                out["tail_crc32"].append(zlib.crc32(payload[-32:]))
-                out["media_bytes"].append(len(raw))
-                out["media_sha256"].append(hashlib.sha256(raw).hexdigest())
-                out["tile_sha256"].append(hashlib.sha256(tile.as_py()).hexdigest())
-            return out
-
-        return step
-
-    long, text = T.LongType(), T.StringType()
-    return map_rows(
-        read, make, *(T.StructField(k, t) for k, t in (("payload_bytes", long), ("payload_sha256", text), ("tail_crc32", long), ("media_bytes", long), ("media_sha256", text), ("tile_sha256", text))),
-        keep=["doc_id", "n_bytes", "feature", "height", "width"],
+    read = media.text_tiles(docs)
+    return read.select(
+        "doc_id", "n_bytes", F.length("samples").cast("long").alias("payload_bytes"), F.sha2("samples", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(samples, -32, 32)")).alias("tail_crc32"), F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"),
+        "feature", "height", "width", F.sha2("tile", 256).alias("tile_sha256"),
     )
 
 
@@ -99,6 +83,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op2_best_fit_packing,
+        op3_personal_data,
         op4_toxicity,
         op5_media_columns,
         op6_lm_scoring,
