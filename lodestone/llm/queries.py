@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, lm, media, mixing, packing, pii, toxicity, warc
+from . import ann, jaccard, lm, media, mixing, packing, pii, toxicity, warc
 from ._shared import fold
 
 
@@ -79,6 +79,10 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_bundles(bundles).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -90,6 +94,7 @@ QUERIES = {
         op7_mixing,
         op8_jaccard_join,
         op9_warc,
+        op10_nearest_neighbours,
     )
 }
 
