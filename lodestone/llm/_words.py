@@ -19,6 +19,8 @@ _LOWER[65:91] += 32
 _LOWER += 1  # a byte 0 counts too
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
+_SPLIT = np.zeros(256, bool)  # for words of letters and digits only
+_SPLIT[:128] = [not chr(i).isalnum() for i in range(128)]
 _tables: list[np.ndarray] = []
 
 
@@ -54,12 +56,15 @@ def text_parts(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, np.
         at = to
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, and where each document's begin (one more than documents)."""
+def words(data: np.ndarray, offsets: np.ndarray, alnum: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and where each document's begin (one more than documents).
+
+    ``alnum``: a word is a run of anything but ASCII blanks, signs and marks.
+    """
     n = len(data)
     if not n:
         return np.empty(0, np.uint64), np.zeros(len(offsets), np.int64)
-    space = _SPACE[data]
+    space = (_SPLIT if alnum else _SPACE)[data]
     first, last = np.empty(n, bool), np.empty(n, bool)
     first[0] = last[-1] = True
     first[1:], last[:-1] = space[:-1], space[1:]

@@ -114,7 +114,7 @@ def min_cost_flow(patterns: dict, members: dict, targets: dict, repeats: int = 2
     return flow
 
 
-def mix(docs: DataFrame, pattern: Column, members, targets, key: str = "doc_id", size: str = "size", repeats: int = 2, seed: int = 17, buckets: int = 1 << 16, max_patterns: int = 20_000) -> DataFrame:
+def mix(docs: DataFrame, pattern: Column, members, targets, key: str = "doc_id", size: str = "size", repeats: int = 2, seed: int = 17, buckets: int = 1 << 12, max_patterns: int = 20_000) -> DataFrame:
     """``docs`` (a written table) with ``copies`` and ``taken`` = copies x size.
 
     ``pattern``: a string naming the set of sources of a row. ``members`` maps a
@@ -158,10 +158,13 @@ def cycled(sources: list, weights: tuple[int, ...] = (3, 1, 2)) -> dict:
     return {s: weights[i % len(weights)] for i, s in enumerate(ordered)}
 
 
-def mix_sources(docs: DataFrame, source: str = "source", text: str = "text", key: str = "doc_id", ratio: float = 1.5, limit: int = 2, **options) -> tuple[DataFrame, dict, dict]:
-    """All documents by their source: (rows with taken words, sizes, targets)."""
-    columns = [c for c in (key, source) if c in docs.columns]
-    held = staged(with_words(docs.select(*columns, text)).drop(text), "sizes")
+def mix_sources(docs: DataFrame, source: str = "source", text: str = "text", key: str = "doc_id", ratio: float = 1.5, limit: int = 2, keep: list[str] | None = None, **options) -> tuple[DataFrame, dict, dict]:
+    """All documents by their source: (rows with taken words, sizes, targets).
+
+    Rows have the key, the source and ``size``, or ``size`` and the columns of ``keep``.
+    """
+    keep = [key, source] if keep is None else keep
+    held = staged(with_words(docs.select(*dict.fromkeys([*keep, key, source, text])), text).select(*keep, "size"), "sizes")
     goal: dict = {}
     total: dict = {}
 

@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, jaccard, lm, media, mixing, packing, pii, toxicity, warc
+from . import ann, jaccard, licenses, lm, media, mixing, packing, pii, toxicity, warc
 from ._shared import fold
 
 
@@ -23,6 +23,10 @@ def encoder_files() -> tuple[str, str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack(docs, encoder_files(), keep_ids=False)
@@ -86,6 +90,7 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_license_scan,
         op2_best_fit_packing,
         op3_personal_data,
         op4_toxicity,
