@@ -57,11 +57,13 @@ def map_rows(
     make: Callable[[], Callable[[pa.RecordBatch], dict[str, object]]],
     *added: T.StructField,
     keep: list[str] | None = None,
+    rows: int = 512,
 ) -> DataFrame:
     """``df`` with columns computed from whole Arrow batches.
 
     ``make`` runs once a task and returns a function from a batch to the added
-    columns; kept input columns pass through unchanged.
+    columns; kept input columns pass through unchanged. Batches are worked on in
+    parts of ``rows``, so that memory doesn't follow Arrow's batch size.
     """
     names = {f.name for f in added}
     kept = [c for c in (df.columns if keep is None else keep) if c not in names]
@@ -70,8 +72,8 @@ def map_rows(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for batch in slices(whole, rows):
                 made = step(batch)
                 cols = [batch.column(batch.schema.get_field_index(c)) for c in kept]
                 cols += [

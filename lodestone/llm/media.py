@@ -182,24 +182,46 @@ def text_images(docs: DataFrame, text: str = "text", form: str = "netpbm") -> Da
     return map_rows(docs, make, T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType()), keep=[c for c in docs.columns if c != text])
 
 
-def tiles(images: DataFrame, media: str = "media", side: int = 32, samples: bool = False) -> DataFrame:
+def _read(data: bytes | None, side: int, samples: bool) -> tuple:
+    """tile, height, width, feature, samples of stored bytes; nulls if they are damaged."""
+    try:
+        pixels = decode(bytes(data))
+        return npy_bytes(area_resize(pixels, side, side)), pixels.shape[0], pixels.shape[1], difference_hash(pixels), pixels.tobytes() if samples else None
+    except (ValueError, TypeError, IndexError, struct.error, OverflowError):
+        return (None,) * 5
+
+
+_TILE = [T.StructField("tile", T.BinaryType()), T.StructField("height", T.IntegerType()), T.StructField("width", T.IntegerType()), T.StructField("feature", T.StringType())]
+
+
+def tiles(images: DataFrame, media: str = "media", side: int = 32) -> DataFrame:
     """Adds ``tile`` (NPY bytes of a side x side area-resized image), ``height``,
-    ``width``, ``feature`` (difference hash) and, if asked, ``samples``: the
-    decoded pixels as bytes."""
-    extra = [T.StructField("samples", T.BinaryType())] if samples else []
+    ``width`` and ``feature`` (difference hash)."""
 
     def make():
-        def one(data):
-            try:
-                pixels = decode(bytes(data))
-                return npy_bytes(area_resize(pixels, side, side)), pixels.shape[0], pixels.shape[1], difference_hash(pixels), pixels.tobytes() if samples else None
-            except (ValueError, TypeError, IndexError, struct.error, OverflowError):
-                return (None,) * 5
+        def step(batch):
+            found = [_read(x, side, False) for x in batch.column(batch.schema.get_field_index(media)).to_pylist()]
+            return {f.name: [x[i] for x in found] for i, f in enumerate(_TILE)}
+
+        return step
 
+    return map_rows(images, make, *_TILE, rows=256)
+
+
+def text_tiles(docs: DataFrame, text: str = "text", form: str = "netpbm", side: int = 32) -> DataFrame:
+    """:func:`text_images` and :func:`tiles` in one pass, with ``samples``: the
+    pixels that were read back from the stored bytes."""
+    encode = encode_bmp if form == "bmp" else encode_netpbm
+    names = ("tile", "height", "width", "feature", "samples")
+
+    def make():
         def step(batch):
-            found = [one(x) for x in batch.column(batch.schema.get_field_index(media)).to_pylist()]
-            return {k: [x[i] for x in found] for i, k in enumerate(("tile", "height", "width", "feature", "samples"))}
+            found = [text_payload(t) for t in strings(batch, text)]
+            stored = [encode(payload_image(p)) for _, p in found]
+            read = [_read(x, side, True) for x in stored]
+            return {"n_bytes": [n for n, _ in found], "media": stored} | {k: [x[i] for x in read] for i, k in enumerate(names)}
 
         return step
 
-    return map_rows(images, make, T.StructField("tile", T.BinaryType()), T.StructField("height", T.IntegerType()), T.StructField("width", T.IntegerType()), T.StructField("feature", T.StringType()), *extra)
+    first = [T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())]
+    return map_rows(docs, make, *first, *_TILE, T.StructField("samples", T.BinaryType()), keep=[c for c in docs.columns if c != text], rows=128)
