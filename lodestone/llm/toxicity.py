@@ -158,24 +158,35 @@ def fit(rows: list[tuple[str | None, int]], dict_bytes: int = 4096, base_bytes:
     return ToxicityModel(model.ordinary, model.toxic, tuple(map(float, weights)))
 
 
-def sample_rows(labelled: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", max_sample: int = 6000, max_chars: int = 40_000_000) -> list[tuple[str, int]]:
+def sample_rows(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", max_sample: int = 6000, max_chars: int = 40_000_000) -> list[tuple[str, int]]:
     """At most ``max_sample`` labelled rows in an order fixed by a hash of the key.
 
-    ``max_chars`` bounds the driver's memory as well: lengths are looked at
-    first, and rows past the bound are left out of the fit.
+    The labels are cut first, so that what is broadcast to fetch the texts is
+    ``max_sample`` rows at most and no text is shuffled. ``max_chars`` bounds
+    the driver's memory: lengths are looked at before any text is sent, and rows
+    past the bound are left out of the fit.
     """
     order = F.xxhash64(F.col(key).cast("string"), F.lit("toxicity"))
-    rows = labelled.where(F.col(label).isNotNull()).select(order.alias("_o"), F.col(key).alias("_k"), F.coalesce(F.col(text), F.lit("")).alias("_t"), F.col(label).cast("int").alias("_y"))
-    sizes = rows.select("_o", "_k", F.length("_t").alias("_n")).orderBy("_o", "_k").limit(max_sample).collect()
+    drawn = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(order.alias("_o"), F.col(key).alias("_k"), F.col(label).cast("int").alias("_y"))
+    drawn = drawn.orderBy("_o", "_k", "_y").limit(max_sample).toLocalIterator()
+    chosen = [tuple(r) for r in drawn]
+    if not chosen:
+        return []
+    spark = docs.sparkSession
+
+    def fetched(rows):
+        few = F.broadcast(spark.createDataFrame(rows, "_o long, _k long, _y int"))
+        return docs.select(F.col(key).cast("long").alias("_d"), F.coalesce(F.col(text), F.lit("")).alias("_t")).join(few, F.col("_d") == F.col("_k"))
+
+    sizes = sorted((r["_o"], r["n"]) for r in fetched(chosen).groupBy("_o").agg(F.sum(F.length("_t")).alias("n")).collect())
     total, last = 0, None
-    for r in sizes:
-        total += r["_n"]
+    for o, n in sizes:
+        total += n
         if total > max_chars:
             break
-        last = r["_o"]
-    if last is None:
-        return []
-    return [(r["_t"], r["_y"]) for r in rows.where(F.col("_o") <= last).orderBy("_o", "_k").collect()]
+        last = o
+    kept = [r for r in chosen if last is not None and r[0] <= last]
+    return [(r["_t"], r["_y"]) for r in sorted(fetched(kept).select("_o", "_k", "_y", "_t").collect())] if kept else []
 
 
 def score(docs: DataFrame, model: ToxicityModel, text: str = "text", threshold: float = 0.3) -> DataFrame:
