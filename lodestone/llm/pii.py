@@ -93,7 +93,7 @@ def told(spans: list[Span]) -> str:
 
 
 # The field. Label 0 is outside; label i + 1 is KINDS[i].
-_TRIGGER = re.compile(r"[0-9](?:[ ().+/\[\]-]{0,3}[0-9]){6,}|[(\[{] ?(?:at|AT) ?[)\]}]|\S ?@ ?\S")
+_TRIGGER = re.compile(r"(?<![0-9])[0-9]{1,3}(?: ?[\[(]?\.[\])]? ?[0-9]{1,3}){3}(?![0-9])|[0-9](?:[ ().+/\[\]-]{0,3}[0-9]){6,}|[(\[{] ?(?:at|AT) ?[)\]}]|\S ?@ ?\S")
 _TOKEN = re.compile(r"\S+")
 _EDGE = "\"'`,;:!?*#$%&|<>~^=_"
 _CUES = (("mail", "contact", "write"), ("ip", "host", "server", "addr"), ("card", "visa", "credit", "pay"), ("tel", "phone", "call", "fax", "mobile"))
@@ -314,7 +314,7 @@ def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", max_sample: in
     return train(found) if any(s for _, s in found) else None
 
 
-def added_spans(text: str, field: Field, base: list[Span], least: float = 0.9) -> list[Span]:
+def added_spans(text: str, field: Field, base: list[Span], least: float = 0.8) -> list[Span]:
     """What the field finds beyond the base spans."""
     out: list[Span] = []
     at, done = 0, 0
