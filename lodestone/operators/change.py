@@ -42,8 +42,8 @@ def classify(shapes: DataFrame) -> DataFrame:
 
 
 def confidence():
-    """0.4 and up to 0.3 each for solidity and area."""
-    return F.round(F.least(F.lit(1.0), F.lit(0.4) + F.lit(0.3) * F.least("solidity", F.lit(1.0)) + F.lit(0.3) * F.least(F.col("area") / 5000, F.lit(1.0))), 3)
+    """0.4 and up to 0.3 each for solidity and area; the billionth settles ties upwards."""
+    return F.round(F.least(F.lit(1.0), F.lit(0.4) + F.lit(0.3) * F.least("solidity", F.lit(1.0)) + F.lit(0.3) * F.least(F.col("area") / 5000, F.lit(1.0))) + F.lit(1e-9), 3)
 
 
 def legend(events: DataFrame) -> DataFrame:

@@ -123,7 +123,7 @@ FUSED = """SELECT base, i, x / sqrt(sum(x * x) OVER (PARTITION BY base)) AS x FR
 ASSIGN = "SELECT tile_id, CAST(list_position(s, list_max(s)) - 1 AS BIGINT) AS cluster FROM (SELECT tile_id, [" + ", ".join(dot(i) for i in range(8)) + "] AS s FROM tile_catalog)"
 KEEP = "x > 15 AND y > 15 AND x + w < 785 AND y + h < 785"
 TYPE = "CASE WHEN category LIKE '%Clearance%' AND solidity > 0.5 AND area > 1000 THEN 'Agricultural Harvest' WHEN category = 'Construction' AND is_linear AND aspect >= 3 AND compactness <= 0.2 THEN 'Road Development' ELSE category END"
-CONFIDENCE = "round(least(1::DOUBLE, 0.4::DOUBLE + 0.3::DOUBLE * least(solidity, 1::DOUBLE) + 0.3::DOUBLE * least(area / 5000, 1::DOUBLE)), 3)"
+CONFIDENCE = "round(least(1::DOUBLE, 0.4::DOUBLE + 0.3::DOUBLE * least(solidity, 1::DOUBLE) + 0.3::DOUBLE * least(area / 5000, 1::DOUBLE)) + 0.000000001::DOUBLE, 3)"
 SCENES = "(SELECT *, coalesce(cloud_cover, 100::DOUBLE) AS cc FROM scenes)"
 SEARCH = f"""SELECT path, placename, layer, round(raw, 2) AS score, coalesce(CAST(acq_date AS VARCHAR), 'Unknown') AS acq_day, round(cloud_conf, 6) AS cloud_conf, round(shadow_conf, 6) AS shadow_conf FROM (
   SELECT {PATH} AS path, *, 100 * {dot(0)} AS raw FROM ({SHARES}) WHERE (acq_date IS NULL OR acq_date BETWEEN DATE '2024-02-01' AND DATE '2024-12-31'))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo, text, vectors
-from ..operators import catalog, change, ingest, quality, raster, review, search
+from ..operators import catalog, change, ingest, kernels, quality, raster, review, search
+from ..sources import sinks
 from ..sources.views import view
 
 AREA = (80.5, 26.5, 80.9, 26.9)
@@ -440,6 +441,44 @@ def event_confidence(spark, sf):
     return view(spark, sf, "shapes").select("event_id", change.confidence().alias("confidence"))
 
 
+def _large_pixels(spark, sf):
+    """Each chip enlarged eight times, so that changes are as large as shapes must be."""
+    p = view(spark, sf, "pixels")
+    step = lambda n: F.explode(F.sequence(F.lit(0), F.lit(7))).alias(n)
+    wide = p.select("*", step("dy")).select("*", step("dx"))
+    return wide.select("tile_id", "t", (F.col("y") * 8 + F.col("dy")).alias("y"), (F.col("x") * 8 + F.col("dx")).alias("x"), "r", "g", "b", "nir")
+
+
+@query
+def change_events(spark, sf):
+    found = kernels.change_shapes(_large_pixels(spark, sf), strict=False)
+    kept = change.classify(change.keep(found, width=256, height=256)).withColumn("confidence", change.confidence())
+    return kept.select("tile_id", "type", F.floor("area").cast("long").alias("area"), "center_x", "center_y", "confidence")
+
+
+@query
+def change_events_strict(spark, sf):
+    found = kernels.change_shapes(_large_pixels(spark, sf), strict=True)
+    return found.select("tile_id", "category", "is_global", F.floor("area").cast("long").alias("area"))
+
+
+@query
+def change_timeline(spark, sf):
+    found = kernels.change_shapes(_large_pixels(spark, sf), strict=False).where("not is_global")
+    lon, lat = geo.pixel_to_lonlat(F.lit(0), F.lit(0), F.lit(256), F.lit(256), tuple(F.lit(v) for v in (80.3, 26.4, 80.35, 26.45)))
+    points = F.transform("contour", lambda p: F.struct((lon + p["x"] * F.lit(0.05 / 256)).alias("lon"), (lat - p["y"] * F.lit(0.05 / 256)).alias("lat")))
+    feature = sinks.feature(geo.closed(points), event_type=F.col("category"), area_pixels=F.floor("area").cast("int"))
+    return found.select("tile_id", feature.alias("feature"))
+
+
+@query
+def search_geojson(spark, sf):
+    found = search.execute(_tiles(spark, sf).drop("label"), _vector(spark, sf, 0)[0], k=15)
+    held = found.join(_tiles(spark, sf).select("path", "min_lon", "min_lat"), "path")
+    box = (F.col("min_lon"), F.col("min_lat"), F.col("min_lon") + F.lit(0.045), F.col("min_lat") + F.lit(0.045))
+    return held.select("path", sinks.feature(geo.ring(box), path=F.col("path"), score=F.col("score"), layer=F.col("layer")).alias("feature"))
+
+
 # Vectors
 
 
