@@ -43,15 +43,15 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _tables[0], _tables[1]
 
 
-def text_parts(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bytes, offsets) for runs of rows of about ``most`` bytes; null is empty."""
+def text_parts(column: pa.Array, most: int = 1 << 20, rows: int = 1 << 14) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, offsets) for runs of at most ``rows`` rows of about ``most`` bytes; null is empty."""
     column = column.fill_null("").cast(pa.large_string())
     ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
     at = 0
     while at < len(column):
         to = max(at + 1, int(np.searchsorted(ends, ends[at] + most, "right")) - 1)
-        to = min(to, len(column))
+        to = min(to, at + rows, len(column))
         yield at, data[ends[at] : ends[to]], ends[at : to + 1] - ends[at]
         at = to
 

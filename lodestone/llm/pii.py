@@ -317,11 +317,10 @@ def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", max_sample: in
 def added_spans(text: str, field: Field, base: list[Span], least: float = 0.8) -> list[Span]:
     """What the field finds beyond the base spans."""
     out: list[Span] = []
-    at, done = 0, 0
+    done = 0
+    starts, ends = (np.array([s[i] for s in base], np.int64) for i in (1, 2))
     for m in _TRIGGER.finditer(text):
-        if m.start() < done:
-            continue
-        if any(a <= m.start() and m.end() <= b for _, a, b in base):
+        if m.start() < done or ((starts <= m.start()) & (m.end() <= ends)).any():
             continue
         lo, hi = m.start(), m.end()
         for _ in range(3):  # three tokens of context on each side, 64 characters at most
@@ -337,7 +336,7 @@ def added_spans(text: str, field: Field, base: list[Span], least: float = 0.8) -
             p, _ = posteriors(field, w)
             for j, d, y in zip(*np.nonzero(p[:, :, 1:] >= least)):
                 span = (KINDS[y], part[j - d][0], part[j][1])
-                if span not in out and not any(a < span[2] and span[1] < b for _, a, b in base + out):
+                if not ((starts < span[2]) & (span[1] < ends)).any() and not any(a < span[2] and span[1] < b for _, a, b in out[-64:]):
                     out.append(span)
             if at + 32 >= len(tokens):
                 break
