@@ -350,3 +350,82 @@ def change_shapes(pixels: DataFrame, strict: bool = True) -> DataFrame:
         return pa.Table.from_pylist(rows, schema=to_arrow_schema(SHAPES))
 
     return both.groupBy("tile_id").applyInArrow(one, SHAPES)
+
+
+def dehaze(chip: np.ndarray, omega: float = 0.82, size: int = 15) -> np.ndarray:
+    """Dark-channel haze removal of an (h, w, 3) chip; equal lights are taken row by row."""
+    c = chip / 255.0
+    dark = box_extreme(chip.min(axis=2), size, False).ravel()
+    n = max(dark.size // 1000, 1)
+    light = c.reshape(-1, 3)[np.argsort(-dark.astype(int), kind="stable")[:n]].mean(axis=0)
+    through = np.maximum(1 - omega * box_extreme((c / (light + 1e-6)).min(axis=2), size, False), 0.1)
+    return np.floor(np.clip((c - light) / through[:, :, None] + light, 0, 1) * 255).astype(np.uint8)
+
+
+def enhance(chip: np.ndarray, colour: float = 1.15, contrast: float = 1.10) -> np.ndarray:
+    """Colour away from luma, then contrast away from mean luma; r, g, b planes."""
+    luma = lambda p: (p.astype(int) @ np.array([299, 587, 114])) // 1000
+    pull = lambda p, to, by: np.floor(np.clip(to + by * (p.astype(float) - to), 0, 255)).astype(np.uint8)
+    one = pull(chip, luma(chip)[:, :, None].astype(float), colour)
+    return pull(one, np.floor(luma(one).mean() + 0.5), contrast)
+
+
+def match_histogram(chip: np.ndarray, template: np.ndarray) -> np.ndarray:
+    """Each plane's values moved to the template's at the same quantile."""
+    out = np.empty_like(chip)
+    for p in range(chip.shape[2]):
+        values, at, counts = np.unique(chip[:, :, p], return_inverse=True, return_counts=True)
+        goal, goals = np.unique(template[:, :, p], return_counts=True)
+        share = lambda c: c.cumsum() / c.sum()
+        out[:, :, p] = np.interp(share(counts), share(goals), goal)[at].reshape(chip.shape[:2]).astype(np.uint8)
+    return out
+
+
+def standardise(chip: np.ndarray, template: np.ndarray) -> np.ndarray:
+    """Dehaze, enhance, match to the band's reference and smooth."""
+    matched = match_histogram(enhance(dehaze(chip)), template)
+    return np.stack([bilateral(matched[:, :, p], 5, 30, 30) for p in range(3)], axis=2)
+
+
+def overlay(chip: np.ndarray, mask: np.ndarray, colour: tuple[int, int, int], alpha: float = 0.4) -> np.ndarray:
+    """The chip with a tinted mask, for reports."""
+    out = chip.astype(float)
+    out[mask] = (1 - alpha) * out[mask] + alpha * np.array(colour)
+    return np.round(out).astype(np.uint8)
+
+
+CHIP_BYTES = T.StructType([T.StructField("tile_id", T.LongType()), T.StructField("t", T.IntegerType()), T.StructField("height", T.IntegerType()), T.StructField("width", T.IntegerType()), T.StructField("data", T.BinaryType())])
+
+
+def standardised_chips(pixels: DataFrame, references: DataFrame) -> DataFrame:
+    """Cleaned chips (r, g, b rows) of every tile against its date's reference.
+
+    ``references``: one row a date (t, data, height, width), so it is broadcast.
+    """
+    arrow = to_arrow_schema(CHIP_BYTES)
+
+    def one(table: pa.Table) -> pa.Table:
+        y, x = table.column("y").to_numpy(), table.column("x").to_numpy()
+        chip = np.zeros((int(y.max()) + 1, int(x.max()) + 1, 3), np.uint8)
+        chip[y, x] = np.stack([table.column(c).to_numpy() for c in "rgb"], axis=1)
+        h, w, data = (table.column(c)[0].as_py() for c in ("ref_height", "ref_width", "ref_data"))
+        clean = standardise(chip, np.frombuffer(data, np.uint8).reshape(h, w, 3))
+        row = {"tile_id": table.column("tile_id")[0].as_py(), "t": table.column("t")[0].as_py(), "height": chip.shape[0], "width": chip.shape[1], "data": clean.tobytes()}
+        return pa.Table.from_pylist([row], schema=arrow)
+
+    told = F.broadcast(references.select("t", F.col("data").alias("ref_data"), F.col("height").alias("ref_height"), F.col("width").alias("ref_width")))
+    return pixels.select("tile_id", "t", "y", "x", "r", "g", "b").join(told, "t").groupBy("tile_id", "t").applyInArrow(one, CHIP_BYTES)
+
+
+def to_chips(pixels: DataFrame) -> DataFrame:
+    """Chips from pixel layout, one row a tile and date."""
+    arrow = to_arrow_schema(CHIP_BYTES)
+
+    def one(table: pa.Table) -> pa.Table:
+        y, x = table.column("y").to_numpy(), table.column("x").to_numpy()
+        chip = np.zeros((int(y.max()) + 1, int(x.max()) + 1, 3), np.uint8)
+        chip[y, x] = np.stack([table.column(c).to_numpy() for c in "rgb"], axis=1)
+        row = {"tile_id": table.column("tile_id")[0].as_py(), "t": table.column("t")[0].as_py(), "height": chip.shape[0], "width": chip.shape[1], "data": chip.tobytes()}
+        return pa.Table.from_pylist([row], schema=arrow)
+
+    return pixels.select("tile_id", "t", "y", "x", "r", "g", "b").groupBy("tile_id", "t").applyInArrow(one, CHIP_BYTES)
