@@ -1,7 +1,7 @@
 """Language-model scoring from a log-frequency Bloom filter.
 
 Counting: words (A-Z lowered) and one end mark a text; unigrams and bigrams of
-the training rows are counted by hash, first within some million tokens, then by
+the training rows are counted by hash, first within a million tokens, then by
 ranges of hashes. A count c is quantised to the level 1 + floor(log2 c), and the
 n-gram is put into a Bloom filter once for each level up to its own, so a reader
 probes level after level until one is missing. The filter is built in parts, one
@@ -85,7 +85,7 @@ def level(counts: np.ndarray) -> np.ndarray:
     return np.frexp(counts.astype(np.float64))[1]  # 1 + floor(log2 c)
 
 
-def count(train: DataFrame, text: str, bits: int, chunk_tokens: int = 4_000_000) -> DataFrame:
+def count(train: DataFrame, text: str, bits: int, chunk_tokens: int = 1_000_000) -> DataFrame:
     """Counts by hash range. key = 2 * range + (0: unigrams, 1: bigrams).
 
     Unigrams keep whole hashes and counts, bigrams 40 bits and the level.
@@ -107,7 +107,7 @@ def count(train: DataFrame, text: str, bits: int, chunk_tokens: int = 4_000_000)
                         packed = own.tobytes() if not kind else _pack40(own)
                         out.append((2 * k + kind, packed, np.minimum(many[a:b], 0xFFFFFFFF).astype(np.uint32).tobytes()))
                         room += len(packed) * 2
-                    if room > 8 << 20:
+                    if room > 2 << 20:
                         yield from _rows(_PART, out).to_batches()
                         out, room = [], 0
                 if out:
@@ -305,7 +305,7 @@ def score(docs: DataFrame, model: Model, counted: DataFrame, key: str = "doc_id"
             for row in flush():
                 out.append(row)
                 room += len(row[2] or b"") * 2
-                if room > 8 << 20:
+                if room > 2 << 20:
                     yield from _rows(_ASK, out).to_batches()
                     out, room = [], 0
             yield from _rows(_ASK, out).to_batches()
@@ -318,7 +318,7 @@ def score(docs: DataFrame, model: Model, counted: DataFrame, key: str = "doc_id"
             for first, data, offsets in _words.text_parts(batch.column(1)):
                 token, bounds = tokens(data, offsets)
                 many = len(offsets) - 1
-                if rows and (rows + many > chunk_rows * 8 or size > 4_000_000):
+                if rows and (rows + many > chunk_rows * 8 or size > 1_000_000):
                     yield from send()
                     held.clear()
                     rare.clear()
