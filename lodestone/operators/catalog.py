@@ -67,9 +67,12 @@ def first_of_layer(files: DataFrame) -> DataFrame:
 
 
 def with_bounds(tiles: DataFrame, bounds: DataFrame, on: str = "placename") -> DataFrame:
-    """A file's own bounds, else its data set's, else null. ``bounds``: a row a data set."""
+    """A file's own bounds, else its data set's, else null. ``bounds``: a row a data set.
+
+    No hint: Spark broadcasts the bounds while they are below its threshold.
+    """
     told = bounds.withColumnsRenamed({c: f"d_{c}" for c in bounds.columns if c != on})
-    joined = tiles.join(F.broadcast(told), on, "left")
+    joined = tiles.join(told, on, "left")
     return joined.select(*[c for c in tiles.columns if c not in ("min_lon", "min_lat")], *(F.coalesce(c, f"d_{c}").alias(c) for c in ("min_lon", "min_lat")))
 
 

@@ -397,10 +397,11 @@ def overlay(chip: np.ndarray, mask: np.ndarray, colour: tuple[int, int, int], al
 CHIP_BYTES = T.StructType([T.StructField("tile_id", T.LongType()), T.StructField("t", T.IntegerType()), T.StructField("height", T.IntegerType()), T.StructField("width", T.IntegerType()), T.StructField("data", T.BinaryType())])
 
 
-def standardised_chips(pixels: DataFrame, references: DataFrame) -> DataFrame:
+def standardised_chips(pixels: DataFrame, references: DataFrame, most: int = 64) -> DataFrame:
     """Cleaned chips (r, g, b rows) of every tile against its date's reference.
 
-    ``references``: one row a date (t, data, height, width), so it is broadcast.
+    ``references``: one row a date (t, data, height, width); up to ``most`` of
+    them, some 2 MB each, are broadcast, and more are joined by Spark's choice.
     """
     arrow = to_arrow_schema(CHIP_BYTES)
 
@@ -413,7 +414,8 @@ def standardised_chips(pixels: DataFrame, references: DataFrame) -> DataFrame:
         row = {"tile_id": table.column("tile_id")[0].as_py(), "t": table.column("t")[0].as_py(), "height": chip.shape[0], "width": chip.shape[1], "data": clean.tobytes()}
         return pa.Table.from_pylist([row], schema=arrow)
 
-    told = F.broadcast(references.select("t", F.col("data").alias("ref_data"), F.col("height").alias("ref_height"), F.col("width").alias("ref_width")))
+    told = references.select("t", F.col("data").alias("ref_data"), F.col("height").alias("ref_height"), F.col("width").alias("ref_width"))
+    told = F.broadcast(told) if references.limit(most + 1).count() <= most else told
     return pixels.select("tile_id", "t", "y", "x", "r", "g", "b").join(told, "t").groupBy("tile_id", "t").applyInArrow(one, CHIP_BYTES)
 
 
