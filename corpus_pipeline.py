@@ -15,10 +15,19 @@ from lodestone.llm._shared import staged
 from lodestone.llm.queries import encoder_files, training_labels
 
 
+OWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def apart(docs: DataFrame, stage) -> DataFrame:
+    """``stage`` on ``docs`` with extra columns under names that no operator uses."""
+    extra = {c: f"_extra_{i}" for i, c in enumerate(docs.columns) if c not in OWN}
+    return stage(docs.withColumnsRenamed(extra)).withColumnsRenamed({v: k for k, v in extra.items()}).select(*docs.columns)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(toxicity.sample_rows(docs, training_labels(labels)))
-    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+    return apart(docs, lambda d: toxicity.score(d, model).where("predicted = 0").select(*d.columns))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,12 +38,16 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.redact(docs, pii.fit(docs)).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    field = pii.fit(docs)
+    return apart(docs, lambda d: pii.redact(d, field).withColumn("n_chars", F.length("text").cast("long")))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows, _, _ = mixing.mix_sources(docs, keep=docs.columns)
-    return rows.withColumn("_copy", F.explode(F.expr("array_repeat(0, copies)"))).select(*docs.columns)
+    def repeated(d: DataFrame) -> DataFrame:
+        rows, _, _ = mixing.mix_sources(d, keep=d.columns)
+        return rows.withColumn("_copy", F.explode(F.expr("array_repeat(0, copies)"))).select(*d.columns)
+
+    return apart(docs, repeated)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -163,7 +163,7 @@ def mix_sources(docs: DataFrame, source: str = "source", text: str = "text", key
 
     Rows have the key, the source and ``size``, or ``size`` and the columns of ``keep``.
     """
-    keep = [key, source] if keep is None else keep
+    keep = [c for c in ([key, source] if keep is None else keep) if c != "size"]
     held = staged(with_words(docs.select(*dict.fromkeys([*keep, key, source, text])), text).select(*keep, "size"), "sizes")
     goal: dict = {}
     total: dict = {}

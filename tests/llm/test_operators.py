@@ -528,3 +528,14 @@ def test_hashes_of_equal_texts_agree(spark):
     df = spark.createDataFrame([(1, "same text"), (2, "same text")], "doc_id long, text string")
     a, b = media.text_tiles(df).collect()
     assert hashlib.sha256(a["media"]).digest() == hashlib.sha256(b["media"]).digest() and a["feature"] == b["feature"]
+
+
+def test_staged_tables_can_be_dropped(spark):
+    from lodestone.llm import _shared
+
+    held = _shared.staged(spark.range(3), "test")
+    path = _shared._staged[-1]
+    assert held.count() == 3 and _shared.drop_staged(spark) > 0
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    assert not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)

@@ -33,5 +33,23 @@ def test_stages(spark, tmp_path):
     assert all(bytes(r["ids"]) == (encode(texts[r["doc_id"]] or "") + b"\0\0\0\0")[4 * r["start"] : 4 * (r["start"] + r["length"])] for r in packed)
 
 
+def test_awkward_documents(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string, size string, spans string, predicted string, component_id string"
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text, "en", "a", 1, "s", "z", "p", "q", "c"), (1, text, "en", "a", 1, "s", "z", "p", "q", "c"), (2, text, None, None, None, "s", "z", "p", "q", "c"), (3, None, None, "b", 0, *["k"] * 5), (4, "", "en", "b", 0, *["k"] * 5), (None, "mail a.b@c.de here", None, None, None, *[None] * 5)]
+    docs = spark.createDataFrame(rows, schema)
+    for held in (docs, docs.where("false")):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, held, "/root/testdata/sf0.001")
+            assert out.columns == docs.columns
+            told = out.collect()
+            assert all(r["score"] in ("s", "k", None) and r["size"] in ("z", "k", None) for r in told)
+            if name == "near_copies":
+                assert sorted(str(r["doc_id"]) for r in told) == (sorted(["1", "3", "4", "None"]) if held is docs else [])
+            if name == "personal_data" and held is docs:
+                assert "mail [EMAIL] here" in {r["text"] for r in told}
+        assert corpus_pipeline.pack(spark, held, "").count() == held.count()
+
+
 def test_names_are_registered():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_copies", "personal_data", "mixing", "packing"]
