@@ -8,6 +8,7 @@ task and never a lost table.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -20,6 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 _own: list[str] = []
+_staged: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,9 +40,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "snappy").parquet(path)
+    _staged.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_staged(spark: SparkSession) -> int:
+    """Deletes the intermediate tables of this process, once no result needs them."""
+    jvm, n = spark.sparkContext._jvm, len(_staged)
+    while _staged:
+        place = jvm.org.apache.hadoop.fs.Path(_staged.pop())
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    return n
+
+
 def fold(key: str, n: int) -> Column:
     """crc32 of the key's text, mod n: the same on every engine and at every size."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % n
@@ -83,7 +95,28 @@ def map_rows(
                 ]
                 yield pa.RecordBatch.from_arrays([c.cast(t.type) for c, t in zip(cols, arrow)], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(trimmed(run), schema)
+
+
+def trim() -> None:
+    """Gives freed memory back to the system: an idle Python worker holds what its last task used."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def trimmed(run):
+    """A batch function that trims memory when its task ends."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return task
 
 
 def strings(batch: pa.RecordBatch, name: str) -> list[str]:

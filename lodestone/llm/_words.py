@@ -33,7 +33,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _tables or len(_tables[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 18)
         out = []
         for base in (_BASE, pow(_BASE, -1, 1 << 64)):
             p = np.full(size, base, np.uint64)
@@ -43,7 +43,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _tables[0], _tables[1]
 
 
-def text_parts(column: pa.Array, most: int = 1 << 20, rows: int = 1 << 14) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def text_parts(column: pa.Array, most: int = 1 << 18, rows: int = 1 << 14) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) for runs of at most ``rows`` rows of about ``most`` bytes; null is empty."""
     column = column.fill_null("").cast(pa.large_string())
     ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]

@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import _words
-from ._shared import staged
+from ._shared import staged, trimmed
 
 END = np.uint64(0x1B873593CC9E2D51)
 _PAIR = np.uint64(0x9FB21C651E98DF25)
@@ -137,7 +137,7 @@ def count(train: DataFrame, text: str, bits: int, chunk_tokens: int = 1_000_000)
         levels, mass = np.bincount(lev, minlength=65), np.bincount(lev, weights=total, minlength=65).astype(np.int64)
         return _rows(_COUNTED, [(key, _pack40(value) if kind else value.tobytes(), lev.astype(np.uint8).tobytes() if kind else total.tobytes(), levels.tolist(), mass.tolist())])
 
-    return train.select(text).mapInArrow(run, _PART).groupBy("key").applyInArrow(merge, _COUNTED)
+    return train.select(text).mapInArrow(trimmed(run), _PART).groupBy("key").applyInArrow(merge, _COUNTED)
 
 
 @dataclass(frozen=True)
@@ -374,7 +374,7 @@ def score(docs: DataFrame, model: Model, counted: DataFrame, key: str = "doc_id"
         return pa.Table.from_arrays([pa.array(keys, mask=~valid), pa.array(n), pa.array(known), pa.array(base), pa.array(scored)], schema=to_arrow_schema(done))
 
     words = counted.where("key % 2 = 0").select("key", F.lit(None).cast("long").alias("chunk"), "hashes", F.lit(None).cast("binary").alias("refs"), F.col("counts").alias("times"), F.lit(None).cast("binary").alias("head"))
-    asked = docs.select(F.col(key).cast("long").alias(key), text).mapInArrow(ask, _ASK)
+    asked = docs.select(F.col(key).cast("long").alias(key), text).mapInArrow(trimmed(ask), _ASK)
     return asked.unionByName(words).groupBy("key").applyInArrow(tell, _TOLD).groupBy("chunk").applyInArrow(finish, done)
 
 
