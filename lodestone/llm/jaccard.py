@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import _words
-from ._shared import staged
+from ._shared import staged, trimmed
 
 BITS = 2048  # of a signature
 KEEP = 48  # bits of a shingle's hash that travel
@@ -68,7 +68,7 @@ def members(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
             found = [(len(s), _node(s)) for _, s in _sets(batch.column(1), size)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(arrow[0].type), pa.array([n for n, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], schema=arrow)
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return docs.select(key, text).mapInArrow(trimmed(run), schema)
 
 
 # Step 2. A chunk is some thousand nodes of one task; a segment is a range of hashes.
@@ -112,7 +112,7 @@ def live_sets(docs: DataFrame, text: str, size: int, percent: int, bits: int, ch
             for row in flush():
                 out.append(row)
                 room += len(row[2]) * 2
-                if room > 8 << 20:
+                if room > 2 << 20:
                     yield from _table(_SPREAD, out).to_batches()
                     out, room = [], 0
             if out:
@@ -124,11 +124,11 @@ def live_sets(docs: DataFrame, text: str, size: int, percent: int, bits: int, ch
                 node = _node(own)
                 if node is None or node in seen:
                     continue
-                if len(seen) < 2_000_000:  # only spares work: later stages drop repeats
+                if len(seen) < 200_000:  # only spares work: later stages drop repeats
                     seen.add(node)
                 held.append((node, own))
                 total += len(own)
-                if len(held) >= chunk_rows or total >= 4_000_000:
+                if len(held) >= chunk_rows or total >= 1_000_000:
                     yield from send()
                     held.clear()
                     total, chunk = 0, chunk + 1
@@ -176,7 +176,7 @@ def live_sets(docs: DataFrame, text: str, size: int, percent: int, bits: int, ch
         cut = np.searchsorted(refs, np.arange(len(nodes) + 1))
         return _table(_LIVE, [(int(nodes[i]), int(sizes[i]), int(have[i] - need[i] + 1), hashes[cut[i] : cut[i + 1]].tobytes()) for i in np.flatnonzero(have >= need)])
 
-    return docs.select(text).mapInArrow(spread, _SPREAD).groupBy("key").applyInArrow(shared, _SHARED).groupBy("chunk").applyInArrow(living, _LIVE).dropDuplicates(["node"])
+    return docs.select(text).mapInArrow(trimmed(spread), _SPREAD).groupBy("key").applyInArrow(shared, _SHARED).groupBy("chunk").applyInArrow(living, _LIVE).dropDuplicates(["node"])
 
 
 class SignatureTree:
@@ -274,7 +274,7 @@ def block_links(live: DataFrame, percent: int, salt: int, block: int = 512) -> D
             yield from close(held)[0]
 
     schema = T.StructType([T.StructField("order", T.LongType()), *_LIVE.fields])
-    return live.mapInArrow(keyed, schema).repartitionByRange("order", "node").sortWithinPartitions("order", "node").mapInArrow(run, _LINKS)
+    return live.mapInArrow(keyed, schema).repartitionByRange("order", "node").sortWithinPartitions("order", "node").mapInArrow(trimmed(run), _LINKS)
 
 
 def components(links: DataFrame, rounds: int = 40) -> DataFrame:

@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import _words
+from ._shared import trimmed
 
 # Public license notices, by the name reported for each.
 TEMPLATES = {
@@ -113,4 +114,4 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, key: str = "d
             index = pa.array([f[0] for f in found], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(index).cast(arrow[0].type), *(pa.array([f[c] for f in found], arrow.field(c).type) for c in range(1, 5))], schema=arrow)
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return docs.select(key, text).mapInArrow(trimmed(run), schema)

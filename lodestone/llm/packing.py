@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ._shared import staged
+from ._shared import staged, trimmed
 
 Run = tuple[int, list[int]]  # (number of sequences, lengths in each)
 
@@ -188,20 +188,25 @@ def make_encoder(tokenizer: str, ranks: str | None = None, pattern: str | None =
     merges run in the faster library; texts that hold a special token's string
     or odd white space, where the two libraries may differ, go to the first.
     """
-    from tokenizers import Tokenizer
-
-    exact = Tokenizer.from_file(tokenizer)
-    special = [t.content for t in exact.get_added_tokens_decoder().values()]
+    held: list = []
 
     def slow(text: str) -> bytes:
-        return array.array("I", exact.encode(text, add_special_tokens=False).ids).tobytes()
+        if not held:  # loaded when it is needed: it takes some 100 MB
+            from tokenizers import Tokenizer
+
+            held.append(Tokenizer.from_file(tokenizer))
+        return array.array("I", held[0].encode(text, add_special_tokens=False).ids).tobytes()
 
     if ranks is None:
         return slow
+    import json
     import re
 
     import tiktoken
 
+    with open(tokenizer, encoding="utf-8") as f:
+        special = [t["content"] for t in json.load(f)["added_tokens"]]
+
     with open(ranks, "rb") as f:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
@@ -258,7 +263,7 @@ def pieces(docs: DataFrame, text: str, encoder: tuple, capacity: int, end_id: in
                 cols = [batch.column(batch.schema.get_field_index(c)).take(index).cast(arrow.field(c).type) for c in kept]
                 yield pa.RecordBatch.from_arrays(cols + [pa.array(made[f.name], arrow.field(f.name).type) for f in fields], schema=arrow)
 
-    return docs.select(*{*kept, text}).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*kept, text])).mapInArrow(trimmed(run), schema)
 
 
 def pack(docs: DataFrame, encoder: tuple, text: str = "text", capacity: int = 2048, end_id: int = 0, keep: list[str] | None = None, keep_ids: bool = True) -> DataFrame:
@@ -294,4 +299,4 @@ def pack(docs: DataFrame, encoder: tuple, text: str = "text", capacity: int = 20
             cols = [batch.column(batch.schema.get_field_index(c)) for c in held]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(sequence), pa.array(offset)], schema=arrow)
 
-    return ranked.select(*held, (F.col("_rank") + F.col("_before")).alias("_r")).mapInArrow(place, out)
+    return ranked.select(*held, (F.col("_rank") + F.col("_before")).alias("_r")).mapInArrow(trimmed(place), out)

@@ -64,7 +64,7 @@ def _compressor(content: bytes):
 class _Gains(dict):
     """Gain by window, kept for repeated words and emptied when it grows too large."""
 
-    def __init__(self, model: ToxicityModel, most: int = 400_000):
+    def __init__(self, model: ToxicityModel, most: int = 60_000):
         super().__init__()
         self.pair, self.most = (_compressor(model.ordinary), _compressor(model.toxic)), most
 

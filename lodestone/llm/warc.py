@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ._shared import map_rows, staged
+from ._shared import map_rows, staged, trimmed
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 BUNDLES = T.StructType([
@@ -175,7 +175,7 @@ def write_bundles(pages: DataFrame, key: str = "page_id", url: str = "url", payl
         if writer.records:
             yield flush()
 
-    return staged(with_roles(pages, key, url, payload).mapInArrow(run, BUNDLES), "warc")
+    return staged(with_roles(pages, key, url, payload).mapInArrow(trimmed(run), BUNDLES), "warc")
 
 
 READ = T.StructType([
@@ -214,4 +214,4 @@ def read_bundles(bundles: DataFrame) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
-    return bundles.mapInArrow(run, READ)
+    return bundles.mapInArrow(trimmed(run), READ)
