@@ -4,17 +4,16 @@ Counting: words (A-Z lowered) and one end mark a text; unigrams and bigrams of
 the training rows are counted by hash, first within a million tokens, then by
 ranges of hashes. A count c is quantised to the level 1 + floor(log2 c), and the
 n-gram is put into a Bloom filter once for each level up to its own, so a reader
-probes level after level until one is missing. The filter is built in parts, one
-for each range, and broadcast; its size is bounded by ``max_bits``: where the
-entries would not fit at ``bits_per_entry``, the least level that is kept rises
-for all n-grams alike.
+probes level after level until one is missing. The filter is a table of parts,
+one for each range; it grows with its entries and keeps every level of every n-gram.
 
 Scoring: bigram and unigram interpolated, seen * c2 / c1 + (1 - seen) * p1 with
 p1 = (c + 0.5) / (N + 0.5 * (V + 1)), all counts from repeated probes. ``seen``
-is the share of tokens whose bigram the filter may be expected to hold, by
-Good and Turing: the mass of the levels above the least one. The exact unigram score beside it looks words up in
-the counts: those with over 1 / ``common`` of all tokens (at most ``common`` of
-them) are broadcast, the others meet the counts in a join by hash range.
+is the share of tokens whose bigram may be expected in the filter, by Good and
+Turing: the mass of the bigrams above the first level. The exact unigram score
+beside it looks words up in the counts. Texts are taken a million tokens at a
+time; the distinct words and bigrams of such a chunk meet the filter's parts and
+the counts in one join by hash range, and what was found meets the chunk again.
 
 Cases: null and empty texts hold the end mark alone; words of any length count;
 repeated rows score alike; without training rows every count is 0; an empty
@@ -64,7 +63,7 @@ def bigrams(token: np.ndarray) -> np.ndarray:
 
 
 _PART = T.StructType([T.StructField(c, t) for c, t in (("key", T.LongType()), ("hashes", T.BinaryType()), ("counts", T.BinaryType()))])
-_COUNTED = T.StructType([*_PART.fields, T.StructField("levels", T.ArrayType(T.LongType())), T.StructField("mass", T.ArrayType(T.LongType()))])
+_COUNTED = T.StructType([T.StructField(c, t) for c, t in (("range", T.LongType()), ("words", T.BinaryType()), ("counts", T.BinaryType()), ("part", T.BinaryType()), ("n_words", T.LongType()), ("n_tokens", T.LongType()), ("repeated", T.LongType()))])
 
 
 def _rows(schema: T.StructType, rows: list[tuple]) -> pa.Table:
@@ -72,23 +71,34 @@ def _rows(schema: T.StructType, rows: list[tuple]) -> pa.Table:
     return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow)], schema=arrow)
 
 
+def _planes(values: np.ndarray, n: int) -> bytes:
+    """The n low bytes, each in a row of its own: a row of small numbers compresses."""
+    return b"".join((values >> values.dtype.type(8 * i)).astype(np.uint8).tobytes() for i in range(n))
+
+
+def _unplaned(raw, n: int) -> np.ndarray:
+    rows = np.frombuffer(raw, np.uint8).reshape(n, -1).astype(np.uint64)
+    return sum((rows[i] << np.uint64(8 * i) for i in range(1, n)), rows[0])
+
+
 def _pack40(hashes: np.ndarray) -> bytes:
-    return hashes.astype(np.uint32).tobytes() + (hashes >> np.uint64(32)).astype(np.uint8).tobytes()
+    """Ascending hashes of 40 bits by their differences."""
+    return _planes(np.diff(hashes, prepend=np.uint64(0)), 5)
 
 
 def _unpack40(raw) -> np.ndarray:
-    n = len(raw) // 5
-    return np.frombuffer(raw, np.uint32, n).astype(np.uint64) | np.frombuffer(raw, np.uint8, n, 4 * n).astype(np.uint64) << np.uint64(32)
+    return np.cumsum(_unplaned(raw, 5), dtype=np.uint64)
 
 
 def level(counts: np.ndarray) -> np.ndarray:
     return np.frexp(counts.astype(np.float64))[1]  # 1 + floor(log2 c)
 
 
-def count(train: DataFrame, text: str, bits: int, chunk_tokens: int = 1_000_000) -> DataFrame:
-    """Counts by hash range. key = 2 * range + (0: unigrams, 1: bigrams).
+def count(train: DataFrame, text: str, bits: int, chunk_tokens: int = 1_000_000, bits_per_entry: int = 10, probes: int = 5) -> DataFrame:
+    """By hash range: words with whole hashes and counts, and the filter's part.
 
-    Unigrams keep whole hashes and counts, bigrams 40 bits and the level.
+    On the way, key = 2 * range + (0: unigrams, 1: bigrams); bigrams keep 40 bits.
+    A part has the bits that its entries need, as a power of two.
     """
 
     def run(batches):
@@ -125,19 +135,26 @@ def count(train: DataFrame, text: str, bits: int, chunk_tokens: int = 1_000_000)
             yield from flush()
 
     def merge(table: pa.Table) -> pa.Table:
-        key = table.column("key")[0].as_py()
-        kind = key & 1
-        hashes, counts = [], []
-        for packed, many in zip(table.column("hashes"), table.column("counts")):
-            hashes.append(_unpack40(packed.as_buffer()) if kind else np.frombuffer(packed.as_buffer(), np.uint64))
-            counts.append(np.frombuffer(many.as_buffer(), np.uint32))
-        value, at = np.unique(np.concatenate(hashes), return_inverse=True)
-        total = np.bincount(at, weights=np.concatenate(counts)).astype(np.int64)
-        lev = level(total)
-        levels, mass = np.bincount(lev, minlength=65), np.bincount(lev, weights=total, minlength=65).astype(np.int64)
-        return _rows(_COUNTED, [(key, _pack40(value) if kind else value.tobytes(), lev.astype(np.uint8).tobytes() if kind else total.tobytes(), levels.tolist(), mass.tolist())])
+        keys, found = table.column("key").to_pylist(), []
+        for kind in (0, 1):
+            hashes, counts = [np.empty(0, np.uint64)], [np.empty(0, np.uint32)]
+            for key, packed, many in zip(keys, table.column("hashes"), table.column("counts")):
+                if key & 1 == kind:
+                    hashes.append(_unpack40(packed.as_buffer()) if kind else np.frombuffer(packed.as_buffer(), np.uint64))
+                    counts.append(np.frombuffer(many.as_buffer(), np.uint32))
+            value, at = np.unique(np.concatenate(hashes), return_inverse=True)
+            found.append((value, np.bincount(at, weights=np.concatenate(counts), minlength=len(value)).astype(np.int64)))
+        part_bits = max(6, math.ceil(math.log2(max(1, bits_per_entry * sum(int(level(times).sum()) for _, times in found)))))
+        filled = np.zeros(1 << (part_bits - 6), np.uint64)
+        for value, times in found:
+            lev = level(times)
+            for j in range(1, int(lev.max(initial=0)) + 1):
+                for at in BloomCounts.places(value[lev >= j], j, probes, part_bits):
+                    np.bitwise_or.at(filled, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+        (words, times), (_, pairs) = found
+        return _rows(_COUNTED, [(keys[0] >> 1, words.tobytes(), times.tobytes(), filled.tobytes(), len(words), int(times.sum()), int(pairs[pairs > 1].sum()))])
 
-    return train.select(text).mapInArrow(trimmed(run), _PART).groupBy("key").applyInArrow(merge, _COUNTED)
+    return train.select(text).mapInArrow(trimmed(run), _PART).groupBy(F.shiftright("key", 1)).applyInArrow(merge, _COUNTED)
 
 
 @dataclass(frozen=True)
@@ -180,11 +197,11 @@ def counts_of(levels: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    bloom: BloomCounts
+    ranges: int  # log2 of the number of ranges
+    probes: int
     train_tokens: int
     vocabulary: int
     train_texts: int
-    common: tuple[np.ndarray, np.ndarray]  # hashes ascending, exact counts
     seen: float
 
     @property
@@ -196,121 +213,71 @@ def _bigram_key(hashes: np.ndarray) -> np.ndarray:
     return hashes >> np.uint64(24)
 
 
-def build(counted: DataFrame, bits: int, texts: int, max_bits: int = 1 << 28, bits_per_entry: int = 10, probes: int = 5, common: int = 50_000) -> Model:
-    """The model from written counts. Ranges' parts reach the driver: ``max_bits`` in all."""
-    def by_level(column: str, kind: int) -> list:
-        return [F.sum(F.when(F.col("key") % 2 == kind, F.col(column)[i])) for i in range(65)]
-
-    sums = [x or 0 for x in counted.agg(*by_level("levels", 0), *by_level("levels", 1), *by_level("mass", 0), *by_level("mass", 1)).first()]
-    uni, bi, held, mass = (sums[i : i + 65] for i in range(0, 260, 65))
-    total, vocabulary = sum(held), sum(uni)
-    least, entries = 1, 0
-    for least in range(1, 65):
-        entries = sum((uni[i] + bi[i]) * (i - least + 1) for i in range(least, 65))
-        if entries * bits_per_entry <= max_bits:
-            break
-    need = max(64 << bits, entries * bits_per_entry)
-    part_bits = min(max(6, math.ceil(math.log2(need / (1 << bits)))), max(6, int(math.log2(max_bits)) - bits))
-    few = max(1, total // common)
-    schema = T.StructType([T.StructField("range", T.LongType()), T.StructField("part", T.BinaryType()), T.StructField("hashes", T.BinaryType()), T.StructField("counts", T.BinaryType())])
-
-    def part(table: pa.Table) -> pa.Table:
-        words = np.zeros(1 << (part_bits - 6), np.uint64)
-        often = (b"", b"")
-        for key, packed, many in zip(table.column("key").to_pylist(), table.column("hashes"), table.column("counts")):
-            if key & 1:
-                value, lev = _unpack40(packed.as_buffer()), np.frombuffer(many.as_buffer(), np.uint8)
-            else:
-                value, times = np.frombuffer(packed.as_buffer(), np.uint64), np.frombuffer(many.as_buffer(), np.int64)
-                lev = level(times)
-            for j in range(least, int(lev.max(initial=0)) + 1):
-                for at in BloomCounts.places(value[lev >= j], j, probes, part_bits):
-                    np.bitwise_or.at(words, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
-            if not key & 1:
-                top = times > few
-                often = value[top].tobytes(), times[top].tobytes()
-        return _rows(schema, [(table.column("key")[0].as_py() >> 1, words.tobytes(), *often)])
-
-    data = np.zeros(1 << (part_bits - 6 + bits), np.uint64)
-    often = []
-    for r in counted.groupBy((F.col("key") / 2).cast("long")).applyInArrow(part, schema).toLocalIterator():
-        size = 1 << (part_bits - 6)
-        data[r["range"] * size : (r["range"] + 1) * size] = np.frombuffer(r["part"], np.uint64)
-        often.append((np.frombuffer(r["hashes"], np.uint64), np.frombuffer(r["counts"], np.int64)))
-    hashes, times = (np.concatenate([x[i] for x in often]) if often else np.empty(0, t) for i, t in ((0, np.uint64), (1, np.int64)))
-    order = np.argsort(hashes)
-    return Model(BloomCounts(data, part_bits, bits, probes, least), int(total), int(vocabulary), texts, (hashes[order], times[order]), min(0.95, sum(mass[least + 1 :]) / max(1, total)))
-
-
-def score_tokens(model: Model, token: np.ndarray) -> np.ndarray:
-    """log10 probability of each token after the one before it (texts end in END)."""
-    shift = np.uint64(64 - model.bloom.ranges)
-
-    def looked(hashes, keys):
-        return counts_of(model.bloom.levels(keys, (hashes >> shift).astype(np.int64)))
-
-    kinds, at = np.unique(token, return_inverse=True)
-    one = looked(kinds, kinds)[at]
-    pair = bigrams(token)
-    kinds, at = np.unique(pair, return_inverse=True)
-    two = looked(kinds, _bigram_key(kinds))[at]
+def build(counted: DataFrame, bits: int, texts: int, probes: int = 5) -> Model:
+    """The model's numbers from written counts; its filter stays in their table."""
+    words, total, repeated = (x or 0 for x in counted.agg(F.sum("n_words"), F.sum("n_tokens"), F.sum("repeated")).first())
+    return Model(bits, probes, total, words, texts, min(0.95, repeated / max(1, total)))
+
+
+def score_tokens(model: Model, words: np.ndarray, at: np.ndarray, lev: np.ndarray, pair: np.ndarray, pair_lev: np.ndarray) -> np.ndarray:
+    """log10 probability of each token after the one before it (texts end in END).
+
+    Tokens are places in ``words``, pairs are places in the distinct bigrams.
+    """
+    one, two = counts_of(lev)[at], counts_of(pair_lev)[pair]
     before = np.empty_like(one)
     if len(one):
-        ends = looked(np.array([END]), np.array([END]))
-        before[0] = ends[0]
+        before[0] = counts_of(lev[words == END])[0]
         before[1:] = one[:-1]
     p = (one + 0.5) / model.scale
     follow = np.minimum(two, before) / np.maximum(before, 1)
     return np.log10(np.where(before > 0, model.seen * follow + (1 - model.seen) * p, p))
 
 
-_ASK = T.StructType([T.StructField(c, t) for c, t in (("key", T.LongType()), ("chunk", T.LongType()), ("hashes", T.BinaryType()), ("refs", T.BinaryType()), ("times", T.BinaryType()), ("head", T.BinaryType()))])
-_TOLD = T.StructType([T.StructField(c, t) for c, t in (("chunk", T.LongType()), ("base", T.BinaryType()), ("known", T.BinaryType()), ("head", T.BinaryType()))])
+#: Of a chunk and a range: distinct words and bigrams. The range itself comes with its words, their counts and its part.
+_ASK = T.StructType([T.StructField(c, t) for c, t in (("key", T.LongType()), ("chunk", T.LongType()), ("words", T.BinaryType()), ("pairs", T.BinaryType()), ("head", T.BinaryType()))])
+_TOLD = T.StructType([T.StructField(c, t) for c, t in (("key", T.LongType()), ("chunk", T.LongType()), ("counts", T.BinaryType()), ("levels", T.BinaryType()), ("pair_levels", T.BinaryType()), ("head", T.BinaryType()))])
 SCORED = [T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())]
 
 
-def score(docs: DataFrame, model: Model, counted: DataFrame, key: str = "doc_id", text: str = "text", chunk_rows: int = 4096) -> DataFrame:
+def score(docs: DataFrame, model: Model, counted: DataFrame, key: str = "doc_id", text: str = "text", chunk_rows: int = 32768, chunk_tokens: int = 1_000_000) -> DataFrame:
     """(key, n_tokens, n_known, base_score, score) of every row; ``key`` is a long."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    bits, scale = model.bloom.ranges, model.scale
+    bits = model.ranges
 
     def ask(batches):
         from pyspark import TaskContext
 
-        model = shared.value
         chunk = (TaskContext.get().partitionId() + 1) << 24
-        often, exact = model.common
-        ended = math.log10((model.train_texts + 0.5) / scale)
+        starts = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
         held: list[tuple] = []
-        rare: list[np.ndarray] = []
-        size = 0
+        rows = size = 0
 
         def flush():
-            keys, valid, n, base, known, scored = (np.concatenate(x) for x in zip(*held))
-            yield (-chunk, chunk, None, None, None, pickle.dumps((keys, valid, n, base, known, scored)))
-            hashes, refs = np.concatenate([h for h, _ in rare]), np.concatenate([r for _, r in rare])
-            order = np.lexsort((refs, hashes))
-            hashes, refs = hashes[order], refs[order]
-            new = np.flatnonzero(np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (refs[1:] != refs[:-1])])) if len(hashes) else np.empty(0, np.int64)
-            times = np.diff(np.append(new, len(hashes))).astype(np.uint32)
-            hashes, refs = hashes[new], refs[new].astype(np.uint16)
-            cut = np.append(np.searchsorted(hashes, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), len(hashes))
+            keys, valid, n, token = (np.concatenate(x) for x in zip(*held))
+            words, at, times = np.unique(token, return_inverse=True, return_counts=True)
+            often = np.argsort(-times, kind="stable")  # frequent words get small places
+            rank = np.empty(len(words), np.uint32)
+            rank[often] = np.arange(len(words), dtype=np.uint32)
+            places = _planes(rank[at], 4)
+            yield (-chunk, chunk, None, None, pickle.dumps((keys, valid, n, words[often], len(places), pa.compress(places, "zstd", asbytes=True))))
+            pairs = np.unique(bigrams(token))
+            cut, cut_pairs = (np.append(np.searchsorted(x, starts), len(x)) for x in (words, pairs))
             for k in range(1 << bits):
-                a, b = cut[k], cut[k + 1]
-                if a < b:
-                    yield (2 * k, chunk, hashes[a:b].tobytes(), refs[a:b].tobytes(), times[a:b].tobytes(), None)
+                a, b, c, d = cut[k], cut[k + 1], cut_pairs[k], cut_pairs[k + 1]
+                if a < b or c < d:
+                    yield (k, chunk, words[a:b].tobytes(), _pack40(_bigram_key(pairs[c:d])), None)
 
         def send():
             out, room = [], 0
             for row in flush():
                 out.append(row)
-                room += len(row[2] or b"") * 2
+                room += sum(len(x) for x in row[2:] if x) * 2
                 if room > 2 << 20:
                     yield from _rows(_ASK, out).to_batches()
                     out, room = [], 0
-            yield from _rows(_ASK, out).to_batches()
+            if out:
+                yield from _rows(_ASK, out).to_batches()
 
-        rows = 0
         for batch in batches:
             ids = batch.column(0).cast(pa.int64())
             mask = np.asarray(ids.is_valid())
@@ -318,22 +285,12 @@ def score(docs: DataFrame, model: Model, counted: DataFrame, key: str = "doc_id"
             for first, data, offsets in _words.text_parts(batch.column(1)):
                 token, bounds = tokens(data, offsets)
                 many = len(offsets) - 1
-                if rows and (rows + many > chunk_rows * 8 or size > 1_000_000):
+                if rows and (rows + many > chunk_rows or size > chunk_tokens):
                     yield from send()
                     held.clear()
-                    rare.clear()
                     rows = size = 0
                     chunk += 1
-                each = np.add.reduceat(score_tokens(model, token), bounds[:-1])
-                at = np.searchsorted(often, token)
-                at[at == len(often)] = 0
-                hit = often[at] == token if len(often) else np.zeros(len(token), bool)
-                end = token == END
-                base = np.where(hit & ~end, np.log10(((exact[at] if len(often) else 0) + 0.5) / scale), 0.0) + np.where(end, ended, 0.0)
-                row = np.repeat(np.arange(many), np.diff(bounds))
-                left = ~hit & ~end
-                held.append((ids[first : first + many], mask[first : first + many], np.diff(bounds), np.add.reduceat(base, bounds[:-1]), np.add.reduceat(((hit & ~end) | (end & (model.train_texts > 0))).astype(np.int64), bounds[:-1]), each))
-                rare.append((token[left], (row[left] + rows).astype(np.uint32)))
+                held.append((ids[first : first + many], mask[first : first + many], np.diff(bounds), token))
                 rows += many
                 size += len(token)
         if held:
@@ -342,47 +299,53 @@ def score(docs: DataFrame, model: Model, counted: DataFrame, key: str = "doc_id"
     def tell(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         if rows[0]["key"] < 0:
-            return _rows(_TOLD, [(r["chunk"], None, None, r["head"]) for r in rows])
-        value = times = None
+            return _rows(_TOLD, [(r["key"], r["chunk"], None, None, None, r["head"]) for r in rows])
+        value, times, filled = np.empty(0, np.uint64), np.empty(0, np.int64), np.zeros(1, np.uint64)
         for r in rows:
             if r["chunk"] is None:
-                value, times = np.frombuffer(r["hashes"], np.uint64), np.frombuffer(r["times"], np.int64)
-        out = []
+                value, times, filled = np.frombuffer(r["words"], np.uint64), np.frombuffer(r["pairs"], np.int64), np.frombuffer(r["head"], np.uint64)
+        bloom, out = BloomCounts(filled, len(filled).bit_length() + 5, 0, model.probes, 1), []
+
+        def levels(hashes: np.ndarray) -> bytes:
+            return bloom.levels(hashes, np.zeros(len(hashes), np.int64)).astype(np.uint8).tobytes()
+
         for r in rows:
             if r["chunk"] is not None:
-                hashes, refs, many = np.frombuffer(r["hashes"], np.uint64), np.frombuffer(r["refs"], np.uint16), np.frombuffer(r["times"], np.uint32)
+                hashes = np.frombuffer(r["words"], np.uint64)
                 c = np.zeros(len(hashes), np.int64)
-                if value is not None and len(value):
+                if len(value):
                     at = np.minimum(np.searchsorted(value, hashes), len(value) - 1)
                     c = np.where(value[at] == hashes, times[at], 0)
-                n = int(refs.max()) + 1
-                base = np.bincount(refs, weights=many * np.log10((c + 0.5) / scale), minlength=n)
-                known = np.bincount(refs, weights=many * (c > 0), minlength=n).astype(np.int64)
-                out.append((r["chunk"], base.tobytes(), known.tobytes(), None))
+                out.append((r["key"], r["chunk"], c.tobytes(), levels(hashes), levels(_unpack40(r["pairs"])), None))
         return _rows(_TOLD, out)
 
     done = T.StructType([T.StructField(key, T.LongType()), *SCORED])
 
     def finish(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        keys, valid, n, base, known, scored = pickle.loads(next(r["head"] for r in rows if r["head"] is not None))
-        base, known = base.copy(), known.copy()
-        for r in sorted((r for r in rows if r["head"] is None), key=lambda r: r["base"]):  # a fixed order of sums
-            add = np.frombuffer(r["base"], np.float64)
-            base[: len(add)] += add
-            known[: len(add)] += np.frombuffer(r["known"], np.int64)
+        rows = sorted(table.to_pylist(), key=lambda r: r["key"])  # the head, then ranges as hashes ascend
+        keys, valid, n, words, size, places = pickle.loads(rows[0]["head"])
+        order = np.argsort(words)
+        rank = np.empty(len(words), np.int64)
+        rank[order] = np.arange(len(words))
+        at, words = rank[_unplaned(pa.decompress(places, size, "zstd", asbytes=True), 4).astype(np.int64)], words[order]
+        counts, lev, pair_lev = (np.frombuffer(b"".join(r[c] for r in rows[1:]), t) for c, t in (("counts", np.int64), ("levels", np.uint8), ("pair_levels", np.uint8)))
+        pair = np.unique(bigrams(words[at]), return_inverse=True)[1]
+        starts = np.cumsum(n) - n
+        base = np.add.reduceat(np.log10((counts + 0.5) / model.scale)[at], starts)
+        known = np.add.reduceat((counts > 0).astype(np.int64)[at], starts)
+        scored = np.add.reduceat(score_tokens(model, words, at, lev, pair, pair_lev), starts)
         return pa.Table.from_arrays([pa.array(keys, mask=~valid), pa.array(n), pa.array(known), pa.array(base), pa.array(scored)], schema=to_arrow_schema(done))
 
-    words = counted.where("key % 2 = 0").select("key", F.lit(None).cast("long").alias("chunk"), "hashes", F.lit(None).cast("binary").alias("refs"), F.col("counts").alias("times"), F.lit(None).cast("binary").alias("head"))
+    ranges = counted.select(F.col("range").alias("key"), F.lit(None).cast("long").alias("chunk"), "words", F.col("counts").alias("pairs"), F.col("part").alias("head"))
     asked = docs.select(F.col(key).cast("long").alias(key), text).mapInArrow(trimmed(ask), _ASK)
-    return asked.unionByName(words).groupBy("key").applyInArrow(tell, _TOLD).groupBy("chunk").applyInArrow(finish, done)
+    return asked.unionByName(ranges).groupBy("key").applyInArrow(tell, _TOLD).groupBy("chunk").applyInArrow(finish, done)
 
 
-def train_and_score(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "text", **options) -> tuple[DataFrame, Model]:
+def train_and_score(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "text", bits_per_entry: int = 10) -> tuple[DataFrame, Model]:
     """Learns from the rows where ``training`` holds and scores all of them."""
     train = docs.where(training)
     facts = train.agg(F.count("*").alias("n"), F.sum(F.length(text)).alias("chars")).first()
     bits = min(16, max(4, math.ceil(math.log2((facts["chars"] or 0) / 6_000_000 + 1))))
-    counted = staged(count(train, text, bits), "counts")
-    model = build(counted, bits, facts["n"], **options)
+    counted = staged(count(train, text, bits, bits_per_entry=bits_per_entry), "counts")
+    model = build(counted, bits, facts["n"])
     return score(docs, model, counted, key, text), model

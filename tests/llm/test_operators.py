@@ -336,6 +336,31 @@ def test_lm_counts_and_scores(spark, docs, rows, empty):
     assert none.collect() == [] and model.train_tokens == 0
 
 
+def test_lm_filter_keeps_every_level(spark, docs, rows):
+    training = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5, F.lit(0)) != 1
+    trained = [words_of(t) for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 5 != 1]
+    one, two = Counter(), Counter()
+    for w in trained:
+        one.update([*w, None])
+        two.update(zip([None, *w], [*w, None]))
+    # filter bits beyond the former bound of 2^28, and too many for a false match
+    entries = sum(c.bit_length() for n in (one, two) for c in n.values())
+    scored, _ = lm.train_and_score(docs.select("doc_id", "text"), training, bits_per_entry=(1 << 28) // entries + 1)
+    total = sum(one.values())
+    scale, seen = total + 0.5 * (len(one) + 1), min(0.95, sum(c for c in two.values() if c > 1) / total)
+    middle = lambda c: float(lm.counts_of(lm.level(np.array([c])))[0]) if c else 0.0
+    want = Counter()
+    for i, t in rows:
+        score, before = 0.0, None
+        for x in [*words_of(t), None]:
+            a, b = middle(one[before]), middle(one[x])
+            p = (b + 0.5) / scale
+            score += math.log10(seen * min(middle(two[before, x]), a) / max(a, 1) + (1 - seen) * p if a else p)
+            before = x
+        want[i, round(score, 6)] += 1
+    assert Counter((r["doc_id"], round(r["score"], 6)) for r in scored.collect()) == want
+
+
 def test_bloom_holds_levels():
     rng = np.random.default_rng(8)
     hashes, counts = rng.integers(0, 2**63, 4000).astype(np.uint64), rng.integers(1, 500, 4000)
