@@ -10,7 +10,7 @@ are added; base spans always stay.
 
 The field is trained on windows around base spans of a bounded sample and on
 respelt copies of them (at signs in words, defanged dots, phones without a plus,
-other separators), against number runs that are no personal data.
+other separators), alone and in lists, against number runs that are no personal data.
 
 Cases: null texts are empty; empty texts have no spans; all work is linear in
 the text, so very long texts and runs of digits are read whole; repeated rows
@@ -93,7 +93,7 @@ def told(spans: list[Span]) -> str:
 
 
 # The field. Label 0 is outside; label i + 1 is KINDS[i].
-_TRIGGER = re.compile(r"(?<![0-9])[0-9]{1,3}(?: ?[\[(]?\.[\])]? ?[0-9]{1,3}){3}(?![0-9])|[0-9](?:[ ().+/\[\]-]{0,3}[0-9]){6,}|[(\[{] ?(?:at|AT) ?[)\]}]|\S ?@ ?\S")
+_TRIGGER = re.compile(r"(?<![0-9])[0-9]{1,3}(?: ?[\[(]?\.[\])]? ?[0-9]{1,3}){3}(?![0-9])|[0-9](?:[ ().+/\[\]_-]{0,3}[0-9]){6,}|[(\[{] ?(?:at|AT) ?[)\]}]|\S ?@ ?\S")
 _TOKEN = re.compile(r"\S+")
 _EDGE = "\"'`,;:!?*#$%&|<>~^=_"
 _CUES = (("mail", "contact", "write"), ("ip", "host", "server", "addr"), ("card", "visa", "credit", "pay"), ("tel", "phone", "call", "fax", "mobile"))
@@ -272,8 +272,9 @@ def respelt(kind: str, s: str, pick: random.Random) -> str:
 
 
 def examples(texts: list[str], most: int = 400, around: int = 3, seed: int = 11) -> list[tuple[str, list[Span]]]:
-    """Windows around base spans, their respelt copies, and number runs that are neither."""
+    """Windows around base spans, their respelt copies, lists of them, and number runs that are neither."""
     pick, out = random.Random(seed), []
+    lists, held = random.Random(seed + 2), {}
     per = {k: 0 for k in (*KINDS, "none")}
     for text in texts:
         spans = base_spans(text)
@@ -289,6 +290,16 @@ def examples(texts: list[str], most: int = 400, around: int = 3, seed: int = 11)
                 at = len(left) + 1
                 out.append((f"{left} {s} {right}", [(kind, at, at + len(s))]))
             per[kind] += 1
+            items = held.setdefault(kind, [])
+            items.append(lists.choice((text[a:b], s, s)))
+            if len(items) == 3:
+                line, among = left + " ", []
+                for i, s in enumerate(items):
+                    line += lists.choice((", ", "; ", " ", " or ", " and ")) if i else ""
+                    among.append((kind, len(line), len(line) + len(s)))
+                    line += s
+                out.append((f"{line} {right}", among))
+                items.clear()
         for m in _TRIGGER.finditer(text):
             if per["none"] < most // 2 and not any(s < m.end() and m.start() < e for _, s, e in spans):
                 words = text[max(0, m.start() - 40) : m.end() + 40].split()[1:-1]
@@ -325,31 +336,42 @@ def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", max_sample: in
     return train(found) if any(s for _, s in found) else None
 
 
-def added_spans(text: str, field: Field, base: list[Span], least: float = 0.8) -> list[Span]:
-    """What the field finds beyond the base spans."""
-    out: list[Span] = []
-    done = 0
-    starts, ends = (np.array([s[i] for s in base], np.int64) for i in (1, 2))
+def _windows(text: str, starts: np.ndarray, ends: np.ndarray) -> list[list[int]]:
+    """Character ranges around all triggers outside base spans; ranges that meet are one."""
+    out: list[list[int]] = []
     for m in _TRIGGER.finditer(text):
-        if m.start() < done or ((starts <= m.start()) & (m.end() <= ends)).any():
+        if ((starts <= m.start()) & (m.end() <= ends)).any():
             continue
         lo, hi = m.start(), m.end()
         for _ in range(3):  # three tokens of context on each side, 64 characters at most
             lo = max(text.rfind(" ", max(0, lo - 64), max(lo - 1, 0)), lo - 64, 0)
             nxt = text.find(" ", hi + 1, hi + 65)
             hi = min(len(text), nxt if nxt >= 0 else hi + 64)
-        lo = max(lo, done)
+        if out and lo < out[-1][1]:
+            out[-1][1] = max(out[-1][1], hi)
+        else:
+            out.append([lo, hi])
+    return out
+
+
+def added_spans(text: str, field: Field, base: list[Span], least: float = 0.8) -> list[Span]:
+    """What the field finds beyond the base spans."""
+    out: list[Span] = []
+    starts, ends = (np.array([s[i] for s in base], np.int64) for i in (1, 2))
+    for lo, hi in _windows(text, starts, ends):
         tokens = [(t.start() + a, t.start() + b) for t in _TOKEN.finditer(text, lo, hi) for a, b in [_trim(t[0])] if a < b]
-        done = hi
-        for at in range(0, len(tokens), 32 - SPAN):  # long runs in overlapping parts
-            part = tokens[at : at + 32]
+        for at in range(0, len(tokens), 32 - 2 * SPAN):  # long runs in overlapping parts
+            part, last = tokens[at : at + 32], at + 32 >= len(tokens)
             w = window(text, part)
             p, _ = posteriors(field, w)
             for j, d, y in zip(*np.nonzero(p[:, :, 1:] >= least)):
+                # a part has the spans that start away from its edges: each start is in one part, with context
+                if (at and j - d < 3) or (not last and j - d >= 35 - 2 * SPAN):
+                    continue
                 span = (KINDS[y], part[j - d][0], part[j][1])
                 if not ((starts < span[2]) & (span[1] < ends)).any() and not any(a < span[2] and span[1] < b for _, a, b in out[-64:]):
                     out.append(span)
-            if at + 32 >= len(tokens):
+            if last:
                 break
     return out
 

@@ -230,6 +230,28 @@ def test_field_adds_respelt_spans(field):
     assert pii.added_spans("the value 20240131 is 1234567 and v1.2.3 of", field, []) == []
 
 
+def test_field_reads_lists_whole(field):
+    def told(items, kind, glue):
+        text = f"please do {glue.join(items)} it now then"
+        want = [(kind, at, at + len(x)) for x in items for at in [text.index(x)]]
+        return sorted(pii.added_spans(text, field, []), key=lambda s: s[1]), want
+
+    emails = [f"{c}.{i} (at) mail{i % 9 + 1}.example.com" for i, c in zip(range(10, 30), "xyz" * 10)]
+    for n in (2, 3, 20):
+        got, want = told(emails[:n], "email", ", ")
+        assert got == want
+    got, want = told(["(212) 555-7713", "(646) 555-7123"], "phone", " or ")
+    assert got == want
+
+
+def test_triggers_cover_respelt_spans():
+    pick = random.Random(5)
+    for kind, s in (("email", "bob.7@example.org"), ("ip", "10.20.30.40"), ("card", "4111111111111111"), ("phone", "+1 (212) 555-7713")):
+        for _ in range(40):
+            again = pii.respelt(kind, s, pick)
+            assert pii._TRIGGER.search(f"is it {again} now"), again
+
+
 def test_find_and_redact(spark, field):
     cases = [(1, "a.b@c.de and +1 (017) 555-7713."), (2, None), (3, ""), (4, "nothing"), (4, "nothing")]
     df = spark.createDataFrame([(i, t, "s", 0, "z") for i, t in cases], DOCS)
