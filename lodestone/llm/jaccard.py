@@ -277,17 +277,21 @@ def block_links(live: DataFrame, percent: int, salt: int, block: int = 512) -> D
     return live.mapInArrow(keyed, schema).repartitionByRange("order", "node").sortWithinPartitions("order", "node").mapInArrow(trimmed(run), _LINKS)
 
 
-def components(links: DataFrame, rounds: int = 40) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, label) for every node of ``links`` (a, b): the smallest node it reaches.
 
-    Each round takes the neighbours' smallest label and then the label's label,
-    written out each time; a group's path halves, so rounds grow with its log.
+    Each round takes the neighbours' smallest label, hooks the owner of the label
+    before to it and then takes the label's label, written out each time, until no
+    label changes. Hooked owners carry their whole group along, so that rounds
+    grow with the log of a path; labels only fall, so that they end.
     """
     both = staged(links.where("a <> b").unionByName(links.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
-    for _ in range(rounds):
+    while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        low = staged(labels.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("was")), "labels")
+        told = staged(labels.join(near, "node").select("node", "label", "near"), "labels")
+        hook = told.groupBy(F.col("label").alias("node")).agg(F.min("near").alias("hook"))
+        low = staged(told.join(hook, "node", "left").select("node", F.least("label", "near", "hook").alias("label"), F.col("label").alias("was")), "labels")
         jump = low.select(F.col("node").alias("label"), F.col("label").alias("next"))
         labels = staged(low.join(jump, "label", "left").select("node", F.coalesce("next", "label").alias("label"), "was"), "labels")
         if not labels.where("label <> was").limit(1).count():

@@ -489,6 +489,12 @@ def test_components(spark):
     assert {r["node"]: r["label"] for r in jaccard.components(links).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 10: 10, 11: 10, 12: 10}
 
 
+def test_components_of_a_long_path(spark):
+    nodes = random.Random(3).sample(range(1_000_000), 2000)
+    links = spark.createDataFrame(list(zip(nodes, nodes[1:])), "a long, b long")
+    assert {tuple(r) for r in jaccard.components(links).collect()} == {(n, min(nodes)) for n in nodes}
+
+
 # WARC
 
 
