@@ -26,7 +26,7 @@ def apart(docs: DataFrame, stage) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = toxicity.fit(toxicity.sample_rows(docs, training_labels(labels)))
+    model = toxicity.learn(docs, training_labels(labels))
     return apart(docs, lambda d: toxicity.score(d, model).where("predicted = 0").select(*d.columns))
 
 

@@ -40,7 +40,7 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
-    model = toxicity.fit(toxicity.sample_rows(docs, training_labels(labels)))
+    model = toxicity.learn(docs, training_labels(labels))
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted", "n_windows", "top_gain")
 

@@ -163,8 +163,8 @@ def sample_rows(docs: DataFrame, labels: DataFrame, text: str = "text", label: s
 
     The labels are cut first, so that what is broadcast to fetch the texts is
     ``max_sample`` rows at most and no text is shuffled. ``max_chars`` bounds
-    the driver's memory: lengths are looked at before any text is sent, and rows
-    past the bound are left out of the fit.
+    the driver's memory: lengths are looked at before any text is sent, and only
+    the rows that would pass the bound are left out of the fit.
     """
     order = F.xxhash64(F.col(key).cast("string"), F.lit("toxicity"))
     drawn = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(order.alias("_o"), F.col(key).alias("_k"), F.col(label).cast("int").alias("_y"))
@@ -179,16 +179,23 @@ def sample_rows(docs: DataFrame, labels: DataFrame, text: str = "text", label: s
         return docs.select(F.col(key).cast("long").alias("_d"), F.coalesce(F.col(text), F.lit("")).alias("_t")).join(few, F.col("_d") == F.col("_k"))
 
     sizes = sorted((r["_o"], r["n"]) for r in fetched(chosen).groupBy("_o").agg(F.sum(F.length("_t")).alias("n")).collect())
-    total, last = 0, None
+    total, fits = 0, set()
     for o, n in sizes:
-        total += n
-        if total > max_chars:
-            break
-        last = o
-    kept = [r for r in chosen if last is not None and r[0] <= last]
+        if total + n <= max_chars:
+            total += n
+            fits.add(o)
+    kept = [r for r in chosen if r[0] in fits]
     return [(r["_t"], r["_y"]) for r in sorted(fetched(kept).select("_o", "_k", "_y", "_t").collect())] if kept else []
 
 
+def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", **bounds) -> ToxicityModel:
+    """The model of the sampled rows; an error where there are labelled rows and none of them fits the bounds."""
+    sample = sample_rows(docs, labels, label=label, key=key, **bounds)
+    if not sample and docs.join(labels.where(F.col(label).isNotNull()), key, "left_semi").limit(1).count():
+        raise ValueError("no labelled row fits the bounds of the sample")
+    return fit(sample)
+
+
 def score(docs: DataFrame, model: ToxicityModel, text: str = "text", threshold: float = 0.3) -> DataFrame:
     """``docs`` with ``score``, ``predicted``, ``n_windows`` and ``top_gain``."""
 

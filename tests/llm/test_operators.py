@@ -298,6 +298,15 @@ def test_sample_is_bounded(spark, docs):
     assert toxicity.sample_rows(docs, labels, max_chars=1) == []
 
 
+def test_long_texts_do_not_end_the_sample(spark):
+    for long in range(8):  # wherever it comes in the order
+        docs = spark.createDataFrame([(i, "x" * (500 if i == long else 10)) for i in range(8)], "doc_id long, text string")
+        labels = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, toxic int")
+        assert len(toxicity.sample_rows(docs, labels, max_chars=100)) == 7
+    with pytest.raises(ValueError, match="no labelled row"):
+        toxicity.learn(docs, labels, max_chars=5)
+
+
 # Media
 
 
