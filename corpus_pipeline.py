@@ -1,8 +1,9 @@
 """A corpus from raw documents to packed sequences, stage by stage.
 
-Each stage reads what the one before it wrote and works on all of it. An id
-names one document: rows that repeat an id are one document to the stage that
-drops near copies.
+Each stage reads what the one before it wrote and works on all of it. To the
+stage that drops near copies, an id and a text name one document: of each group
+of near copies the row with the smallest id stays, then with the smallest hash
+of its text; a null id comes last.
 """
 
 from __future__ import annotations
@@ -31,10 +32,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = jaccard.join_components(docs.select("doc_id", "text"))
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    groups = jaccard.join_components(docs.select(row.alias("row"), "text"), key="row")
+    first = groups.where("row = component_id").select(F.col("row.id").alias("_id"), F.col("row.hash").alias("_first")).distinct()
+
+    def firsts(d: DataFrame) -> DataFrame:
+        kept = d.withColumn("_hash", F.xxhash64("text")).join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_first")), "left_semi")
+        return kept.dropDuplicates(["doc_id", "_hash"]).select(*d.columns)
+
+    return apart(docs, firsts)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -51,5 +51,17 @@ def test_awkward_documents(spark):
         assert corpus_pipeline.pack(spark, held, "").count() == held.count()
 
 
+def test_survivors_are_chosen_by_row(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    near, c = a + " end", "some other text without an id at all"
+    rows = [(5, a), (5, b), (6, a), (5, near), (None, a), (None, near), (None, c), (None, c), (None, c + " too"), (None, None), (2, b + " end")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for parts in (1, 4):
+        told = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_copies(spark, docs.repartition(parts), "").collect()]
+        assert len([t for t in told if t in ((5, a), (5, near))]) == 1  # one of the group of a, by its hash
+        rest = [t for t in told if t not in ((5, a), (5, near))]
+        assert sorted(rest, key=str) == sorted([(2, b + " end"), (None, None), *[t for t in rest if t in ((None, c), (None, c + " too"))]], key=str) and len(rest) == 3
+
+
 def test_names_are_registered():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_copies", "personal_data", "mixing", "packing"]
