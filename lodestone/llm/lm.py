@@ -1,23 +1,30 @@
 """Language-model scoring from a log-frequency Bloom filter.
 
-Counting: words (A-Z lowered) and one end mark a text; unigrams and bigrams of
-the training rows are counted by hash, first within a million tokens, then by
-ranges of hashes. A count c is quantised to the level 1 + floor(log2 c), and the
-n-gram is put into a Bloom filter once for each level up to its own, so a reader
-probes level after level until one is missing. The filter is a table of parts,
-one for each range; it grows with its entries and keeps every level of every n-gram.
-
-Scoring: bigram and unigram interpolated, seen * c2 / c1 + (1 - seen) * p1 with
-p1 = (c + 0.5) / (N + 0.5 * (V + 1)), all counts from repeated probes. ``seen``
-is the share of tokens whose bigram may be expected in the filter, by Good and
-Turing: the mass of the bigrams above the first level. The exact unigram score
-beside it looks words up in the counts. Texts are taken a million tokens at a
-time; the distinct words and bigrams of such a chunk meet the filter's parts and
-the counts in one join by hash range, and what was found meets the chunk again.
+Counting: words (A-Z lowered) and one end mark a text; unigrams and bigrams are
+counted by hash, first within a chunk of a million tokens, then by ranges of
+hashes. A count is quantised downwards to one of ``STEPS`` (every count up to 8,
+then four steps an octave), and the n-gram is put into its range's Bloom filter
+once for each step up to its own, so a reader probes step after step until one is
+missing. The first step takes so many probes that all false members together
+hold less than 1/128 of a count after any context; filters grow with what they hold.
+
+Scoring: P(w | v) = (q(v, w) + k * P(w)) / (c(v) + k), with the quantised bigram
+count q from repeated probes, the exact total c(v) of the context, and
+P(w) = (q(w) + 0.5) / (Q + 0.5 * (V + 1)). As q is at most the count, the mass
+after a context is at most 1, but for one member in some thousands that a filter
+holds a step too high; it falls short by what quantising took (16 % of counts over
+8 at most, nothing of others). k is set so that the share of mass
+given to P is, over the training tokens, the share of tokens whose bigram is new,
+by Good and Turing. The exact unigram score beside it looks words up in the counts.
+
+A chunk sends its distinct words and bigrams once to the ranges, with their counts
+in training rows; a range adds the counts up, fills its filter, probes it for each
+chunk and answers. No filter has to be sent anywhere, so none is bounded. ``train``
+keeps the filters as a table, against which ``score`` reads other texts.
 
 Cases: null and empty texts hold the end mark alone; words of any length count;
 repeated rows score alike; without training rows every count is 0; an empty
-table gives an empty table; extra columns are ignored.
+table gives an empty table; extra columns are ignored; keys of any type are kept.
 """
 
 from __future__ import annotations
@@ -38,6 +45,12 @@ from ._shared import staged, trimmed
 
 END = np.uint64(0x1B873593CC9E2D51)
 _PAIR = np.uint64(0x9FB21C651E98DF25)
+_PAIR_BITS = 48  # of a bigram's hash, below the bits that name its range
+MORE_PROBES = 12  # for a step above the first: only members are asked for it
+
+#: What counts are quantised to.
+STEPS = np.unique(np.concatenate([np.arange(1, 9), np.ceil(8 * 2 ** (np.arange(1, 4 * 58) / 4))]).astype(np.int64))
+_FLOOR = np.concatenate([[0], STEPS])
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,226 +75,181 @@ def bigrams(token: np.ndarray) -> np.ndarray:
     return _words.mix(before * _PAIR + token)
 
 
-_PART = T.StructType([T.StructField(c, t) for c, t in (("key", T.LongType()), ("hashes", T.BinaryType()), ("counts", T.BinaryType()))])
-_COUNTED = T.StructType([T.StructField(c, t) for c, t in (("range", T.LongType()), ("words", T.BinaryType()), ("counts", T.BinaryType()), ("part", T.BinaryType()), ("n_words", T.LongType()), ("n_tokens", T.LongType()), ("repeated", T.LongType()))])
-
-
-def _rows(schema: T.StructType, rows: list[tuple]) -> pa.Table:
-    arrow = to_arrow_schema(schema)
-    return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow)], schema=arrow)
-
-
-def _planes(values: np.ndarray, n: int) -> bytes:
-    """The n low bytes, each in a row of its own: a row of small numbers compresses."""
-    return b"".join((values >> values.dtype.type(8 * i)).astype(np.uint8).tobytes() for i in range(n))
-
-
-def _unplaned(raw, n: int) -> np.ndarray:
-    rows = np.frombuffer(raw, np.uint8).reshape(n, -1).astype(np.uint64)
-    return sum((rows[i] << np.uint64(8 * i) for i in range(1, n)), rows[0])
-
-
-def _pack40(hashes: np.ndarray) -> bytes:
-    """Ascending hashes of 40 bits by their differences."""
-    return _planes(np.diff(hashes, prepend=np.uint64(0)), 5)
-
-
-def _unpack40(raw) -> np.ndarray:
-    return np.cumsum(_unplaned(raw, 5), dtype=np.uint64)
-
-
 def level(counts: np.ndarray) -> np.ndarray:
-    return np.frexp(counts.astype(np.float64))[1]  # 1 + floor(log2 c)
-
-
-def count(train: DataFrame, text: str, bits: int, chunk_tokens: int = 1_000_000, bits_per_entry: int = 10, probes: int = 5) -> DataFrame:
-    """By hash range: words with whole hashes and counts, and the filter's part.
+    """Number of the largest step that is no larger than the count; 0 for 0."""
+    return np.searchsorted(STEPS, counts, "right")
 
-    On the way, key = 2 * range + (0: unigrams, 1: bigrams); bigrams keep 40 bits.
-    A part has the bits that its entries need, as a power of two.
-    """
-
-    def run(batches):
-        held, size = [], 0
-
-        def flush():
-            for kind, hashes in enumerate((np.concatenate([t for t, _ in held]), np.concatenate([b for _, b in held]))):
-                value, many = np.unique(hashes, return_counts=True)
-                cut = np.append(np.searchsorted(value, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), len(value))
-                out, room = [], 0
-                for k in range(1 << bits):
-                    a, b = cut[k], cut[k + 1]
-                    if a < b:
-                        # of a bigram, 40 bits below the range's are enough; a word keeps all
-                        own = value[a:b] if not kind else value[a:b] >> np.uint64(24)
-                        packed = own.tobytes() if not kind else _pack40(own)
-                        out.append((2 * k + kind, packed, np.minimum(many[a:b], 0xFFFFFFFF).astype(np.uint32).tobytes()))
-                        room += len(packed) * 2
-                    if room > 2 << 20:
-                        yield from _rows(_PART, out).to_batches()
-                        out, room = [], 0
-                if out:
-                    yield from _rows(_PART, out).to_batches()
-
-        for batch in batches:
-            for _, data, offsets in _words.text_parts(batch.column(0)):
-                token, bounds = tokens(data, offsets)
-                held.append((token, bigrams(token)))
-                size += len(token)
-                if size >= chunk_tokens:
-                    yield from flush()
-                    held, size = [], 0
-        if held:
-            yield from flush()
-
-    def merge(table: pa.Table) -> pa.Table:
-        keys, found = table.column("key").to_pylist(), []
-        for kind in (0, 1):
-            hashes, counts = [np.empty(0, np.uint64)], [np.empty(0, np.uint32)]
-            for key, packed, many in zip(keys, table.column("hashes"), table.column("counts")):
-                if key & 1 == kind:
-                    hashes.append(_unpack40(packed.as_buffer()) if kind else np.frombuffer(packed.as_buffer(), np.uint64))
-                    counts.append(np.frombuffer(many.as_buffer(), np.uint32))
-            value, at = np.unique(np.concatenate(hashes), return_inverse=True)
-            found.append((value, np.bincount(at, weights=np.concatenate(counts), minlength=len(value)).astype(np.int64)))
-        part_bits = max(6, math.ceil(math.log2(max(1, bits_per_entry * sum(int(level(times).sum()) for _, times in found)))))
-        filled = np.zeros(1 << (part_bits - 6), np.uint64)
-        for value, times in found:
-            lev = level(times)
-            for j in range(1, int(lev.max(initial=0)) + 1):
-                for at in BloomCounts.places(value[lev >= j], j, probes, part_bits):
-                    np.bitwise_or.at(filled, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
-        (words, times), (_, pairs) = found
-        return _rows(_COUNTED, [(keys[0] >> 1, words.tobytes(), times.tobytes(), filled.tobytes(), len(words), int(times.sum()), int(pairs[pairs > 1].sum()))])
 
-    return train.select(text).mapInArrow(trimmed(run), _PART).groupBy(F.shiftright("key", 1)).applyInArrow(merge, _COUNTED)
+def counts_of(levels: np.ndarray) -> np.ndarray:
+    """The step of each level; 0 stays 0."""
+    return _FLOOR[levels].astype(np.float64)
 
 
 @dataclass(frozen=True)
 class BloomCounts:
-    """The filter's words and what probing needs. Ranges have a part each."""
+    """One range's filter: n-grams by level."""
 
-    data: np.ndarray
-    part_bits: int  # log2 of bits in a part
-    ranges: int  # log2 of the number of ranges
-    probes: int
-    least: int  # the lowest level kept
+    bits: np.ndarray  # one byte a bit while it is in use
+    probes: int  # of the first level
 
     @staticmethod
-    def places(hashes: np.ndarray, lev: int, probes: int, part_bits: int) -> list[np.ndarray]:
-        """Bit places in a part by double hashing."""
+    def places(hashes: np.ndarray, lev: int, probes: int, size: int):
+        """Bit places by double hashing; ``size`` is a power of two."""
         x = _words.mix(hashes + np.uint64(lev * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF))
         step = _words.mix(x) | np.uint64(1)
-        mask = np.uint64((1 << part_bits) - 1)
-        return [(x + np.uint64(i) * step) & mask for i in range(probes)]
+        for i in range(probes):
+            yield ((x + np.uint64(i) * step) & np.uint64(size - 1)).astype(np.int64)
+
+    @classmethod
+    def of(cls, grams: list[tuple[np.ndarray, np.ndarray]], vocabulary: int) -> BloomCounts:
+        """The filter of (hashes, counts); fewer than half of its bits are set."""
+        probes = math.ceil(math.log2(max(2, vocabulary))) + 7
+        levels = [level(times) for _, times in grams]
+        entries = sum(probes * int((lev > 0).sum()) + MORE_PROBES * int(np.maximum(lev - 1, 0).sum()) for lev in levels)
+        size = 1 << max(6, math.ceil(math.log2(max(1, entries / math.log(2)))))
+        bits = np.zeros(size, bool)
+        for (value, _), lev in zip(grams, levels):
+            for j in range(1, int(lev.max(initial=0)) + 1):
+                for at in cls.places(value[lev >= j], j, probes if j == 1 else MORE_PROBES, size):
+                    bits[at] = True
+        return cls(bits, probes)
 
-    def levels(self, hashes: np.ndarray, part: np.ndarray) -> np.ndarray:
+    def levels(self, hashes: np.ndarray) -> np.ndarray:
         """Level of each hash: 0 if it isn't held."""
-        out = np.zeros(len(hashes), np.int64)
-        active, lev = np.arange(len(hashes)), self.least
-        while len(active) and lev <= 64:
-            ok = np.ones(len(active), bool)
-            base = part[active] << np.int64(self.part_bits - 6)
-            for at in self.places(hashes[active], lev, self.probes, self.part_bits):
-                ok &= (self.data[base + (at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
-            active = active[ok]
+        out = np.zeros(len(hashes), np.uint8)
+        active, lev = np.arange(len(hashes)), 1
+        while len(active) and lev <= len(STEPS):
+            for at in self._passing(hashes[active], lev):
+                active = active[at]
             out[active] = lev
             lev += 1
         return out
 
+    def _passing(self, hashes: np.ndarray, lev: int):
+        """Places of those that pass each probe, among those that passed the one before."""
+        x = _words.mix(hashes + np.uint64(lev * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF))
+        step, mask = _words.mix(x) | np.uint64(1), np.uint64(len(self.bits) - 1)
+        for _ in range(self.probes if lev == 1 else MORE_PROBES):
+            ok = np.flatnonzero(self.bits[(x & mask).astype(np.int64)])
+            yield ok
+            x, step = x[ok] + step[ok], step[ok]
 
-def counts_of(levels: np.ndarray) -> np.ndarray:
-    """The middle of a level's counts; 0 stays 0."""
-    return np.where(levels > 0, 0.75 * np.exp2(levels.astype(np.float64)) - (levels > 1) * 0.5 - (levels == 1) * 0.5, 0.0)
+    def packed(self) -> bytes:
+        return bytes([self.probes]) + np.packbits(self.bits).tobytes()
+
+    @classmethod
+    def unpacked(cls, raw: bytes) -> BloomCounts:
+        return cls(np.unpackbits(np.frombuffer(raw, np.uint8, offset=1)).astype(bool), raw[0])
 
 
 @dataclass(frozen=True)
 class Model:
     ranges: int  # log2 of the number of ranges
-    probes: int
     train_tokens: int
     vocabulary: int
-    train_texts: int
-    seen: float
+    held: int  # sum of the words' quantised counts
+    new: float  # share of tokens whose bigram is expected to be new
+    strength: float  # k
+
+    def word(self, levels: np.ndarray) -> np.ndarray:
+        return (counts_of(levels) + 0.5) / (self.held + 0.5 * (self.vocabulary + 1))
+
+    def after(self, pair_levels: np.ndarray, context: np.ndarray, levels: np.ndarray) -> np.ndarray:
+        """Probability of words after contexts that occur ``context`` times."""
+        return (np.minimum(counts_of(pair_levels), context) + self.strength * self.word(levels)) / (context + self.strength)
+
+
+def _strength(by_level: np.ndarray, new: float) -> float:
+    """k with the mean of k / (c + k) over all training tokens equal to ``new``."""
+    c, low, high = counts_of(np.arange(len(by_level))), 1e-3, 1e9
+    total = by_level.sum()
+    for _ in range(80):
+        k = math.sqrt(low * high)
+        low, high = (k, high) if (by_level * k / (c + k)).sum() < new * total else (low, k)
+    return low
+
+
+def _schema(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(c, t) for c, t in fields.items()])
+
 
-    @property
-    def scale(self) -> float:
-        return self.train_tokens + 0.5 * (self.vocabulary + 1)
+def _rows(schema: T.StructType, rows: list[tuple]) -> pa.Table:
+    arrow = to_arrow_schema(schema)
+    return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow)], schema=arrow)
 
 
-def _bigram_key(hashes: np.ndarray) -> np.ndarray:
-    return hashes >> np.uint64(24)
+def _planes(values: np.ndarray, n: int) -> bytes:
+    """The n low bytes, each in a row of its own: a row of small numbers compresses."""
+    return b"".join((values >> values.dtype.type(8 * i)).astype(np.uint8).tobytes() for i in range(n))
+
 
+def _unplaned(raw, n: int) -> np.ndarray:
+    rows = np.frombuffer(raw, np.uint8).reshape(n, -1).astype(np.uint64)
+    return sum((rows[i] << np.uint64(8 * i) for i in range(1, n)), rows[0])
 
-def build(counted: DataFrame, bits: int, texts: int, probes: int = 5) -> Model:
-    """The model's numbers from written counts; its filter stays in their table."""
-    words, total, repeated = (x or 0 for x in counted.agg(F.sum("n_words"), F.sum("n_tokens"), F.sum("repeated")).first())
-    return Model(bits, probes, total, words, texts, min(0.95, repeated / max(1, total)))
 
+def _pack(hashes: np.ndarray, n: int) -> bytes:
+    """Ascending hashes of n bytes by their differences."""
+    return _planes(np.diff(hashes, prepend=np.uint64(0)), n)
 
-def score_tokens(model: Model, words: np.ndarray, at: np.ndarray, lev: np.ndarray, pair: np.ndarray, pair_lev: np.ndarray) -> np.ndarray:
-    """log10 probability of each token after the one before it (texts end in END).
 
-    Tokens are places in ``words``, pairs are places in the distinct bigrams.
-    """
-    one, two = counts_of(lev)[at], counts_of(pair_lev)[pair]
-    before = np.empty_like(one)
-    if len(one):
-        before[0] = counts_of(lev[words == END])[0]
-        before[1:] = one[:-1]
-    p = (one + 0.5) / model.scale
-    follow = np.minimum(two, before) / np.maximum(before, 1)
-    return np.log10(np.where(before > 0, model.seen * follow + (1 - model.seen) * p, p))
+def _unpack(raw, n: int) -> np.ndarray:
+    return np.cumsum(_unplaned(raw, n), dtype=np.uint64)
 
 
-#: Of a chunk and a range: distinct words and bigrams. The range itself comes with its words, their counts and its part.
-_ASK = T.StructType([T.StructField(c, t) for c, t in (("key", T.LongType()), ("chunk", T.LongType()), ("words", T.BinaryType()), ("pairs", T.BinaryType()), ("head", T.BinaryType()))])
-_TOLD = T.StructType([T.StructField(c, t) for c, t in (("key", T.LongType()), ("chunk", T.LongType()), ("counts", T.BinaryType()), ("levels", T.BinaryType()), ("pair_levels", T.BinaryType()), ("head", T.BinaryType()))])
-SCORED = [T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())]
+_L, _B = T.LongType(), T.BinaryType()
+#: Of a chunk and a range: distinct words and bigrams with their training counts. A chunk's head goes along under a key below 0.
+_SENT = _schema(key=_L, chunk=_L, words=_B, counts=_B, pairs=_B, pair_counts=_B, head=_B)
+#: The answer: exact counts of words, levels of both. A range adds a row of sums and, if it is kept, its words, counts and filter.
+_TOLD = _schema(key=_L, chunk=_L, words=_B, counts=_B, levels=_B, pair_levels=_B, head=_B, sums=T.ArrayType(_L))
+SCORED = [T.StructField("n_tokens", _L), T.StructField("n_known", _L), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())]
 
 
-def score(docs: DataFrame, model: Model, counted: DataFrame, key: str = "doc_id", text: str = "text", chunk_rows: int = 32768, chunk_tokens: int = 1_000_000) -> DataFrame:
-    """(key, n_tokens, n_known, base_score, score) of every row; ``key`` is a long."""
-    bits = model.ranges
+def _send(docs: DataFrame, key: str, text: str, training: Column, bits: int, heads: bool, chunk_rows: int = 32768, chunk_tokens: int = 1_000_000) -> DataFrame:
+    """Rows of ``_SENT`` for all documents."""
 
-    def ask(batches):
+    def run(batches):
         from pyspark import TaskContext
 
         chunk = (TaskContext.get().partitionId() + 1) << 24
-        starts = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
         held: list[tuple] = []
         rows = size = 0
 
-        def flush():
-            keys, valid, n, token = (np.concatenate(x) for x in zip(*held))
-            words, at, times = np.unique(token, return_inverse=True, return_counts=True)
-            often = np.argsort(-times, kind="stable")  # frequent words get small places
-            rank = np.empty(len(words), np.uint32)
-            rank[often] = np.arange(len(words), dtype=np.uint32)
-            places = _planes(rank[at], 4)
-            yield (-chunk, chunk, None, None, pickle.dumps((keys, valid, n, words[often], len(places), pa.compress(places, "zstd", asbytes=True))))
-            pairs = np.unique(bigrams(token))
-            cut, cut_pairs = (np.append(np.searchsorted(x, starts), len(x)) for x in (words, pairs))
-            for k in range(1 << bits):
-                a, b, c, d = cut[k], cut[k + 1], cut_pairs[k], cut_pairs[k + 1]
-                if a < b or c < d:
-                    yield (k, chunk, words[a:b].tobytes(), _pack40(_bigram_key(pairs[c:d])), None)
+        def parts(hashes: np.ndarray) -> dict[int, slice]:
+            where, first = np.unique(hashes >> np.uint64(64 - bits), return_index=True)
+            return {int(k): slice(a, b) for k, a, b in zip(where, first, [*first[1:], len(hashes)])}
+
+        def made():
+            keys, n, token, learnt = [h[0] for h in held], *(np.concatenate(x) for x in list(zip(*held))[1:])
+            words, at = np.unique(token, return_inverse=True)
+            counts = np.bincount(at, weights=learnt, minlength=len(words)).astype(np.uint32)
+            if heads:
+                often = np.argsort(-np.bincount(at), kind="stable")  # frequent words get small places
+                rank = np.empty(len(words), np.uint32)
+                rank[often] = np.arange(len(words), dtype=np.uint32)
+                places = _planes(rank[at], 4)
+                yield (-chunk, chunk, None, None, None, None, pickle.dumps((keys, n, words[often], len(places), pa.compress(places, "zstd", asbytes=True))))
+            pairs, at = np.unique(bigrams(token), return_inverse=True)
+            pair_counts = np.bincount(at, weights=learnt, minlength=len(pairs)).astype(np.uint32)
+            one, two, none = parts(words), parts(pairs), slice(0, 0)
+            for k in sorted(one.keys() | two.keys()):
+                a, b = one.get(k, none), two.get(k, none)
+                own = pairs[b] << np.uint64(bits) >> np.uint64(64 - _PAIR_BITS)
+                yield (k, chunk, _pack(words[a], 8), _planes(counts[a], 4), _pack(own, _PAIR_BITS // 8), _planes(pair_counts[b], 4), None)
 
         def send():
             out, room = [], 0
-            for row in flush():
+            for row in made():
                 out.append(row)
-                room += sum(len(x) for x in row[2:] if x) * 2
-                if room > 2 << 20:
-                    yield from _rows(_ASK, out).to_batches()
+                room += sum(len(x) for x in row[2:] if x)
+                if room > 1 << 20:
+                    yield from _rows(_SENT, out).to_batches()
                     out, room = [], 0
             if out:
-                yield from _rows(_ASK, out).to_batches()
+                yield from _rows(_SENT, out).to_batches()
 
         for batch in batches:
-            ids = batch.column(0).cast(pa.int64())
-            mask = np.asarray(ids.is_valid())
-            ids = np.asarray(ids.fill_null(0))
+            ids, learn = batch.column(0), np.asarray(batch.column(2).to_numpy(zero_copy_only=False), bool)
             for first, data, offsets in _words.text_parts(batch.column(1)):
                 token, bounds = tokens(data, offsets)
                 many = len(offsets) - 1
@@ -290,62 +258,113 @@ def score(docs: DataFrame, model: Model, counted: DataFrame, key: str = "doc_id"
                     held.clear()
                     rows = size = 0
                     chunk += 1
-                held.append((ids[first : first + many], mask[first : first + many], np.diff(bounds), token))
+                n = np.diff(bounds)
+                held.append((ids.take(pa.array(np.arange(first, first + many))), n, token, np.repeat(learn[first : first + many], n)))
                 rows += many
                 size += len(token)
         if held:
             yield from send()
 
-    def tell(table: pa.Table) -> pa.Table:
+    return docs.select(F.col(key), F.col(text), F.coalesce(training, F.lit(False)).alias("_learn")).mapInArrow(trimmed(run), _SENT)
+
+
+def _merged(rows: list[dict], hashes: str, counts: str, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes with a training count above 0, and their counts over all chunks."""
+    value, at = np.unique(np.concatenate([_unpack(r[hashes], n) for r in rows]), return_inverse=True)
+    times = np.bincount(at, weights=np.concatenate([_unplaned(r[counts], 4) for r in rows]), minlength=len(value)).astype(np.int64)
+    return value[times > 0], times[times > 0]
+
+
+def _answer(sent: DataFrame, bits: int, keep: bool = False, reply: bool = True) -> DataFrame:
+    """Rows of ``_TOLD`` for rows of ``_SENT`` and, with a kept filter, its ranges (chunk null)."""
+
+    def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         if rows[0]["key"] < 0:
-            return _rows(_TOLD, [(r["key"], r["chunk"], None, None, None, r["head"]) for r in rows])
-        value, times, filled = np.empty(0, np.uint64), np.empty(0, np.int64), np.zeros(1, np.uint64)
-        for r in rows:
-            if r["chunk"] is None:
-                value, times, filled = np.frombuffer(r["words"], np.uint64), np.frombuffer(r["pairs"], np.int64), np.frombuffer(r["head"], np.uint64)
-        bloom, out = BloomCounts(filled, len(filled).bit_length() + 5, 0, model.probes, 1), []
-
-        def levels(hashes: np.ndarray) -> bytes:
-            return bloom.levels(hashes, np.zeros(len(hashes), np.int64)).astype(np.uint8).tobytes()
-
-        for r in rows:
-            if r["chunk"] is not None:
-                hashes = np.frombuffer(r["words"], np.uint64)
-                c = np.zeros(len(hashes), np.int64)
-                if len(value):
-                    at = np.minimum(np.searchsorted(value, hashes), len(value) - 1)
-                    c = np.where(value[at] == hashes, times[at], 0)
-                out.append((r["key"], r["chunk"], c.tobytes(), levels(hashes), levels(_unpack40(r["pairs"])), None))
+            return _rows(_TOLD, [(r["key"], r["chunk"], None, None, None, None, r["head"], None) for r in rows])
+        out = []
+        kept = [r for r in rows if r["chunk"] is None]
+        rows = [r for r in rows if r["chunk"] is not None]
+        if kept:
+            words, times = np.frombuffer(kept[0]["words"], np.uint64), np.frombuffer(kept[0]["counts"], np.int64)
+            bloom = BloomCounts.unpacked(kept[0]["head"])
+        elif rows:
+            words, times = _merged(rows, "words", "counts", 8)
+            pairs, pair_times = _merged(rows, "pairs", "pair_counts", _PAIR_BITS // 8)
+            bloom = BloomCounts.of([(words, times), (pairs, pair_times)], len(words) << bits)
+            lev = level(times)
+            by_level = np.bincount(lev, weights=times, minlength=len(_FLOOR)).astype(np.int64)
+            sums = [len(words), int(times.sum()), int(_FLOOR[lev].sum()), int((pair_times == 1).sum()), *by_level.tolist()]
+            stored = (words.tobytes(), times.tobytes(), bloom.packed()) if keep else (None,) * 3
+            out.append((rows[0]["key"], None, *stored[:2], None, None, stored[2], sums))
+        for r in rows if reply else ():
+            hashes = _unpack(r["words"], 8)
+            c = np.zeros(len(hashes), np.uint64)
+            if len(words):
+                at = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
+                c = np.where(words[at] == hashes, times[at], 0).astype(np.uint64)
+            out.append((r["key"], r["chunk"], None, _planes(c, 6), bloom.levels(hashes).tobytes(), bloom.levels(_unpack(r["pairs"], _PAIR_BITS // 8)).tobytes(), None, None))
         return _rows(_TOLD, out)
 
-    done = T.StructType([T.StructField(key, T.LongType()), *SCORED])
+    return sent.groupBy("key").applyInArrow(run, _TOLD)
+
 
-    def finish(table: pa.Table) -> pa.Table:
+def _model(told: DataFrame, bits: int) -> Model:
+    """The model's numbers from written answers."""
+    sums = told.where("sums is not null").select(F.posexplode("sums").alias("i", "n")).groupBy("i").agg(F.sum("n").alias("n")).collect()  # a row for each of a few hundred steps
+    by = {r["i"]: r["n"] for r in sums}
+    words, total, held, single = (by.get(i, 0) for i in range(4))
+    new = min(0.98, max(0.02, single / max(1, total)))
+    return Model(bits, total, words, held, new, _strength(np.array([by.get(i + 4, 0) for i in range(len(_FLOOR))], float), new) if total else 1.0)
+
+
+def _finish(told: DataFrame, model: Model, key: T.StructField) -> DataFrame:
+    """(key, n_tokens, n_known, base_score, score) of every row, chunk by chunk."""
+    done = to_arrow_schema(T.StructType([key, *SCORED]))
+    scale = model.train_tokens + 0.5 * (model.vocabulary + 1)
+
+    def run(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["key"])  # the head, then ranges as hashes ascend
-        keys, valid, n, words, size, places = pickle.loads(rows[0]["head"])
+        keys, n, words, size, places = pickle.loads(rows[0]["head"])
         order = np.argsort(words)
         rank = np.empty(len(words), np.int64)
         rank[order] = np.arange(len(words))
         at, words = rank[_unplaned(pa.decompress(places, size, "zstd", asbytes=True), 4).astype(np.int64)], words[order]
-        counts, lev, pair_lev = (np.frombuffer(b"".join(r[c] for r in rows[1:]), t) for c, t in (("counts", np.int64), ("levels", np.uint8), ("pair_levels", np.uint8)))
+        counts = np.concatenate([_unplaned(r["counts"], 6) for r in rows[1:]]).astype(np.int64)
+        lev, pair_lev = (np.frombuffer(b"".join(r[c] for r in rows[1:]), np.uint8) for c in ("levels", "pair_levels"))
         pair = np.unique(bigrams(words[at]), return_inverse=True)[1]
-        starts = np.cumsum(n) - n
-        base = np.add.reduceat(np.log10((counts + 0.5) / model.scale)[at], starts)
-        known = np.add.reduceat((counts > 0).astype(np.int64)[at], starts)
-        scored = np.add.reduceat(score_tokens(model, words, at, lev, pair, pair_lev), starts)
-        return pa.Table.from_arrays([pa.array(keys, mask=~valid), pa.array(n), pa.array(known), pa.array(base), pa.array(scored)], schema=to_arrow_schema(done))
+        one, starts = counts[at], np.cumsum(n) - n
+        before = np.concatenate([counts[words == END], one[:-1]])
+        p = model.after(pair_lev[pair], before, lev[at])
+        base, known, scored = (np.add.reduceat(x, starts) for x in (np.log10((one + 0.5) / scale), (one > 0).astype(np.int64), np.log10(p)))
+        return pa.Table.from_arrays([pa.chunked_array(keys, done[0].type), pa.array(n), pa.array(known), pa.array(base), pa.array(scored)], schema=done)
+
+    return told.where("chunk is not null").groupBy("chunk").applyInArrow(run, T.StructType([key, *SCORED]))
+
 
-    ranges = counted.select(F.col("range").alias("key"), F.lit(None).cast("long").alias("chunk"), "words", F.col("counts").alias("pairs"), F.col("part").alias("head"))
-    asked = docs.select(F.col(key).cast("long").alias(key), text).mapInArrow(trimmed(ask), _ASK)
-    return asked.unionByName(ranges).groupBy("key").applyInArrow(tell, _TOLD).groupBy("chunk").applyInArrow(finish, done)
+def _range_bits(docs: DataFrame, text: str) -> int:
+    chars = docs.agg(F.sum(F.length(text))).first()[0] or 0
+    return max(4, math.ceil(math.log2(chars / 3_000_000 + 1)))
 
 
-def train_and_score(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "text", bits_per_entry: int = 10) -> tuple[DataFrame, Model]:
+def train_and_score(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, Model]:
     """Learns from the rows where ``training`` holds and scores all of them."""
-    train = docs.where(training)
-    facts = train.agg(F.count("*").alias("n"), F.sum(F.length(text)).alias("chars")).first()
-    bits = min(16, max(4, math.ceil(math.log2((facts["chars"] or 0) / 6_000_000 + 1))))
-    counted = staged(count(train, text, bits, bits_per_entry=bits_per_entry), "counts")
-    model = build(counted, bits, facts["n"])
-    return score(docs, model, counted, key, text), model
+    bits = _range_bits(docs, text)
+    told = staged(_answer(_send(docs, key, text, training, bits, True), bits), "told")
+    model = _model(told, bits)
+    return _finish(told, model, docs.schema[key]), model
+
+
+def train(docs: DataFrame, text: str = "text") -> tuple[DataFrame, Model]:
+    """The filters of all ranges as a written table, and the model's numbers."""
+    bits = _range_bits(docs, text)
+    held = staged(_answer(_send(docs.withColumn("_none", F.lit(0)), "_none", text, F.lit(True), bits, False), bits, keep=True, reply=False), "filter")
+    return held.select("key", "words", "counts", F.col("head").alias("filter")), _model(held, bits)
+
+
+def score(docs: DataFrame, model: Model, filters: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_tokens, n_known, base_score, score) of every row against kept filters."""
+    none = F.lit(None)
+    ranges = filters.select("key", none.cast("long").alias("chunk"), "words", "counts", none.cast("binary").alias("pairs"), none.cast("binary").alias("pair_counts"), F.col("filter").alias("head"))
+    sent = _send(docs, key, text, F.lit(False), model.ranges, True)
+    return _finish(_answer(sent.unionByName(ranges), model.ranges), model, docs.schema[key])
