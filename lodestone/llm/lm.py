@@ -46,7 +46,8 @@ from ._shared import staged, trimmed
 END = np.uint64(0x1B873593CC9E2D51)
 _PAIR = np.uint64(0x9FB21C651E98DF25)
 _PAIR_BITS = 48  # of a bigram's hash, below the bits that name its range
-MORE_PROBES = 12  # for a step above the first: only members are asked for it
+MORE_PROBES = 6  # for a step above the first: only members are asked for it
+_BLOCK = 1 << 18  # bits of a filter's block
 
 #: What counts are quantised to.
 STEPS = np.unique(np.concatenate([np.arange(1, 9), np.ceil(8 * 2 ** (np.arange(1, 4 * 58) / 4))]).astype(np.int64))
@@ -87,53 +88,57 @@ def counts_of(levels: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class BloomCounts:
-    """One range's filter: n-grams by level."""
+    """One range's filter: n-grams by level.
+
+    Hashes are 64 bits without the bits that name the range. Their first bits name
+    a block of the filter, so that ascending hashes are probed block after block.
+    """
 
     bits: np.ndarray  # one byte a bit while it is in use
     probes: int  # of the first level
 
-    @staticmethod
-    def places(hashes: np.ndarray, lev: int, probes: int, size: int):
-        """Bit places by double hashing; ``size`` is a power of two."""
+    def _walk(self, hashes: np.ndarray, lev: int) -> tuple[np.ndarray, ...]:
+        """First place, step and block of each hash for double hashing."""
+        block = min(len(self.bits), _BLOCK)
         x = _words.mix(hashes + np.uint64(lev * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF))
-        step = _words.mix(x) | np.uint64(1)
-        for i in range(probes):
-            yield ((x + np.uint64(i) * step) & np.uint64(size - 1)).astype(np.int64)
+        many = len(self.bits) // block
+        base = (hashes >> np.uint64(65 - many.bit_length())) * np.uint64(block) if many > 1 else np.zeros(len(hashes), np.uint64)
+        return x, _words.mix(x) | np.uint64(1), base
+
+    def _times(self, lev: int) -> int:
+        return self.probes if lev == 1 else MORE_PROBES
 
     @classmethod
     def of(cls, grams: list[tuple[np.ndarray, np.ndarray]], vocabulary: int) -> BloomCounts:
-        """The filter of (hashes, counts); fewer than half of its bits are set."""
-        probes = math.ceil(math.log2(max(2, vocabulary))) + 7
+        """The filter of (ascending hashes, counts); at most a quarter of its bits is set."""
+        probes = math.ceil((math.log2(max(2, vocabulary)) + 7) / 2)
         levels = [level(times) for _, times in grams]
         entries = sum(probes * int((lev > 0).sum()) + MORE_PROBES * int(np.maximum(lev - 1, 0).sum()) for lev in levels)
-        size = 1 << max(6, math.ceil(math.log2(max(1, entries / math.log(2)))))
-        bits = np.zeros(size, bool)
+        made = cls(np.zeros(1 << max(6, math.ceil(math.log2(max(1, entries / -math.log(0.75))))), bool), probes)
+        mask = np.uint64(min(len(made.bits), _BLOCK) - 1)
         for (value, _), lev in zip(grams, levels):
             for j in range(1, int(lev.max(initial=0)) + 1):
-                for at in cls.places(value[lev >= j], j, probes if j == 1 else MORE_PROBES, size):
-                    bits[at] = True
-        return cls(bits, probes)
+                x, step, base = made._walk(value[lev >= j], j)
+                for _ in range(made._times(j)):
+                    made.bits[(base | x & mask).astype(np.int64)] = True
+                    x += step
+        return made
 
     def levels(self, hashes: np.ndarray) -> np.ndarray:
         """Level of each hash: 0 if it isn't held."""
-        out = np.zeros(len(hashes), np.uint8)
+        out, mask = np.zeros(len(hashes), np.uint8), np.uint64(min(len(self.bits), _BLOCK) - 1)
         active, lev = np.arange(len(hashes)), 1
         while len(active) and lev <= len(STEPS):
-            for at in self._passing(hashes[active], lev):
-                active = active[at]
+            x, step, base = self._walk(hashes[active], lev)
+            for _ in range(self._times(lev)):
+                ok = self.bits[(base | x & mask).astype(np.int64)]
+                if not ok.all():
+                    active, x, step, base = active[ok], x[ok], step[ok], base[ok]
+                x = x + step
             out[active] = lev
             lev += 1
         return out
 
-    def _passing(self, hashes: np.ndarray, lev: int):
-        """Places of those that pass each probe, among those that passed the one before."""
-        x = _words.mix(hashes + np.uint64(lev * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF))
-        step, mask = _words.mix(x) | np.uint64(1), np.uint64(len(self.bits) - 1)
-        for _ in range(self.probes if lev == 1 else MORE_PROBES):
-            ok = np.flatnonzero(self.bits[(x & mask).astype(np.int64)])
-            yield ok
-            x, step = x[ok] + step[ok], step[ok]
-
     def packed(self) -> bytes:
         return bytes([self.probes]) + np.packbits(self.bits).tobytes()
 
@@ -198,7 +203,7 @@ def _unpack(raw, n: int) -> np.ndarray:
 
 
 _L, _B = T.LongType(), T.BinaryType()
-#: Of a chunk and a range: distinct words and bigrams with their training counts. A chunk's head goes along under a key below 0.
+#: Of a chunk and a range: distinct words and bigrams with their training counts. A chunk's head has key -1.
 _SENT = _schema(key=_L, chunk=_L, words=_B, counts=_B, pairs=_B, pair_counts=_B, head=_B)
 #: The answer: exact counts of words, levels of both. A range adds a row of sums and, if it is kept, its words, counts and filter.
 _TOLD = _schema(key=_L, chunk=_L, words=_B, counts=_B, levels=_B, pair_levels=_B, head=_B, sums=T.ArrayType(_L))
@@ -206,12 +211,10 @@ SCORED = [T.StructField("n_tokens", _L), T.StructField("n_known", _L), T.StructF
 
 
 def _send(docs: DataFrame, key: str, text: str, training: Column, bits: int, heads: bool, chunk_rows: int = 32768, chunk_tokens: int = 1_000_000) -> DataFrame:
-    """Rows of ``_SENT`` for all documents."""
+    """Rows of ``_SENT`` for all documents: the chunks' heads, or their parts by range."""
 
     def run(batches):
-        from pyspark import TaskContext
-
-        chunk = (TaskContext.get().partitionId() + 1) << 24
+        chunk = None
         held: list[tuple] = []
         rows = size = 0
 
@@ -222,13 +225,14 @@ def _send(docs: DataFrame, key: str, text: str, training: Column, bits: int, hea
         def made():
             keys, n, token, learnt = [h[0] for h in held], *(np.concatenate(x) for x in list(zip(*held))[1:])
             words, at = np.unique(token, return_inverse=True)
-            counts = np.bincount(at, weights=learnt, minlength=len(words)).astype(np.uint32)
             if heads:
                 often = np.argsort(-np.bincount(at), kind="stable")  # frequent words get small places
                 rank = np.empty(len(words), np.uint32)
                 rank[often] = np.arange(len(words), dtype=np.uint32)
                 places = _planes(rank[at], 4)
-                yield (-chunk, chunk, None, None, None, None, pickle.dumps((keys, n, words[often], len(places), pa.compress(places, "zstd", asbytes=True))))
+                yield (-1, chunk, None, None, None, None, pickle.dumps((keys, n, words[often], len(places), pa.compress(places, "zstd", asbytes=True))))
+                return
+            counts = np.bincount(at, weights=learnt, minlength=len(words)).astype(np.uint32)
             pairs, at = np.unique(bigrams(token), return_inverse=True)
             pair_counts = np.bincount(at, weights=learnt, minlength=len(pairs)).astype(np.uint32)
             one, two, none = parts(words), parts(pairs), slice(0, 0)
@@ -249,6 +253,8 @@ def _send(docs: DataFrame, key: str, text: str, training: Column, bits: int, hea
                 yield from _rows(_SENT, out).to_batches()
 
         for batch in batches:
+            if chunk is None and batch.num_rows:
+                chunk = batch.column(3)[0].as_py() << 24
             ids, learn = batch.column(0), np.asarray(batch.column(2).to_numpy(zero_copy_only=False), bool)
             for first, data, offsets in _words.text_parts(batch.column(1)):
                 token, bounds = tokens(data, offsets)
@@ -265,7 +271,7 @@ def _send(docs: DataFrame, key: str, text: str, training: Column, bits: int, hea
         if held:
             yield from send()
 
-    return docs.select(F.col(key), F.col(text), F.coalesce(training, F.lit(False)).alias("_learn")).mapInArrow(trimmed(run), _SENT)
+    return docs.select(F.col(key), F.col(text), F.coalesce(training, F.lit(False)).alias("_learn"), F.spark_partition_id().cast("long").alias("_part")).mapInArrow(trimmed(run), _SENT)
 
 
 def _merged(rows: list[dict], hashes: str, counts: str, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -279,10 +285,7 @@ def _answer(sent: DataFrame, bits: int, keep: bool = False, reply: bool = True)
     """Rows of ``_TOLD`` for rows of ``_SENT`` and, with a kept filter, its ranges (chunk null)."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        if rows[0]["key"] < 0:
-            return _rows(_TOLD, [(r["key"], r["chunk"], None, None, None, None, r["head"], None) for r in rows])
-        out = []
+        rows, out = table.to_pylist(), []
         kept = [r for r in rows if r["chunk"] is None]
         rows = [r for r in rows if r["chunk"] is not None]
         if kept:
@@ -291,7 +294,7 @@ def _answer(sent: DataFrame, bits: int, keep: bool = False, reply: bool = True)
         elif rows:
             words, times = _merged(rows, "words", "counts", 8)
             pairs, pair_times = _merged(rows, "pairs", "pair_counts", _PAIR_BITS // 8)
-            bloom = BloomCounts.of([(words, times), (pairs, pair_times)], len(words) << bits)
+            bloom = BloomCounts.of([(words << np.uint64(bits), times), (pairs << np.uint64(64 - _PAIR_BITS), pair_times)], len(words) << bits)
             lev = level(times)
             by_level = np.bincount(lev, weights=times, minlength=len(_FLOOR)).astype(np.int64)
             sums = [len(words), int(times.sum()), int(_FLOOR[lev].sum()), int((pair_times == 1).sum()), *by_level.tolist()]
@@ -303,7 +306,7 @@ def _answer(sent: DataFrame, bits: int, keep: bool = False, reply: bool = True)
             if len(words):
                 at = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
                 c = np.where(words[at] == hashes, times[at], 0).astype(np.uint64)
-            out.append((r["key"], r["chunk"], None, _planes(c, 6), bloom.levels(hashes).tobytes(), bloom.levels(_unpack(r["pairs"], _PAIR_BITS // 8)).tobytes(), None, None))
+            out.append((r["key"], r["chunk"], None, _planes(c, 6), bloom.levels(hashes << np.uint64(bits)).tobytes(), bloom.levels(_unpack(r["pairs"], _PAIR_BITS // 8) << np.uint64(64 - _PAIR_BITS)).tobytes(), None, None))
         return _rows(_TOLD, out)
 
     return sent.groupBy("key").applyInArrow(run, _TOLD)
@@ -318,7 +321,7 @@ def _model(told: DataFrame, bits: int) -> Model:
     return Model(bits, total, words, held, new, _strength(np.array([by.get(i + 4, 0) for i in range(len(_FLOOR))], float), new) if total else 1.0)
 
 
-def _finish(told: DataFrame, model: Model, key: T.StructField) -> DataFrame:
+def _finish(told: DataFrame, heads: DataFrame, model: Model, key: T.StructField) -> DataFrame:
     """(key, n_tokens, n_known, base_score, score) of every row, chunk by chunk."""
     done = to_arrow_schema(T.StructType([key, *SCORED]))
     scale = model.train_tokens + 0.5 * (model.vocabulary + 1)
@@ -332,14 +335,19 @@ def _finish(told: DataFrame, model: Model, key: T.StructField) -> DataFrame:
         at, words = rank[_unplaned(pa.decompress(places, size, "zstd", asbytes=True), 4).astype(np.int64)], words[order]
         counts = np.concatenate([_unplaned(r["counts"], 6) for r in rows[1:]]).astype(np.int64)
         lev, pair_lev = (np.frombuffer(b"".join(r[c] for r in rows[1:]), np.uint8) for c in ("levels", "pair_levels"))
-        pair = np.unique(bigrams(words[at]), return_inverse=True)[1]
+        pairs, pair = np.unique(bigrams(words[at]), return_inverse=True)
+        if (len(words), len(pairs)) != (len(counts), len(pair_lev)):
+            raise ValueError("the documents came in other parts when they were read again: write them to a table first")
         one, starts = counts[at], np.cumsum(n) - n
         before = np.concatenate([counts[words == END], one[:-1]])
         p = model.after(pair_lev[pair], before, lev[at])
         base, known, scored = (np.add.reduceat(x, starts) for x in (np.log10((one + 0.5) / scale), (one > 0).astype(np.int64), np.log10(p)))
         return pa.Table.from_arrays([pa.chunked_array(keys, done[0].type), pa.array(n), pa.array(known), pa.array(base), pa.array(scored)], schema=done)
 
-    return told.where("chunk is not null").groupBy("chunk").applyInArrow(run, T.StructType([key, *SCORED]))
+    both = told.where("chunk is not null").select("key", "chunk", "counts", "levels", "pair_levels", "head")
+    none = F.lit(None).cast("binary")
+    both = both.unionByName(heads.select("key", "chunk", none.alias("counts"), none.alias("levels"), none.alias("pair_levels"), "head"))
+    return both.groupBy("chunk").applyInArrow(run, T.StructType([key, *SCORED]))
 
 
 def _range_bits(docs: DataFrame, text: str) -> int:
@@ -348,11 +356,14 @@ def _range_bits(docs: DataFrame, text: str) -> int:
 
 
 def train_and_score(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, Model]:
-    """Learns from the rows where ``training`` holds and scores all of them."""
+    """Learns from the rows where ``training`` holds and scores all of them.
+
+    ``docs`` is read twice, and must come in the same parts both times, as a table does; else an error is raised.
+    """
     bits = _range_bits(docs, text)
-    told = staged(_answer(_send(docs, key, text, training, bits, True), bits), "told")
+    told = staged(_answer(_send(docs, key, text, training, bits, False), bits), "told")
     model = _model(told, bits)
-    return _finish(told, model, docs.schema[key]), model
+    return _finish(told, _send(docs, key, text, training, bits, True), model, docs.schema[key]), model
 
 
 def train(docs: DataFrame, text: str = "text") -> tuple[DataFrame, Model]:
@@ -366,5 +377,5 @@ def score(docs: DataFrame, model: Model, filters: DataFrame, key: str = "doc_id"
     """(key, n_tokens, n_known, base_score, score) of every row against kept filters."""
     none = F.lit(None)
     ranges = filters.select("key", none.cast("long").alias("chunk"), "words", "counts", none.cast("binary").alias("pairs"), none.cast("binary").alias("pair_counts"), F.col("filter").alias("head"))
-    sent = _send(docs, key, text, F.lit(False), model.ranges, True)
-    return _finish(_answer(sent.unionByName(ranges), model.ranges), model, docs.schema[key])
+    sent, heads = (_send(docs, key, text, F.lit(False), model.ranges, h) for h in (False, True))
+    return _finish(_answer(sent.unionByName(ranges), model.ranges), heads, model, docs.schema[key])
