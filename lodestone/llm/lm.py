@@ -274,39 +274,46 @@ def _send(docs: DataFrame, key: str, text: str, training: Column, bits: int, hea
     return docs.select(F.col(key), F.col(text), F.coalesce(training, F.lit(False)).alias("_learn"), F.spark_partition_id().cast("long").alias("_part")).mapInArrow(trimmed(run), _SENT)
 
 
-def _merged(rows: list[dict], hashes: str, counts: str, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes with a training count above 0, and their counts over all chunks."""
-    value, at = np.unique(np.concatenate([_unpack(r[hashes], n) for r in rows]), return_inverse=True)
+def _merged(rows: list[dict], hashes: str, counts: str, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes of all chunks, their training counts, each chunk's places among them, and where chunks begin."""
+    own = [_unpack(r[hashes], n) for r in rows]
+    value, at = np.unique(np.concatenate(own), return_inverse=True)
     times = np.bincount(at, weights=np.concatenate([_unplaned(r[counts], 4) for r in rows]), minlength=len(value)).astype(np.int64)
-    return value[times > 0], times[times > 0]
+    return value, times, at, np.cumsum([0, *map(len, own)])
 
 
 def _answer(sent: DataFrame, bits: int, keep: bool = False, reply: bool = True) -> DataFrame:
     """Rows of ``_TOLD`` for rows of ``_SENT`` and, with a kept filter, its ranges (chunk null)."""
+    tail = np.uint64(64 - _PAIR_BITS)
 
     def run(table: pa.Table) -> pa.Table:
         rows, out = table.to_pylist(), []
         kept = [r for r in rows if r["chunk"] is None]
         rows = [r for r in rows if r["chunk"] is not None]
+        if not rows:
+            return _rows(_TOLD, [])
+        words, times, at, cut = _merged(rows, "words", "counts", 8)
+        pairs, pair_times, pair_at, pair_cut = _merged(rows, "pairs", "pair_counts", _PAIR_BITS // 8)
         if kept:
-            words, times = np.frombuffer(kept[0]["words"], np.uint64), np.frombuffer(kept[0]["counts"], np.int64)
+            held, held_times = np.frombuffer(kept[0]["words"], np.uint64), np.frombuffer(kept[0]["counts"], np.int64)
             bloom = BloomCounts.unpacked(kept[0]["head"])
-        elif rows:
-            words, times = _merged(rows, "words", "counts", 8)
-            pairs, pair_times = _merged(rows, "pairs", "pair_counts", _PAIR_BITS // 8)
-            bloom = BloomCounts.of([(words << np.uint64(bits), times), (pairs << np.uint64(64 - _PAIR_BITS), pair_times)], len(words) << bits)
+            if len(held):
+                place = np.minimum(np.searchsorted(held, words), len(held) - 1)
+                times = np.where(held[place] == words, held_times[place], 0)
+        else:
+            known, old = times > 0, pair_times > 0
+            grams = [(words[known] << np.uint64(bits), times[known]), (pairs[old] << tail, pair_times[old])]
+            bloom = BloomCounts.of(grams, int(known.sum()) << bits)
             lev = level(times)
             by_level = np.bincount(lev, weights=times, minlength=len(_FLOOR)).astype(np.int64)
-            sums = [len(words), int(times.sum()), int(_FLOOR[lev].sum()), int((pair_times == 1).sum()), *by_level.tolist()]
-            stored = (words.tobytes(), times.tobytes(), bloom.packed()) if keep else (None,) * 3
+            sums = [int(known.sum()), int(times.sum()), int(_FLOOR[lev].sum()), int((pair_times == 1).sum()), *by_level.tolist()]
+            stored = (words[known].tobytes(), times[known].tobytes(), bloom.packed()) if keep else (None,) * 3
             out.append((rows[0]["key"], None, *stored[:2], None, None, stored[2], sums))
-        for r in rows if reply else ():
-            hashes = _unpack(r["words"], 8)
-            c = np.zeros(len(hashes), np.uint64)
-            if len(words):
-                at = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
-                c = np.where(words[at] == hashes, times[at], 0).astype(np.uint64)
-            out.append((r["key"], r["chunk"], None, _planes(c, 6), bloom.levels(hashes << np.uint64(bits)).tobytes(), bloom.levels(_unpack(r["pairs"], _PAIR_BITS // 8) << np.uint64(64 - _PAIR_BITS)).tobytes(), None, None))
+        if reply:
+            lev, pair_lev = bloom.levels(words << np.uint64(bits)), bloom.levels(pairs << tail)
+            for i, r in enumerate(rows):
+                a, b = at[cut[i] : cut[i + 1]], pair_at[pair_cut[i] : pair_cut[i + 1]]
+                out.append((r["key"], r["chunk"], None, _planes(times[a].astype(np.uint64), 6), lev[a].tobytes(), pair_lev[b].tobytes(), None, None))
         return _rows(_TOLD, out)
 
     return sent.groupBy("key").applyInArrow(run, _TOLD)
