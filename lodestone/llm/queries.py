@@ -68,10 +68,7 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    rows, sizes, targets = mixing.mix_sources(docs)
-    facts = F.broadcast(spark.createDataFrame([(s, int(n), float(targets[s])) for s, n in sizes.items()], "_s string, source_size long, target double"))
-    joined = rows.join(facts, F.col("source").eqNullSafe(F.col("_s")))
-    return joined.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+    return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

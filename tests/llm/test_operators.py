@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import itertools
 import math
 import random
 import re
@@ -456,19 +457,115 @@ def test_flow_meets_overlapping_targets_at_least_cost():
     assert all(sum(flow[p].values()) <= n for p, n in {"x": 100, "y": 50, "xy": 100}.items())  # no repeats needed
 
 
+def test_flow_over_many_overlapping_patterns_is_quick():
+    rng = random.Random(6)
+    names = [f"q{i}" for i in range(20)]
+    members = {}
+    while len(members) < 5000:
+        chosen = tuple(sorted(rng.sample(names, rng.randint(1, 5))))
+        members["+".join(chosen)] = chosen
+    sizes = {p: rng.randint(0, 5000) for p in members}
+    total = sum(sizes.values())
+    targets = share = {q: float(int(1.5 * total * w / sum(range(1, 21)))) for q, w in zip(names, range(1, 21))}
+    flow = mixing.min_cost_flow(sizes, members, targets, 2)
+    into = Counter()
+    for p, by in flow.items():
+        assert sum(by.values()) <= 2 * sizes[p] and all(v >= 0 for v in by.values())
+        into.update(by)
+    assert all(into[q] <= share[q] for q in names)
+    # no path is left from a pattern with words to spare to a source that wants more
+    open_, queue = set(), [p for p in members if sum(flow[p].values()) < 2 * sizes[p]]
+    holders = defaultdict(list)
+    for p, by in flow.items():
+        for q, v in by.items():
+            if v:
+                holders[q].append(p)
+    while queue:
+        for q in members[queue.pop()]:
+            if q not in open_:
+                open_.add(q)
+                queue += holders[q]
+    assert all(into[q] == share[q] for q in open_)
+
+
+def test_flow_costs_no_more_than_by_brute_force():
+    rng = random.Random(2)
+    for _ in range(30):
+        members = {p: tuple(p) for p in rng.sample(["a", "b", "ab", "bc", "abc", "c"], 3)}
+        sizes = {p: rng.randint(0, 3) for p in members}
+        targets = {q: float(rng.randint(0, 4)) for q in "abc"}
+        flow = mixing.min_cost_flow(sizes, members, targets, 2)
+        cost = lambda n, size: min(n, size) + 4 * max(0, n - size)
+        best = (0, 0)
+        options = [[c for c in itertools.product(range(7), repeat=len(members[p])) if sum(c) <= 2 * sizes[p]] for p in members]
+        for choice in itertools.product(*options):
+            into = Counter()
+            for p, c in zip(members, choice):
+                into.update(dict(zip(members[p], c)))
+            if all(into[q] <= targets[q] for q in targets):
+                best = max(best, (sum(into.values()), -sum(cost(sum(c), sizes[p]) for p, c in zip(members, choice))))
+        got = (sum(sum(f.values()) for f in flow.values()), -sum(cost(sum(flow[p].values()), sizes[p]) for p in members))
+        assert got == best
+
+
+def brute_mix(rows, plan, limit):
+    """Rows (order, pattern, words) by plan {pattern: (whole, rest)}: copies in the order of the rows' numbers."""
+    out, run = Counter(), Counter()
+    for order, pattern, words in sorted(rows, key=lambda r: r[0]):
+        whole, rest = plan[pattern]
+        more = run[pattern] < rest and run[pattern] + words / 2 <= rest
+        run[pattern] += words
+        out[order, min(limit, whole + more)] += 1
+    return out
+
+
 def test_mixing(spark, docs, rows, empty):
-    out, sizes, targets = mixing.mix_sources(docs)
-    got = out.collect()
+    got = mixing.mix_sources(docs.select("doc_id", "text", "source")).collect()
     assert Counter((r["doc_id"], r["size"]) for r in got) == Counter((i, len(words_of(t))) for i, t in rows)
-    biggest = max(r["size"] for r in got)
-    for s, target in targets.items():
-        taken = sum(r["taken"] for r in got if r["source"] == s)
-        assert abs(taken - target) <= biggest and all(0 <= r["taken"] <= 2 * r["size"] for r in got)
-    assert sum(targets.values()) == pytest.approx(1.5 * sum(sizes.values()))
-    again = mixing.mix_sources(docs.repartition(5))[0].collect()
+    biggest, total = max(r["size"] for r in got), sum(r["size"] for r in got)
+    targets = {r["source"]: (r["target"], r["source_size"]) for r in got}
+    for s, (target, n) in targets.items():
+        own = [r for r in got if r["source"] == s]
+        assert n == sum(r["size"] for r in own) and abs(sum(r["taken"] for r in own) - target) <= biggest
+        assert all(0 <= r["taken"] <= 2 * r["size"] and r["taken"] == r["copies"] * r["size"] for r in own)
+    assert sum(t for t, _ in targets.values()) == pytest.approx(1.5 * total)
     key = lambda rs: sorted((str(r["doc_id"]), r["size"], r["taken"]) for r in rs)
-    assert key(got) == key(again)
-    assert mixing.mix_sources(empty)[0].collect() == []
+    for parts in (1, 5):
+        assert key(got) == key(mixing.mix_sources(docs.select("doc_id", "text", "source").orderBy(F.rand(parts)).repartition(parts)).collect())
+    tabled = mixing.mix_sources(docs.select("doc_id", "text", "source"), max_patterns=1).collect()
+    assert key(got) == key(tabled) and {r["source"]: round(r["target"], 6) for r in tabled} == {s: round(t, 6) for s, (t, _) in targets.items()}
+    assert mixing.mix_sources(empty).collect() == [] and mixing.mix_sources(empty, max_patterns=-1).collect() == []
+    clash = mixing.mix_sources(docs.withColumn("copies", F.lit("mine")).withColumn("taken", F.lit(1)))
+    assert clash.columns == ["doc_id", "source", "score", "size", "source_size", "target", "copies", "taken"] and clash.count() == len(rows)
+
+
+def test_mixing_chooses_by_the_order_alone(spark, docs):
+    with_order = mixing._held(mixing.with_words(docs.select("doc_id", "text", "source")), F.col("source"), "size", 17, ["doc_id"], ["doc_id", "text"])
+    plan = {"s0": (0, 700), "s1": (1, 33), "s2": (0, 0), None: (1, 1)}
+    placed = mixing._placed(with_order.withColumn("at", F.col("_order")), spark.createDataFrame([(k, *v) for k, v in plan.items()], mixing._PLAN), ["at"], 2)
+    want = brute_mix([(r["_order"], r["_pattern"], r["_words"]) for r in with_order.collect()], plan, 2)
+    assert Counter((r["at"], r["copies"]) for r in placed.collect()) == want
+
+
+def test_mixing_of_one_id_and_of_equal_rows(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join("w" * rng.randint(1, 40)), s) for i, s in [(7, "a")] * 150 + [(None, "b")] * 150]
+    rows += [(8, "the same words", "c")] * 300 + [(9, "one", "d")]
+    seen = set()
+    for seed in range(4):
+        rng.shuffle(rows)
+        got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(1 + seed), keep=["doc_id", "text", "source"])
+        seen.add(tuple(sorted((str(r["doc_id"]), r["text"], r["copies"]) for r in got.collect())))
+        same = sum(r["copies"] for r in got.where("doc_id = 8").collect())
+        assert abs(3 * same - got.where("doc_id = 8").first()["target"]) <= 3
+    assert len(seen) == 1
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("a \t\n\x0b\x0c\r\x1c\x85\xa0é世"), max_size=30), min_size=1, max_size=30))
+def test_word_counts(spark, texts):
+    got = mixing.with_words(spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "i int, text string")).orderBy("i").collect()
+    assert [r["size"] for r in got] == [*(len(t.encode().split()) for t in texts), 0]
 
 
 # Jaccard
