@@ -50,7 +50,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     def repeated(d: DataFrame) -> DataFrame:
-        rows, _, _ = mixing.mix_sources(d, keep=d.columns)
+        rows = mixing.mix_sources(d, keep=d.columns)
         return rows.withColumn("_copy", F.explode(F.expr("array_repeat(0, copies)"))).select(*d.columns)
 
     return apart(docs, repeated)
