@@ -151,13 +151,17 @@ def _held(docs: DataFrame, pattern: Column, size: str, seed: int, keep: list[str
     return staged(docs.select(*keep, pattern.alias("_pattern"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("_words"), order.alias("_order")), "mix")
 
 
-def _placed(held: DataFrame, plan: DataFrame, keep: list[str], repeats: int) -> DataFrame:
-    """Rows with copies and taken. ``plan``: ``_PLAN`` and what else rows are to have, one row a pattern."""
+def _placed(held: DataFrame, plan: DataFrame, keep: list[str], repeats: int, few: bool) -> DataFrame:
+    """Rows with copies and taken. ``plan``: ``_PLAN`` and what else rows are to have, one row a pattern.
+
+    ``few``: the plan has been counted and has ``max_patterns`` rows at most, so it may be broadcast.
+    """
+    sent = F.broadcast if few else lambda df: df
     same = F.col("_pattern").eqNullSafe(F.col("_q"))
     edge = plan.select("_q", "_rest", F.lit(0).cast("long").alias("_prefix"), F.lit(0).cast("long").alias("_before"), F.lit(0).cast("long").alias("_n")).where("_rest > 0")
     for low in range(48, -1, -12):  # the bits below those that this round adds
         digit = F.shiftrightunsigned("_order", low)
-        near = held.select("_pattern", "_words", "_order").join(edge, same & (F.shiftrightunsigned("_order", low + 12) == F.col("_prefix")))
+        near = held.select("_pattern", "_words", "_order").join(sent(edge), same & (F.shiftrightunsigned("_order", low + 12) == F.col("_prefix")))
         sums = near.groupBy("_q", "_rest", "_before", digit.alias("_digit")).agg(F.sum("_words").alias("_n"))  # 4,096 rows a pattern at most
         run = F.sum("_n").over(W.partitionBy("_q").orderBy("_digit").rowsBetween(W.unboundedPreceding, -1))
         at = sums.withColumn("_upto", F.col("_before") + F.coalesce(run, F.lit(0))).where("_upto < _rest and _upto + _n >= _rest")
@@ -168,7 +172,7 @@ def _placed(held: DataFrame, plan: DataFrame, keep: list[str], repeats: int) ->
     copies = F.least(F.col("_whole") + F.when(F.col("_order") <= F.coalesce("_last", F.lit(-1)), 1).otherwise(0), F.lit(repeats)).cast("int")
     also = [c for c in plan.columns if not c.startswith("_")]
     kept = [F.col(c) for c in keep if c not in ("copies", "taken", *also)]
-    return held.join(full, same).select(*kept, *also, copies.alias("copies"), (copies * F.col("_words")).cast("long").alias("taken"))
+    return held.join(sent(full), same).select(*kept, *also, copies.alias("copies"), (copies * F.col("_words")).cast("long").alias("taken"))
 
 
 def mix(docs: DataFrame, pattern: Column, members, targets, size: str = "size", repeats: int = 2, seed: int = 17, max_patterns: int = 20_000, keep: list[str] | None = None, identity: list[str] | None = None) -> DataFrame:
@@ -184,7 +188,7 @@ def mix(docs: DataFrame, pattern: Column, members, targets, size: str = "size",
     if len(sums) > max_patterns:
         raise ValueError(f"more than {max_patterns} patterns of membership")
     sizes = {r["_pattern"]: r["n"] for r in sums}
-    return _placed(held, _flow_plan(held, sizes, members, targets(sizes), repeats), keep, repeats)
+    return _placed(held, _flow_plan(held, sizes, members, targets(sizes), repeats), keep, repeats, True)
 
 
 def _flow_plan(held: DataFrame, sizes: dict, members, targets: dict, repeats: int) -> DataFrame:
@@ -231,5 +235,5 @@ def mix_sources(docs: DataFrame, source: str = "source", text: str = "text", rat
         facts = held.sparkSession.createDataFrame([(s, n, targets[s]) for s, n in few.items()], "_s string, source_size long, target double")
         plan = _flow_plan(held, few, lambda p: [p], targets, limit)
         plan = plan.join(facts, F.col("_q").eqNullSafe(F.col("_s"))).drop("_s")
-    placed = _placed(held.withColumn("size", F.col("_words")), plan, [*keep, "size"], limit)
+    placed = _placed(held.withColumn("size", F.col("_words")), plan, [*keep, "size"], limit, len(few) <= max_patterns)
     return placed.select(*keep, *own)

@@ -542,7 +542,7 @@ def test_mixing(spark, docs, rows, empty):
 def test_mixing_chooses_by_the_order_alone(spark, docs):
     with_order = mixing._held(mixing.with_words(docs.select("doc_id", "text", "source")), F.col("source"), "size", 17, ["doc_id"], ["doc_id", "text"])
     plan = {"s0": (0, 700), "s1": (1, 33), "s2": (0, 0), None: (1, 1)}
-    placed = mixing._placed(with_order.withColumn("at", F.col("_order")), spark.createDataFrame([(k, *v) for k, v in plan.items()], mixing._PLAN), ["at"], 2)
+    placed = mixing._placed(with_order.withColumn("at", F.col("_order")), spark.createDataFrame([(k, *v) for k, v in plan.items()], mixing._PLAN), ["at"], 2, True)
     want = brute_mix([(r["_order"], r["_pattern"], r["_words"]) for r in with_order.collect()], plan, 2)
     assert Counter((r["at"], r["copies"]) for r in placed.collect()) == want
 
