@@ -1,16 +1,21 @@
 """Compression-distance toxicity: what a toxic dictionary saves over an ordinary one.
 
-Two zstandard dictionaries of equal length share a trained base of ordinary
-text. One is led by strings that toxic training documents hold far more often
-than chance allows, the other by as many bytes of the commonest ordinary words.
-A text is cut into windows at blanks, and each window is compressed against
-both; the gain is the difference in bytes. Windows hold one word: with longer
-ones the parse of the neighbours moves the length more than a toxic word does
-(held-out AUC 0.77 to 0.90 for 48-byte windows, fewer misses at no false alarm
-with words). A logistic curve over the largest gain, the mean of the top three
-and the number of windows past the threshold calibrates the score.
-
-Fitting reads a bounded sample (``max_sample`` rows); scoring reads all text.
+Two zstandard dictionaries of equal length end in the same base, which zstandard
+trains on ordinary text. One is led by strings that toxic training documents hold
+far more often than chance allows, the other by as many bytes of the commonest
+ordinary words. A text is cut into windows at blanks, and each window is compressed
+against both; the gain is the difference in bytes. A logistic curve over the
+largest gain, the mean of the top three and the number of windows past the
+threshold calibrates the score.
+
+The toxic lead is chosen by a test of counts and not by zstandard's own trainer,
+and windows hold one word: dictionaries that the trainer makes of toxic and of
+ordinary windows were tried and do not tell the documents apart (figures in the
+README), since what it keeps is mostly the ordinary text around a toxic word.
+
+Fitting reads a bounded sample (``max_sample`` rows, whole texts; ``base_pieces``
+pieces of eight words train the base, drawn by hash from all of them); scoring
+reads all text.
 
 Cases: null and empty texts have one gain of 0 and score below the threshold;
 words over 64 bytes are cut into several windows, so no part of a text is left
@@ -21,6 +26,7 @@ of an output is replaced.
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 import zlib
@@ -106,7 +112,7 @@ def _independent(rows: list[tuple[str, int]]) -> list[tuple[list[bytes], int]]:
     return out
 
 
-def fit(rows: list[tuple[str | None, int]], dict_bytes: int = 4096, base_bytes: int = 16384, alpha: float = 1e-5) -> ToxicityModel:
+def fit(rows: list[tuple[str | None, int]], dict_bytes: int = 4096, base_bytes: int = 16384, alpha: float = 1e-5, base_pieces: int = 60_000) -> ToxicityModel:
     """Dictionaries and calibration from a bounded list of (text, 0 or 1)."""
     kept = _independent([(t or "", int(y)) for t, y in rows if y is not None])
     by: tuple[Counter, Counter] = (Counter(), Counter())
@@ -138,7 +144,8 @@ def fit(rows: list[tuple[str | None, int]], dict_bytes: int = 4096, base_bytes:
 
     lead = packed([w for _, w in scored], dict_bytes)
     common = packed([w for w, _ in sorted(by[0].items(), key=lambda x: (-x[1], x[0])) if len(w) >= 4], len(lead))
-    plain = [b" ".join(found[i : i + 8]) for found, y in kept if not y for i in range(0, min(len(found), 320), 8)][:60_000]
+    pieces = (b" ".join(found[i : i + 8]) for found, y in kept if not y for i in range(0, len(found), 8))
+    plain = heapq.nsmallest(base_pieces, pieces, key=lambda piece: (zlib.crc32(piece), piece))
     try:
         base = zs.train_dictionary(base_bytes, plain).as_bytes()
     except zs.ZstdError:  # too little text to train on
