@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import text
 from .functions.encoders import Encoder, HashedWords, encode
-from .operators import catalog, change, kernels, quality, review, search
+from .operators import catalog, change, kernels, quality, raster, review, search
 
 
 class Engine:
@@ -63,6 +63,7 @@ class Engine:
 
 def quality_pipeline(pixels: DataFrame, height: int, width: int) -> tuple[DataFrame, DataFrame]:
     """(manifest, cleaned chips): gates, the clearest frame of a date as reference, standardisation."""
+    pixels = raster.by_tile(pixels)
     gated = quality.verdict(quality.gates(pixels, height, width))
     sharp = quality.sharpness(pixels)
     passed = gated.where("status = 'passed'").join(sharp, ["tile_id", "t"])
@@ -72,12 +73,12 @@ def quality_pipeline(pixels: DataFrame, height: int, width: int) -> tuple[DataFr
     return gated, kernels.standardised_chips(kept, references)
 
 
-def change_pipeline(pixels: DataFrame, strict: bool = True, width: int = 800, height: int = 800) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(events, legend, candidates) of a pair of dates a tile."""
-    shapes = kernels.change_shapes(pixels, strict)
+def change_pipeline(pixels: DataFrame, strict: bool = True, width: int = 800, height: int = 800, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(events, legend, candidates) of all pairs of consecutive dates of every tile."""
+    shapes = kernels.change_shapes(pixels, strict, **options)
     marks = shapes.where("is_global").withColumns({"type": F.col("category"), "confidence": F.lit(None).cast("double")})
     told = change.classify(change.keep(shapes.where("not is_global"), strict, width, height)).withColumn("confidence", change.confidence())
-    events = told.unionByName(marks).withColumn("event_id", F.xxhash64("tile_id", "category", "center_x", "center_y"))
+    events = told.unionByName(marks).withColumn("event_id", F.xxhash64("tile_id", "t_1", "category", "center_x", "center_y"))
     return events, change.legend(events), review.from_events(events.where("not is_global"))
 
 

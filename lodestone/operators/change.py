@@ -18,12 +18,13 @@ def pairs(observations: DataFrame, key: str = "site_id") -> DataFrame:
 def earliest(observations: DataFrame, limit: float = raster.SSIM_LIMIT) -> DataFrame:
     """The last observation of the leading run unlike the latest, else the one before the last.
 
-    Sites of fewer than three observations are left out.
+    Sites of fewer than three observations have the one before the last, or null.
     """
-    first = observations.groupBy("site_id").agg(F.max("n").alias("m"), F.min(F.when((F.col("sim") >= limit) & (F.col("rn") < F.col("n")), F.col("rn"))).alias("similar")).where("m >= 3")
-    pick = F.when(F.col("similar") == 1, F.col("m") - 1).otherwise(F.coalesce(F.col("similar") - 1, F.col("m") - 1))
+    first = observations.groupBy("site_id").agg(F.max("n").alias("m"), F.min(F.when((F.col("sim") >= limit) & (F.col("rn") < F.col("n")), F.col("rn"))).alias("similar"))
+    pick = F.when((F.col("similar") == 1) | (F.col("m") < 3), F.col("m") - 1).otherwise(F.coalesce(F.col("similar") - 1, F.col("m") - 1))
     chosen = first.select(F.col("site_id").alias("s"), pick.alias("pick"))
-    return observations.join(chosen, (F.col("site_id") == F.col("s")) & (F.col("rn") == F.col("pick"))).select("site_id", "obs_id")
+    held = observations.select("site_id", "rn", "obs_id")
+    return chosen.join(held, (F.col("site_id") == F.col("s")) & (F.col("rn") == F.col("pick")), "left").select(F.col("s").alias("site_id"), "obs_id")
 
 
 def keep(shapes: DataFrame, strict: bool = False, width: int = 800, height: int = 800) -> DataFrame:
@@ -47,4 +48,5 @@ def confidence():
 
 
 def legend(events: DataFrame) -> DataFrame:
-    return events.groupBy("type").agg(F.count("*").alias("count"), F.sum(F.col("area").cast("long")).alias("area"))
+    """Zones and area of each type, and whether any of it is a global marker."""
+    return events.groupBy("type").agg(F.count("*").alias("count"), F.sum(F.col("area").cast("long")).alias("area"), F.bool_or("is_global").alias("is_global"))

@@ -6,13 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions import geo
+
 
 def cloud(c: str = "cloud_cover") -> Column:
     """Cloud cover with an unknown one as complete."""
     return F.coalesce(c, F.lit(100.0))
 
 
-def catalog(scenes: DataFrame, first: str, last: str, most: float = 10.0) -> DataFrame:
+def catalog(scenes: DataFrame, first: str, last: str, most: float = 10.0, area=None, collection: str | None = None) -> DataFrame:
+    """Scenes of a collection whose box meets an area, in a range of time, below a cloud cover."""
+    box = (F.col("min_lon"), F.col("min_lat"), F.col("min_lon") + F.lit(0.045), F.col("min_lat") + F.lit(0.045))
+    if collection:
+        scenes = scenes.where(F.col("collection") == collection)
+    if area:
+        scenes = scenes.where(geo.intersects(box, area))
     return scenes.where((F.col("acq_ts") >= F.lit(first).cast("timestamp_ntz")) & (F.col("acq_ts") <= F.lit(last).cast("timestamp_ntz")) & (cloud() < most))
 
 

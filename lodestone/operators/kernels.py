@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import raster
@@ -112,12 +113,34 @@ def otsu_cut(values: np.ndarray) -> int:
     return int(np.nanargmax(np.where(np.isfinite(between), between, -1)))
 
 
-def align(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """``b`` moved by the whole-pixel shift that phase correlation finds."""
+def shift_between(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
+    """The whole-pixel shift of ``b`` that phase correlation finds, at most half a chip either way."""
     f = np.fft.fft2(a) * np.conj(np.fft.fft2(b))
     peak = np.fft.ifft2(f / np.maximum(np.abs(f), 1e-9)).real
-    dy, dx = np.unravel_index(peak.argmax(), peak.shape)
-    return np.roll(b, (int(dy), int(dx)), (0, 1))
+    return tuple(int(p) - n * (int(p) > n // 2) for p, n in zip(np.unravel_index(peak.argmax(), peak.shape), peak.shape))
+
+
+def moved(b: np.ndarray, by: tuple[int, int]) -> np.ndarray:
+    """``b`` moved, with 0 where nothing comes in."""
+    out, (h, w), (dy, dx) = np.zeros_like(b), b.shape, by
+    out[max(0, dy) : h + min(0, dy), max(0, dx) : w + min(0, dx)] = b[max(0, -dy) : h + min(0, -dy), max(0, -dx) : w + min(0, -dx)]
+    return out
+
+
+def align(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``b`` moved onto ``a``."""
+    return moved(b, shift_between(a, b))
+
+
+def resize(a: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Bilinear between pixel centres, held at the edges."""
+    out = a.astype(float)
+    for axis, n in ((0, height), (1, width)):
+        at = np.clip((np.arange(n) + 0.5) * a.shape[axis] / n - 0.5, 0, a.shape[axis] - 1)
+        low = np.floor(at).astype(int)
+        part = (at - low).reshape([-1 if i == axis else 1 for i in range(a.ndim)])
+        out = np.take(out, low, axis) * (1 - part) + np.take(out, np.minimum(low + 1, a.shape[axis] - 1), axis) * part
+    return np.round(out).astype(a.dtype)
 
 
 def regions(mask: np.ndarray) -> list[np.ndarray]:
@@ -323,33 +346,91 @@ def events(chip: dict[str, np.ndarray], strict: bool = True) -> list[Shape]:
     return out
 
 
+_POINTS = T.ArrayType(T.StructType([T.StructField("x", T.IntegerType()), T.StructField("y", T.IntegerType())]))
 SHAPES = T.StructType([T.StructField(c, t) for c, t in (
-    ("tile_id", T.LongType()), ("category", T.StringType()), ("area", T.DoubleType()), ("x", T.IntegerType()), ("y", T.IntegerType()), ("w", T.IntegerType()), ("h", T.IntegerType()),
+    ("tile_id", T.LongType()), ("t_1", T.IntegerType()), ("t_2", T.IntegerType()), ("category", T.StringType()), ("area", T.DoubleType()),
+    ("x", T.IntegerType()), ("y", T.IntegerType()), ("w", T.IntegerType()), ("h", T.IntegerType()),
     ("solidity", T.DoubleType()), ("extent", T.DoubleType()), ("aspect", T.DoubleType()), ("compactness", T.DoubleType()), ("center_x", T.IntegerType()), ("center_y", T.IntegerType()),
-    ("is_linear", T.BooleanType()), ("is_global", T.BooleanType()), ("contour", T.ArrayType(T.StructType([T.StructField("x", T.IntegerType()), T.StructField("y", T.IntegerType())]))),
+    ("is_linear", T.BooleanType()), ("is_global", T.BooleanType()), ("contour", _POINTS),
 )])
 
 
-def change_shapes(pixels: DataFrame, strict: bool = True) -> DataFrame:
-    """Measured shapes of every tile; a group is one chip at two dates."""
-    both = raster.two_dates(pixels, *((c, F.col(c)) for c in ("r", "g", "b", "nir")))
+def _planes(row: dict, tail: str = "") -> np.ndarray:
+    """(channels, height, width) of a chip row."""
+    return np.frombuffer(row["data" + tail], np.uint8).reshape(row["height" + tail], row["width" + tail], -1).transpose(2, 0, 1)
 
-    def one(table: pa.Table) -> pa.Table:
-        y, x = table.column("y").to_numpy(), table.column("x").to_numpy()
-        chip = {}
-        for name in table.column_names[3:]:
-            plane = np.zeros((int(y.max()) + 1, int(x.max()) + 1))
-            plane[y, x] = table.column(name).to_numpy()
-            chip[name] = plane
-        tile = table.column("tile_id")[0].as_py()
-        rows = [
-            {"tile_id": tile, "category": s.category, "area": s.area, **dict(zip("xywh", s.box)), "solidity": s.solidity, "extent": s.extent, "aspect": s.aspect, "compactness": s.compactness,
-             "center_x": s.centre[0], "center_y": s.centre[1], "is_linear": s.is_linear, "is_global": s.is_global, "contour": None if s.contour is None else [{"x": int(a), "y": int(b)} for a, b in s.contour]}
-            for s in events(chip, strict)
-        ]
-        return pa.Table.from_pylist(rows, schema=to_arrow_schema(SHAPES))
-
-    return both.groupBy("tile_id").applyInArrow(one, SHAPES)
+
+def change_shapes(pixels: DataFrame, strict: bool = True, enlarge: int = 1, aligned: bool = False) -> DataFrame:
+    """Measured shapes of all pairs of consecutive dates of every tile.
+
+    Pixels are gathered into one binary row a chip, a chip meets the tile's next
+    one, and a pair is one step of work: no date meets all others. A second chip
+    of another size is resized to the first; ``aligned`` moves it onto the first;
+    ``enlarge`` repeats every pixel so many times each way.
+    """
+    chips = to_chips(raster.by_tile(pixels), ("r", "g", "b", "nir"))
+    line = W.partitionBy("tile_id").orderBy("t")
+    pairs = chips.withColumns({f"{c}_2": F.lead(c).over(line) for c in ("t", "height", "width", "data")}).where("t_2 is not null")
+
+    def run(batches):
+        for batch in batches:
+            for at in range(batch.num_rows):
+                (row,) = batch.slice(at, 1).to_pylist()
+                one, two = _planes(row), _planes(row, "_2")
+                if one.shape != two.shape:
+                    two = np.stack([resize(p, *one.shape[1:]) for p in two])
+                if aligned:
+                    by = shift_between(*(p[:3].mean(axis=0) for p in (one, two)))
+                    two = np.stack([moved(p, by) for p in two])
+                big = [p.repeat(enlarge, axis=1).repeat(enlarge, axis=2) for p in (one, two)]
+                chip = {f"{c}_{t}": plane for t, p in enumerate(big, 1) for c, plane in zip(("r", "g", "b", "nir"), p)}
+                rows = [
+                    {"tile_id": row["tile_id"], "t_1": row["t"], "t_2": row["t_2"], "category": s.category, "area": s.area, **dict(zip("xywh", s.box)), "solidity": s.solidity, "extent": s.extent, "aspect": s.aspect, "compactness": s.compactness,
+                     "center_x": s.centre[0], "center_y": s.centre[1], "is_linear": s.is_linear, "is_global": s.is_global, "contour": None if s.contour is None else [{"x": int(a), "y": int(b)} for a, b in s.contour]}
+                    for s in events(chip, strict)
+                ]
+                yield pa.RecordBatch.from_pylist(rows, schema=to_arrow_schema(SHAPES))
+
+    return pairs.mapInArrow(run, SHAPES)
+
+
+def patch_similarity(a: np.ndarray, b: np.ndarray, size: int = 7) -> float | None:
+    """Mean structural similarity of two grey patches, away from their edges; null if they are too small."""
+    if a.shape != b.shape or min(a.shape) < size:
+        return None
+    half = size // 2
+    return float(similarity(a, b, size)[half:-half, half:-half].mean())
+
+
+def first_dates(pixels: DataFrame, events: DataFrame, around: int = 40, limit: float = raster.SSIM_LIMIT) -> DataFrame:
+    """(tile_id, center_x, center_y, first_t) of events: the last date of the leading run whose patch is unlike the latest.
+
+    Without such a run it is the date before the last, as for tiles of fewer than
+    three dates; null for a single date. Global markers have no place and are left out.
+    """
+    schema = T.StructType([T.StructField("tile_id", T.LongType()), T.StructField("center_x", T.IntegerType()), T.StructField("center_y", T.IntegerType()), T.StructField("first_t", T.IntegerType())])
+
+    def run(chips: pa.Table, found: pa.Table) -> pa.Table:
+        rows = sorted(chips.to_pylist(), key=lambda r: r["t"])
+        if not rows:
+            return pa.Table.from_pylist([], schema=to_arrow_schema(schema))
+        weigh = lambda r: np.round(np.tensordot(np.array([0.299, 0.587, 0.114]), _planes(r), 1))
+        late, before, out = weigh(rows[-1]), rows[-2]["t"] if len(rows) > 1 else None, []
+        for e in found.to_pylist():
+            box = tuple(slice(max(0, e[c] - around), e[c] + around) for c in ("center_y", "center_x"))
+            first = before
+            for r in rows[:-1] if len(rows) > 2 else ():
+                grey = weigh(r)
+                alike = patch_similarity(late[box], (grey if grey.shape == late.shape else resize(grey, *late.shape))[box])
+                if alike is None or alike >= limit:
+                    break
+                first = r["t"]
+            out.append({**e, "first_t": first})
+        return pa.Table.from_pylist(out, schema=to_arrow_schema(schema))
+
+    chips = to_chips(raster.by_tile(pixels))
+    places = events.where("not is_global").select("tile_id", "center_x", "center_y")
+    return chips.groupBy("tile_id").cogroup(places.groupBy("tile_id")).applyInArrow(run, schema)
 
 
 def dehaze(chip: np.ndarray, omega: float = 0.82, size: int = 15) -> np.ndarray:
@@ -419,15 +500,15 @@ def standardised_chips(pixels: DataFrame, references: DataFrame, most: int = 64)
     return pixels.select("tile_id", "t", "y", "x", "r", "g", "b").join(told, "t").groupBy("tile_id", "t").applyInArrow(one, CHIP_BYTES)
 
 
-def to_chips(pixels: DataFrame) -> DataFrame:
-    """Chips from pixel layout, one row a tile and date."""
+def to_chips(pixels: DataFrame, channels: tuple[str, ...] = ("r", "g", "b")) -> DataFrame:
+    """Chips from pixel layout, one row a tile and date; channels are interleaved."""
     arrow = to_arrow_schema(CHIP_BYTES)
 
     def one(table: pa.Table) -> pa.Table:
         y, x = table.column("y").to_numpy(), table.column("x").to_numpy()
-        chip = np.zeros((int(y.max()) + 1, int(x.max()) + 1, 3), np.uint8)
-        chip[y, x] = np.stack([table.column(c).to_numpy() for c in "rgb"], axis=1)
+        chip = np.zeros((int(y.max()) + 1, int(x.max()) + 1, len(channels)), np.uint8)
+        chip[y, x] = np.stack([table.column(c).to_numpy() for c in channels], axis=1)
         row = {"tile_id": table.column("tile_id")[0].as_py(), "t": table.column("t")[0].as_py(), "height": chip.shape[0], "width": chip.shape[1], "data": chip.tobytes()}
         return pa.Table.from_pylist([row], schema=arrow)
 
-    return pixels.select("tile_id", "t", "y", "x", "r", "g", "b").groupBy("tile_id", "t").applyInArrow(one, CHIP_BYTES)
+    return pixels.select(F.col("tile_id").cast("long").alias("tile_id"), F.col("t").cast("int").alias("t"), "y", "x", *channels).groupBy("tile_id", "t").applyInArrow(one, CHIP_BYTES)

@@ -27,19 +27,30 @@ def gates(pixels: DataFrame, height: int = 32, width: int = 32) -> DataFrame:
 
 
 def verdict(gated: DataFrame) -> DataFrame:
-    """Status, reason and confidence; the cloud gate speaks first."""
-    cloud, border = F.col("cloud_pct"), F.col("border_pct")
-    reason = F.when(cloud > raster.CLOUD_LIMIT, F.lit("cloud")).when(border > raster.BORDER_LIMIT, F.lit("border"))
-    confidence = F.round(F.greatest(F.lit(0.0), F.lit(1.0) - F.least(F.lit(1.0), cloud / 100 + border / 200)), 3)
-    return gated.withColumns({"status": F.when(reason.isNull(), "passed").otherwise("rejected"), "reason": reason, "confidence": confidence})
-
+    """Status, reason, message and confidence; the cloud gate speaks first.
 
-def sharpness(pixels: DataFrame, column: str = "r") -> DataFrame:
-    """Population variance of the four-neighbour Laplacian inside the chip."""
-    x, y = W.partitionBy(*raster.CHIP, "y").orderBy("x"), W.partitionBy(*raster.CHIP, "x").orderBy("y")
-    c = F.col(column)
-    lap = F.lag(c).over(x) + F.lead(c).over(x) + F.lag(c).over(y) + F.lead(c).over(y) - 4 * c
-    return pixels.withColumn("lap", lap).where("lap is not null").groupBy(*raster.CHIP).agg(F.var_pop(F.col("lap").cast("double")).alias("sharpness"))
+    A frame without shares could not be read: it is rejected, at confidence 0.
+    """
+    cloud, border = F.col("cloud_pct"), F.col("border_pct")
+    cases = {
+        "unreadable": (cloud.isNull() | border.isNull(), F.lit("Error: Failed to read image file.")),
+        "cloud": (cloud > raster.CLOUD_LIMIT, F.format_string("Rejected: Excessive cloud cover (%.1f%% > 15%%).", cloud)),
+        "border": (border > raster.BORDER_LIMIT, F.format_string("Rejected: Excessive black borders (%.1f%% > 25%%).", border)),
+    }
+    reason, message = F.lit(None).cast("string"), F.lit("Passed quality gate.")
+    for name, (holds, said) in reversed(cases.items()):
+        reason, message = F.when(holds, name).otherwise(reason), F.when(holds, said).otherwise(message)
+    confidence = F.coalesce(F.round(F.greatest(F.lit(0.0), F.lit(1.0) - F.least(F.lit(1.0), cloud / 100 + border / 200)), 3), F.lit(0.0))
+    return gated.withColumns({"status": F.when(reason.isNull(), "passed").otherwise("rejected"), "reason": reason, "message": message, "confidence": confidence})
+
+
+def sharpness(pixels: DataFrame) -> DataFrame:
+    """Population variance of the four-neighbour Laplacian of grey, mirrored at the edges."""
+    lines = W.partitionBy(*raster.CHIP, "y").orderBy("x"), W.partitionBy(*raster.CHIP, "x").orderBy("y")
+    c = F.col("grey")
+    near = [F.coalesce(one(c).over(w), other(c).over(w), c) for w in lines for one, other in ((F.lag, F.lead), (F.lead, F.lag))]
+    lap = sum(near, F.lit(-4.0) * c)
+    return pixels.withColumn("grey", raster.grey()).select(*raster.CHIP, lap.alias("lap")).groupBy(*raster.CHIP).agg(F.var_pop("lap").alias("sharpness"))
 
 
 def clarity(sharp: Column, similarity: Column) -> Column:
@@ -53,29 +64,33 @@ def master_reference(scored: DataFrame, band: str, score: str, order: str) -> Da
     return scored.withColumn("rn", first).where("rn = 1").drop("rn")
 
 
-def standardise(pixels: DataFrame) -> DataFrame:
-    """Dehaze, then colour and contrast; matching and smoothing follow on chips."""
-    return raster.enhance(raster.dehaze(pixels))
+def standardise(pixels: DataFrame, template: int = 0) -> DataFrame:
+    """Dehaze, colour and contrast, matching to the tile's raw chip of date ``template``, smoothing."""
+    out = raster.enhance(raster.dehaze(pixels))
+    for c in "rgb":
+        goal = raster.cdf(pixels.where(F.col("t") == template), c, *raster.CHIP)
+        table = raster.quantiles(raster.cdf(out, c, *raster.CHIP), goal).groupBy("tile_id").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("t", "v"), "matched"))).alias(f"_{c}"))
+        out = out.join(table, "tile_id").withColumn(c, F.element_at(f"_{c}", F.struct("t", F.col(c).alias("v")))).drop(f"_{c}")  # 256 entries a date at most
+    for c in "rgb":
+        out = raster.smooth(out, c, 30.0, 30.0)
+    return out
 
 
-def manifest(frames: DataFrame, key: str, order: str) -> DataFrame:
+def manifest(frames: DataFrame, key: str, *order: str) -> DataFrame:
     """One row a file name; a later band overwrites."""
-    last = F.row_number().over(W.partitionBy(key).orderBy(F.desc(order)))
+    last = F.row_number().over(W.partitionBy(key).orderBy(*(F.desc(c) for c in order)))
     return frames.withColumn("rn", last).where("rn = 1").drop("rn")
 
 
 def thumbnails(pixels: DataFrame, dark_limit: float, dead: int = 8, cloud_limit: float = 0.03) -> DataFrame:
     """Dark, dead-line and cloud tests of a thumbnail; ``ok`` if none rejects."""
     total = F.col("r") + F.col("g") + F.col("b")
-    tests = pixels.groupBy(*raster.CHIP).agg(
+    line = {axis: F.avg(total.cast("double") / 3).over(W.partitionBy(*raster.CHIP, axis)) for axis in ("y", "x")}
+    told = pixels.select(*raster.CHIP, "r", "g", "b", "y", "x", *(F.when(mean < 35, F.col(axis)).alias(f"_{axis}") for axis, mean in line.items()))
+    out = told.groupBy(*raster.CHIP).agg(
         F.avg((total < 35).cast("int").cast("double")).alias("dark"),
         F.avg(((F.col("r") > 200) & (F.col("g") > 200) & (F.col("b") > 200)).cast("int").cast("double")).alias("bright"),
+        *(F.size(F.collect_set(f"_{axis}")).cast("long").alias(f"dead_{axis}") for axis in ("y", "x")),  # as many as a chip has lines
     )
-    mean = F.avg(total.cast("double") / 3)
-    lines = []
-    for axis in ("y", "x"):
-        flat = pixels.groupBy(*raster.CHIP, axis).agg(mean.alias("m"))
-        lines.append(flat.groupBy(*raster.CHIP).agg(F.count_if(F.col("m") < 35).alias(f"dead_{axis}")))
-    out = tests.join(lines[0], list(raster.CHIP)).join(lines[1], list(raster.CHIP))
     ok = (F.col("dark") <= dark_limit) & (F.col("dead_y") < dead) & (F.col("dead_x") < dead) & (F.col("bright") <= cloud_limit)
     return out.withColumn("ok", ok)

@@ -48,12 +48,12 @@ def similar(tiles: DataFrame, seed: list[float], name: str, least: float = 55.0,
 def fuse(tiles: DataFrame, key: str) -> DataFrame:
     """Mean of the unit vectors of a key's bands, at unit length again.
 
-    Sums by component: partial sums of one row a key and component are shuffled.
+    One aggregate with a mean for each component: one row a key is shuffled, after partial sums.
     """
-    flat = tiles.select(key, F.posexplode(vectors.unit(F.col("embedding"))).alias("i", "x"))
-    mean = flat.groupBy(key, "i").agg(F.avg("x").alias("x"))
-    held = mean.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("embedding"))
-    return held.withColumn("embedding", vectors.unit(F.col("embedding")))
+    some = tiles.where(F.col("embedding").isNotNull()).select(F.size("embedding").alias("n")).first()
+    units = tiles.select(key, vectors.unit(F.col("embedding")).alias("u"))
+    mean = units.groupBy(key).agg(*(F.avg(F.get("u", F.lit(i))).alias(f"_{i}") for i in range(some["n"] if some else 0)))
+    return mean.select(key, vectors.unit(F.array(*(F.col(c) for c in mean.columns if c != key)).cast("array<double>")).alias("embedding"))
 
 
 def ensemble(prompts: list[list[float]], positive: list[list[float]] = (), negative: list[list[float]] = (), weight: float = 0.15) -> Column:

@@ -57,9 +57,10 @@ SHADOW = slide(opened(flag(f"{VALUE} <= 35", "shadow"), "shadow", 5), "shadow",
 GATES = f"""SELECT tile_id, t, 100 * avg(CASE WHEN {VALUE} > 180 AND {SAT} < 45 THEN 1::DOUBLE ELSE 0 END) AS cloud,
   100 * sum(CASE WHEN {GREY} < 15 THEN w ELSE 0 END)::DOUBLE / sum(w) AS border
   FROM (SELECT *, (y < 1)::INT + (y >= 31)::INT + (x < 1)::INT + (x >= 31)::INT AS w FROM pixels) GROUP BY tile_id, t"""
-SHARP = """SELECT tile_id, t, var_pop(lap::DOUBLE) AS sharpness FROM (
-  SELECT tile_id, t, lag(r) OVER hx + lead(r) OVER hx + lag(r) OVER hy + lead(r) OVER hy - 4 * r AS lap FROM pixels
-  WINDOW hx AS (PARTITION BY tile_id, t, y ORDER BY x), hy AS (PARTITION BY tile_id, t, x ORDER BY y)) WHERE lap IS NOT NULL GROUP BY tile_id, t"""
+SHARP = f"""SELECT tile_id, t, var_pop(lap) AS sharpness FROM (
+  SELECT tile_id, t, coalesce(lag(p) OVER hx, lead(p) OVER hx) + coalesce(lead(p) OVER hx, lag(p) OVER hx) + coalesce(lag(p) OVER hy, lead(p) OVER hy) + coalesce(lead(p) OVER hy, lag(p) OVER hy) - 4 * p AS lap
+  FROM (SELECT tile_id, t, y, x, {GREY} AS p FROM pixels)
+  WINDOW hx AS (PARTITION BY tile_id, t, y ORDER BY x), hy AS (PARTITION BY tile_id, t, x ORDER BY y)) GROUP BY tile_id, t"""
 NDVI = "CASE WHEN nir + r = 0 THEN 0::DOUBLE ELSE (nir - r)::DOUBLE / (nir + r) END"
 NDWI = "CASE WHEN g + nir = 0 THEN 0::DOUBLE ELSE (g - nir)::DOUBLE / (g + nir) END"
 BOTH = "(SELECT * FROM pixels WHERE t = 0) d1 JOIN (SELECT * FROM pixels WHERE t = 1) d2 USING (tile_id, y, x)"
@@ -73,18 +74,19 @@ def of(expr: str, alias: str) -> str:
     return out
 
 
-VEG = f"SELECT tile_id, y, x, v1 > 0.25 AND v1 - v2 > 0.12 AS loss, v2 > 0.25 AND v2 - v1 > 0.12 AS growth FROM (SELECT tile_id, y, x, {of(NDVI, 'd1')} AS v1, {of(NDVI, 'd2')} AS v2 FROM {BOTH})"
-CDF = "SELECT tile_id, t, r AS v, sum(c) OVER (PARTITION BY tile_id, t ORDER BY r)::DOUBLE / sum(c) OVER (PARTITION BY tile_id, t) AS cdf FROM (SELECT tile_id, t, r, count(*) AS c FROM pixels GROUP BY ALL)"
 
 
-def otsu(hist: str) -> str:
-    return f"""SELECT tile_id, v AS threshold FROM (
-      SELECT tile_id, v, row_number() OVER (PARTITION BY tile_id ORDER BY (s0*n - s*w0)*(s0*n - s*w0)/(w0*(n - w0)) DESC, v) AS rn FROM (
-        SELECT tile_id, v, sum(c) OVER w AS w0, sum(c*v) OVER w AS s0, sum(c) OVER (PARTITION BY tile_id) AS n, sum(c*v) OVER (PARTITION BY tile_id) AS s FROM ({hist})
-        WINDOW w AS (PARTITION BY tile_id ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) WHERE w0 < n) WHERE rn = 1"""
+def cdf(channel: str, source: str = "pixels") -> str:
+    return f"SELECT tile_id, t, v, sum(c) OVER (PARTITION BY tile_id, t ORDER BY v)::DOUBLE / sum(c) OVER (PARTITION BY tile_id, t) AS cdf FROM (SELECT tile_id, t, {channel} AS v, count(*) AS c FROM {source} GROUP BY ALL)"
+
+
+def otsu(hist: str, keys: str = "tile_id") -> str:
+    return f"""SELECT {keys}, v AS threshold FROM (
+      SELECT {keys}, v, row_number() OVER (PARTITION BY {keys} ORDER BY (s0*n - s*w0)*(s0*n - s*w0)/(w0*(n - w0)) DESC, v) AS rn FROM (
+        SELECT {keys}, v, sum(c) OVER w AS w0, sum(c*v) OVER w AS s0, sum(c) OVER (PARTITION BY {keys}) AS n, sum(c*v) OVER (PARTITION BY {keys}) AS s FROM ({hist})
+        WINDOW w AS (PARTITION BY {keys} ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) WHERE w0 < n) WHERE rn = 1"""
 
 
-GAIN = f"SELECT tile_id, y, x, (CASE WHEN d > 25 THEN d ELSE 0 END)::INT AS gain FROM (SELECT tile_id, y, x, greatest({of(GREY, 'd2')} - {of(GREY, 'd1')}, 0) AS d FROM {BOTH})"
 SUMS = {"sa": "p", "sb": "q", "saa": "p*p", "sbb": "q*q", "sab": "p*q", "n": "1::DOUBLE"}
 SSIM = f"""SELECT tile_id, y, x, ((2*ma*mb + 6.5025) * (2*cov + 58.5225)) / ((ma*ma + mb*mb + 6.5025) * (va + vb + 58.5225)) AS ssim FROM (
   SELECT tile_id, y, x, ma, mb, f*(saa/n - ma*ma) AS va, f*(sbb/n - mb*mb) AS vb, f*(sab/n - ma*mb) AS cov FROM (
@@ -92,6 +94,24 @@ SSIM = f"""SELECT tile_id, y, x, ((2*ma*mb + 6.5025) * (2*cov + 58.5225)) / ((ma
       SELECT tile_id, y, x, {", ".join(f"sum({k}) OVER (PARTITION BY tile_id, x ORDER BY y ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS {k}" for k in SUMS)} FROM (
         SELECT tile_id, y, x, {", ".join(f"sum({e}) OVER (PARTITION BY tile_id, y ORDER BY x ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS {k}" for k, e in SUMS.items())}
         FROM (SELECT tile_id, y, x, {of(GREY, "d1")} AS p, {of(GREY, "d2")} AS q FROM {BOTH})))))"""
+STRUCT = closed(opened(f"SELECT tile_id, 0 AS t, y, x, CASE WHEN floor(greatest(ssim, 0::DOUBLE) * 255) < 141 THEN 1 ELSE 0 END AS m FROM ({SSIM})", "m", 3), "m", 5)
+VEG = f"""SELECT tile_id, y, x, m = 1 AND v1 > 0.25 AND v1 - v2 > 0.12 AS loss, m = 1 AND v2 > 0.25 AND v2 - v1 > 0.12 AS growth
+  FROM (SELECT tile_id, y, x, {of(NDVI, 'd1')} AS v1, {of(NDVI, 'd2')} AS v2 FROM {BOTH}) JOIN ({STRUCT}) USING (tile_id, y, x)"""
+
+
+def smoothed(source: str, column: str, colour: int, keep: str) -> str:
+    """The bilateral mean of a disc of 13 pixels, read at mirrored places."""
+    last = {"y": "max(y) OVER (PARTITION BY tile_id, t)", "x": "max(x) OVER (PARTITION BY tile_id, t)"}
+    held = f"SELECT *, {last['y']} AS hy, {last['x']} AS hx FROM ({source})"
+    mirror = lambda c, d, h: f"CASE WHEN {c} + {d} < 0 THEN -({c} + {d}) WHEN {c} + {d} > {h} THEN 2 * {h} - {c} - {d} ELSE {c} + {d} END"
+    disc = ", ".join(f"({dy}, {dx})" for dy in range(-2, 3) for dx in range(-2, 3) if dy * dy + dx * dx <= 4)
+    asked = f"SELECT s.*, {mirror('y', 'dy', 'hy')} AS qy, {mirror('x', 'dx', 'hx')} AS qx, dy * dy + dx * dx AS far FROM ({held}) s, (VALUES {disc}) AS d(dy, dx)"
+    near = f"SELECT a.tile_id, a.t, a.y, a.x, n.{column}::DOUBLE AS near, exp(-((n.{column} - a.{column}) * (n.{column} - a.{column}))::DOUBLE / {2 * colour * colour} - far / {2 * colour * colour}::DOUBLE) AS k FROM ({asked}) a JOIN ({source}) n ON n.tile_id = a.tile_id AND n.t = a.t AND n.y = a.qy AND n.x = a.qx"
+    return f"SELECT {keep}, round_even(sum(k * near) / sum(k), 0)::INT AS {column} FROM ({near}) GROUP BY {keep}"
+
+
+_gain = f"SELECT tile_id, 0 AS t, y, x, greatest({of(GREY, 'd2')} - {of(GREY, 'd1')}, 0)::INT AS gain FROM {BOTH}"
+GAIN = f"SELECT tile_id, y, x, CASE WHEN gain > 25 THEN gain ELSE 0 END AS gain FROM ({smoothed(_gain, 'gain', 50, CHIP)})"
 DARK = slide("SELECT tile_id, t, y, x, r, g, b, least(r, g, b) AS dark FROM pixels", "dark", 15, "min", ", r, g, b")
 LIGHT = f"""SELECT tile_id, t, avg(r / 255::DOUBLE) AS a_r, avg(g / 255::DOUBLE) AS a_g, avg(b / 255::DOUBLE) AS a_b FROM (
   SELECT *, row_number() OVER (PARTITION BY tile_id, t ORDER BY dark DESC, y, x) AS rn, count(*) OVER (PARTITION BY tile_id, t) AS n FROM ({DARK})) WHERE rn <= greatest(n // 1000, 1) GROUP BY tile_id, t"""
@@ -115,6 +135,21 @@ def routed(rules, default) -> str:
     return f"SELECT CAST(i AS BIGINT) AS i, q, concat_ws(',', {', '.join(layer)}) AS layers, concat_ws(', ', {', '.join(hint)}) AS hints FROM {quoted(ASKED)}"
 
 
+def matched(source: str, goal: str) -> str:
+    """Values of a table of shares with the goal's values at their quantiles."""
+    return f"""WITH s AS ({source}), m AS ({goal}),
+      j AS (SELECT s.tile_id, s.t, s.v, s.cdf AS q, max(CASE WHEN m.cdf <= s.cdf THEN m.cdf END) AS lo, min(CASE WHEN m.cdf >= s.cdf THEN m.cdf END) AS hi, max(CASE WHEN m.cdf <= s.cdf THEN m.v END) AS vlo, min(CASE WHEN m.cdf >= s.cdf THEN m.v END) AS vhi FROM s JOIN m ON s.tile_id = m.tile_id GROUP BY ALL)
+      SELECT tile_id, t, v, CAST(floor((CASE WHEN lo IS NULL THEN vhi::DOUBLE WHEN hi IS NULL OR hi = lo THEN vlo::DOUBLE ELSE vlo + (q - lo) * (vhi - vlo) / (hi - lo) END) + 0.000000001::DOUBLE) AS INT) AS matched FROM j"""
+
+
+def standardised() -> str:
+    clear = enhanced(HAZE)
+    parts = {c: matched(cdf(c, f"({clear})"), cdf(c, "(SELECT * FROM pixels WHERE t = 0)")) for c in "rgb"}
+    level = f"SELECT e.tile_id, e.t, e.y, e.x, " + ", ".join(f"m{c}.matched AS {c}" for c in "rgb") + f" FROM ({clear}) e " + " ".join(f"JOIN ({q}) m{c} ON m{c}.tile_id = e.tile_id AND m{c}.t = e.t AND m{c}.v = e.{c}" for c, q in parts.items())
+    soft = {c: smoothed("SELECT * FROM level", c, 30, CHIP) for c in "rgb"}
+    return f"WITH level AS MATERIALIZED ({level}) SELECT {CHIP}, r, g, b FROM ({soft['r']}) JOIN ({soft['g']}) USING ({CHIP}) JOIN ({soft['b']}) USING ({CHIP})"
+
+
 SHARES = f"""SELECT *, exp(l1 - m) / z AS cloud_conf, exp(l2 - m) / z AS shadow_conf FROM (SELECT *, exp(l0 - m) + exp(l1 - m) + exp(l2 - m) AS z FROM (
   SELECT *, greatest(l0, l1, l2) AS m FROM (SELECT *, 10 * {dot(1)} AS l0, 10 * {dot(2)} AS l1, 10 * {dot(3)} AS l2 FROM tile_catalog)))"""
 PATH = "placename || '/' || layer || '/tile_' || lpad(CAST(tile_id AS VARCHAR), 5, '0')"
@@ -141,7 +176,7 @@ _RAW: dict[str, tuple[str, tuple[str, ...]]] = {
     "parse_date": (f"SELECT path, {DAY} AS acq_date FROM files", ("files",)),
     "available_dates": (f"SELECT DISTINCT {DAY} AS acq_date FROM files WHERE {DAY} IS NOT NULL ORDER BY 1", ("files",)),
     "existing_dates": ("SELECT split_part(path, '/', 2) AS place, count(DISTINCT split_part(filename, '_', 1)) AS n_dates FROM files WHERE lower(filename) LIKE '%.jpg' GROUP BY 1", ("files",)),
-    "catalog_search": ("SELECT item_id, place, round(cloud_cover, 6) AS cloud_cover FROM scenes WHERE acq_ts BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1996-12-31' AND coalesce(cloud_cover, 100) < 10", ("scenes",)),
+    "catalog_search": ("SELECT item_id, place, round(cloud_cover, 6) AS cloud_cover FROM scenes WHERE acq_ts BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1996-12-31' AND coalesce(cloud_cover, 100) < 10 AND collection = 'sentinel-2-l2a' AND " + AOI, ("scenes",)),
     "place_coalesce": ("SELECT c_custkey, coalesce(CASE WHEN c_custkey % 5 = 0 THEN nullif(c_name, '') END, CASE WHEN c_custkey % 3 <> 0 AND c_custkey % 4 = 0 THEN nullif(c_mktsegment, '') END, CASE WHEN c_custkey % 7 = 0 THEN 'county' END, CASE WHEN c_custkey % 2 = 0 THEN 'state' END, 'location') AS place FROM customer", ()),
     "date_filter": ("SELECT tile_id, acq_date FROM tile_catalog WHERE acq_date IS NULL OR acq_date BETWEEN DATE '2024-03-01' AND DATE '2024-09-30'", ("tile_catalog",)),
     "aoi_filter": (f"SELECT tile_id FROM tile_catalog WHERE (acq_date IS NULL OR acq_date BETWEEN DATE '2024-03-01' AND DATE '2024-09-30') AND {AOI}", ("tile_catalog",)),
@@ -161,17 +196,17 @@ _RAW: dict[str, tuple[str, tuple[str, ...]]] = {
     "seed_lookup": ("SELECT path, filename FROM files WHERE 'undated_tile34_nir.jpg' IN (filename, path) ORDER BY path LIMIT 1", ("files",)),
     "bbox_polygon": ("""SELECT tile_id, CAST(i AS BIGINT) AS i, round(min_lon + CASE WHEN i IN (1, 2) THEN 0.045::DOUBLE ELSE 0 END, 6) AS lon, round(min_lat + CASE WHEN i IN (2, 3) THEN 0.045::DOUBLE ELSE 0 END, 6) AS lat
       FROM tile_catalog, range(0, 5) r(i) WHERE min_lon IS NOT NULL""", ("tile_catalog",)),
-    "polygon_ring": ("""WITH p AS (SELECT site_id, rn, round(sim, 6) AS x, obs_id % 7 AS y FROM observations WHERE rn <= 1 + site_id % 5),
+    "polygon_ring": ("""WITH p AS (SELECT site_id, rn, round(sim, 6) AS x, obs_id % 7 AS y FROM observations),
       s AS (SELECT site_id, count(*) AS n, arg_min(x, rn) = arg_max(x, rn) AND arg_min(y, rn) = arg_max(y, rn) AS shut FROM p GROUP BY 1 HAVING count(*) >= 3)
       SELECT site_id, CAST(rn - 1 AS BIGINT) AS i, x, y FROM p JOIN s USING (site_id) UNION ALL SELECT site_id, n AS i, x, y FROM p JOIN s USING (site_id) WHERE NOT shut AND rn = 1""", ("observations",)),
-    "manifest": (f"SELECT filename, arg_max(band, path) AS band, max(path) AS path FROM (SELECT filename, path, {LAYER} AS band FROM files) GROUP BY filename", ("files",)),
-    "event_legend": (f"SELECT {TYPE} AS type, count(*) AS count, CAST(sum(CAST(area AS BIGINT)) AS BIGINT) AS area FROM shapes GROUP BY 1", ("shapes",)),
+    "manifest": (f"SELECT filename, band, path FROM (SELECT *, row_number() OVER (PARTITION BY filename ORDER BY CASE band WHEN 'true_color' THEN 1 WHEN 'false_color_nir' THEN 2 ELSE 3 END DESC, path DESC) AS rn FROM (SELECT filename, path, {LAYER} AS band FROM files)) WHERE rn = 1", ("files",)),
+    "event_legend": (f"SELECT {TYPE} AS type, count(*) AS count, CAST(sum(CAST(area AS BIGINT)) AS BIGINT) AS area, bool_or(is_global) AS is_global FROM shapes GROUP BY 1", ("shapes",)),
     "cache_missing": ("SELECT tile_id, layer FROM tile_catalog WHERE tile_id % 5 <> 0 AND tile_id % 3 = 0", ("tile_catalog",)),
     "cache_evict": ("SELECT tile_id, layer FROM tile_catalog WHERE tile_id % 3 <> 0 AND tile_id % 5 <> 0", ("tile_catalog",)),
     "index_add": ("SELECT tile_id, layer FROM tile_catalog WHERE tile_id % 3 <> 0 OR tile_id % 5 <> 0", ("tile_catalog",)),
     "cloud_pct": (f"SELECT tile_id, t, round(cloud, 6) AS cloud_pct FROM ({GATES})", ("pixels",)),
     "border_pct": (f"SELECT tile_id, t, round(border, 6) AS border_pct FROM ({GATES})", ("pixels",)),
-    "quality_verdict": (f"SELECT tile_id, t, CASE WHEN cloud > 15 OR border > 25 THEN 'rejected' ELSE 'passed' END AS status, CASE WHEN cloud > 15 THEN 'cloud' WHEN border > 25 THEN 'border' END AS reason FROM ({GATES})", ("pixels",)),
+    "quality_verdict": (f"SELECT tile_id, t, CASE WHEN cloud > 15 OR border > 25 THEN 'rejected' ELSE 'passed' END AS status, CASE WHEN cloud > 15 THEN 'cloud' WHEN border > 25 THEN 'border' END AS reason, CASE WHEN cloud > 15 THEN format('Rejected: Excessive cloud cover ({{:.1f}}% > 15%).', cloud) WHEN border > 25 THEN format('Rejected: Excessive black borders ({{:.1f}}% > 25%).', border) ELSE 'Passed quality gate.' END AS message FROM ({GATES})", ("pixels",)),
     "quality_confidence": (f"SELECT tile_id, t, round(greatest(0::DOUBLE, 1 - least(1::DOUBLE, cloud / 100 + border / 200)), 3) AS confidence FROM ({GATES})", ("pixels",)),
     "sharpness": (f"SELECT tile_id, t, round(sharpness, 6) AS sharpness FROM ({SHARP})", ("pixels",)),
     "clarity": (f"SELECT tile_id, t, round(sharpness + 5 * (100 * (tile_id / 100::DOUBLE)), 6) AS clarity FROM ({SHARP})", ("pixels",)),
@@ -193,21 +228,21 @@ _RAW: dict[str, tuple[str, tuple[str, ...]]] = {
     "water_change": (f"SELECT tile_id, y, x, w2 > 0.1 AND NOT w1 > 0.1 AS flood, w1 > 0.1 AND NOT w2 > 0.1 AS recede FROM (SELECT tile_id, y, x, {of(NDWI, 'd1')} AS w1, {of(NDWI, 'd2')} AS w2 FROM {BOTH})", ("pixels",)),
     "veg_change": (VEG, ("pixels",)),
     "seasonal_gate": (f"SELECT tile_id, round(s, 6) AS share, s > 0.09 AS is_global FROM (SELECT tile_id, avg(loss::INT::DOUBLE) AS s FROM ({VEG}) GROUP BY 1)", ("pixels",)),
-    "channel_cdf": (f"SELECT tile_id, t, v, round(cdf, 6) AS cdf FROM ({CDF})", ("pixels",)),
-    "otsu": (otsu("SELECT tile_id, r AS v, count(*)::DOUBLE AS c FROM pixels WHERE t = 1 GROUP BY ALL"), ("pixels",)),
-    "built_mask": (f"SELECT tile_id, y, x, coalesce(gain > threshold, false) AS built FROM ({GAIN}) LEFT JOIN ({otsu(f'SELECT tile_id, gain AS v, count(*)::DOUBLE AS c FROM ({GAIN}) GROUP BY ALL')}) USING (tile_id)", ("pixels",)),
+    "channel_cdf": (f"SELECT tile_id, t, v, round(cdf, 6) AS cdf FROM ({cdf('r')})", ("pixels",)),
+    "otsu": (otsu("SELECT tile_id, t, r AS v, count(*)::DOUBLE AS c FROM pixels GROUP BY ALL", "tile_id, t"), ("pixels",)),
+    "built_mask": (f"""WITH gains AS MATERIALIZED ({GAIN}), veg AS MATERIALIZED ({VEG}), st AS MATERIALIZED ({STRUCT})
+      SELECT tile_id, y, x, coalesce(gain > threshold, false) AND m = 1 AND NOT loss AS built FROM gains LEFT JOIN ({otsu('SELECT tile_id, gain AS v, count(*)::DOUBLE AS c FROM gains GROUP BY ALL')}) USING (tile_id)
+      JOIN st USING (tile_id, y, x) JOIN veg USING (tile_id, y, x)""", ("pixels",)),
     "ssim_box": (f"SELECT tile_id, y, x, round(ssim, 6) AS ssim FROM ({SSIM})", ("pixels",)),
-    "structural_change": (f"SELECT tile_id, y, x, m AS changed FROM ({closed(opened(f'SELECT tile_id, 0 AS t, y, x, CASE WHEN floor(greatest(ssim, 0::DOUBLE) * 255) < 141 THEN 1 ELSE 0 END AS m FROM ({SSIM})', 'm', 3), 'm', 5)})", ("pixels",)),
+    "structural_change": (f"SELECT tile_id, y, x, m AS changed FROM ({STRUCT})", ("pixels",)),
     "atmos_light": (f"SELECT tile_id, t, round(a_r, 6) AS a_r, round(a_g, 6) AS a_g, round(a_b, 6) AS a_b FROM ({LIGHT})", ("pixels",)),
     "dehaze": (HAZE, ("pixels",)),
     "enhance": (enhanced("SELECT * FROM pixels"), ("pixels",)),
-    "standardise": (enhanced(HAZE), ("pixels",)),
-    "hist_match": (f"""WITH c AS ({CDF}), s AS (SELECT * FROM c WHERE t = 1), m AS (SELECT * FROM c WHERE t = 0),
-      j AS (SELECT s.tile_id, s.v, s.cdf AS q, max(CASE WHEN m.cdf <= s.cdf THEN m.cdf END) AS lo, min(CASE WHEN m.cdf >= s.cdf THEN m.cdf END) AS hi, max(CASE WHEN m.cdf <= s.cdf THEN m.v END) AS vlo, min(CASE WHEN m.cdf >= s.cdf THEN m.v END) AS vhi FROM s JOIN m ON s.tile_id = m.tile_id GROUP BY ALL)
-      SELECT tile_id, v, CAST(floor((CASE WHEN lo IS NULL THEN vhi::DOUBLE WHEN hi IS NULL OR hi = lo THEN vlo::DOUBLE ELSE vlo + (q - lo) * (vhi - vlo) / (hi - lo) END) + 0.000000001::DOUBLE) AS INT) AS matched FROM j""", ("pixels",)),
+    "standardise": (standardised(), ("pixels",)),
+    "hist_match": (f"SELECT tile_id, v, matched FROM ({matched(f'SELECT * FROM ({cdf("r")}) WHERE t = 1', f'SELECT * FROM ({cdf("r")}) WHERE t = 0')})", ("pixels",)),
     "date_pairs": ("SELECT site_id, ts AS t1, nxt AS t2 FROM (SELECT site_id, ts, lead(ts) OVER (PARTITION BY site_id ORDER BY ts, obs_id) AS nxt FROM observations) WHERE nxt IS NOT NULL", ("observations",)),
-    "earliest_change": ("""SELECT o.site_id, o.obs_id FROM observations o JOIN (SELECT site_id, max(n) AS n, min(CASE WHEN sim >= 0.55 AND rn < n THEN rn END) AS f FROM observations GROUP BY site_id HAVING max(n) >= 3) f
-      ON o.site_id = f.site_id AND o.rn = CASE WHEN f.f = 1 THEN f.n - 1 ELSE coalesce(f.f - 1, f.n - 1) END""", ("observations",)),
+    "earliest_change": ("""SELECT f.site_id, o.obs_id FROM (SELECT site_id, max(n) AS n, min(CASE WHEN sim >= 0.55 AND rn < n THEN rn END) AS f FROM observations GROUP BY site_id) f LEFT JOIN observations o
+      ON o.site_id = f.site_id AND o.rn = CASE WHEN f.n < 3 OR f.f = 1 THEN f.n - 1 ELSE coalesce(f.f - 1, f.n - 1) END""", ("observations",)),
     "classify_event": (f"SELECT event_id, {TYPE} AS type FROM shapes", ("shapes",)),
     "event_confidence": (f"SELECT event_id, {CONFIDENCE} AS confidence FROM shapes", ("shapes",)),
     "semantic_search": (SEARCH, ("tile_catalog",)),
@@ -229,7 +264,7 @@ _RAW: dict[str, tuple[str, tuple[str, ...]]] = {
     "review_ranked": ("SELECT id, round(confidence, 6) AS confidence FROM candidates WHERE status = 'pending' ORDER BY confidence DESC, seq LIMIT 20", ("candidates",)),
     "review_state": ("WITH d AS (SELECT 'c' || CAST(seq % 50 + 1 AS VARCHAR) AS id, max(seq) AS at, arg_max(status, seq) AS decision FROM candidates WHERE status <> 'pending' GROUP BY 1) SELECT c.id, c.label, coalesce(d.decision, 'pending') AS status, d.at AS decision_at FROM candidates c LEFT JOIN d ON c.id = d.id", ("candidates",)),
     "feedback_terms": ("SELECT label, min(seq) AS seq FROM candidates WHERE status = 'confirmed' AND label <> '' GROUP BY 1 ORDER BY 2 LIMIT 3", ("candidates",)),
-    "review_from_search": (f"SELECT 'c' || CAST(row_number() OVER (ORDER BY path) AS VARCHAR) AS id, round(least(1::DOUBLE, greatest(0::DOUBLE, score / 100)), 3) AS confidence, CASE WHEN score >= 50 THEN 'confirmed' ELSE 'rejected' END AS status FROM ({SEARCH})", ("tile_catalog",)),
+    "review_from_search": (f"SELECT 'c' || CAST(row_number() OVER (ORDER BY path) AS VARCHAR) AS id, round(least(1::DOUBLE, greatest(0::DOUBLE, score / 100)), 3) AS confidence, CASE WHEN right(path, 1) < '5' THEN 'confirmed' ELSE 'rejected' END AS status FROM ({SEARCH})", ("tile_catalog",)),
     "review_from_events": (f"SELECT 'r' || CAST(event_id AS VARCHAR) AS id, category AS label, {CONFIDENCE} AS confidence, 'pending' AS status FROM shapes WHERE area > 400 AND {KEEP} AND (category <> 'Construction' OR extent >= 0.25)", ("shapes",)),
 }
 

@@ -36,6 +36,10 @@ def _vector(spark: SparkSession, sf: str, *ids: int) -> list[list[float]]:
     return [by[i] for i in ids]
 
 
+def _pixels(spark: SparkSession, sf: str) -> DataFrame:
+    return raster.by_tile(view(spark, sf, "pixels"))
+
+
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
@@ -99,7 +103,7 @@ def existing_dates(spark, sf):
 
 @query
 def catalog_search(spark, sf):
-    return _rounded(ingest.catalog(view(spark, sf, "scenes"), "1995-01-01", "1996-12-31").select("item_id", "place", "cloud_cover"), "cloud_cover")
+    return _rounded(ingest.catalog(view(spark, sf, "scenes"), "1995-01-01", "1996-12-31", area=AREA, collection="sentinel-2-l2a").select("item_id", "place", "cloud_cover"), "cloud_cover")
 
 
 @query
@@ -212,7 +216,7 @@ def bbox_polygon(spark, sf):
 
 @query
 def polygon_ring(spark, sf):
-    e = view(spark, sf, "observations").where("rn <= 1 + site_id % 5")
+    e = view(spark, sf, "observations")
     points = F.transform(F.array_sort(F.collect_list(F.struct("rn", F.round("sim", 6).alias("x"), (F.col("obs_id") % 7).alias("y")))), lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y")))
     rings = e.groupBy("site_id").agg(geo.closed(points).alias("ring"))
     return rings.where("ring is not null").select("site_id", F.posexplode("ring").alias("i", "p")).select("site_id", F.col("i").cast("long").alias("i"), "p.x", "p.y")
@@ -221,7 +225,8 @@ def polygon_ring(spark, sf):
 @query
 def manifest(spark, sf):
     files = view(spark, sf, "files").select("filename", text.layer_of(F.col("path")).alias("band"), "path")
-    return quality.manifest(files, "filename", "path").select("filename", "band", "path")
+    turn = F.array_position(F.array(*map(F.lit, ("true_color", "false_color_nir", "agriculture_swir"))), F.col("band"))
+    return quality.manifest(files.withColumn("turn", turn), "filename", "turn", "path").select("filename", "band", "path")
 
 
 @query
@@ -252,32 +257,32 @@ def index_add(spark, sf):
 
 @query
 def cloud_pct(spark, sf):
-    return _rounded(quality.gates(view(spark, sf, "pixels")).select("tile_id", "t", "cloud_pct"), "cloud_pct")
+    return _rounded(quality.gates(_pixels(spark, sf)).select("tile_id", "t", "cloud_pct"), "cloud_pct")
 
 
 @query
 def border_pct(spark, sf):
-    return _rounded(quality.gates(view(spark, sf, "pixels")).select("tile_id", "t", "border_pct"), "border_pct")
+    return _rounded(quality.gates(_pixels(spark, sf)).select("tile_id", "t", "border_pct"), "border_pct")
 
 
 @query
 def quality_verdict(spark, sf):
-    return quality.verdict(quality.gates(view(spark, sf, "pixels"))).select("tile_id", "t", "status", "reason")
+    return quality.verdict(quality.gates(_pixels(spark, sf))).select("tile_id", "t", "status", "reason", "message")
 
 
 @query
 def quality_confidence(spark, sf):
-    return quality.verdict(quality.gates(view(spark, sf, "pixels"))).select("tile_id", "t", "confidence")
+    return quality.verdict(quality.gates(_pixels(spark, sf))).select("tile_id", "t", "confidence")
 
 
 @query
 def sharpness(spark, sf):
-    return _rounded(quality.sharpness(view(spark, sf, "pixels")), "sharpness")
+    return _rounded(quality.sharpness(_pixels(spark, sf)), "sharpness")
 
 
 def _clear(spark, sf):
     score = quality.clarity(F.col("sharpness"), F.col("tile_id") / F.lit(100.0))
-    return quality.sharpness(view(spark, sf, "pixels")).select("tile_id", "t", F.round(score, 6).alias("clarity"))
+    return quality.sharpness(_pixels(spark, sf)).select("tile_id", "t", F.round(score, 6).alias("clarity"))
 
 
 @query
@@ -292,7 +297,7 @@ def master_reference(spark, sf):
 
 @query
 def thumb_qa(spark, sf):
-    return _rounded(quality.thumbnails(view(spark, sf, "pixels"), 0.12), "dark", "bright")
+    return _rounded(quality.thumbnails(_pixels(spark, sf), 0.12), "dark", "bright")
 
 
 # Rasters
@@ -300,22 +305,22 @@ def thumb_qa(spark, sf):
 
 @query
 def ndvi(spark, sf):
-    return view(spark, sf, "pixels").select("tile_id", "t", "y", "x", F.round(raster.ndvi(), 6).alias("ndvi"))
+    return _pixels(spark, sf).select("tile_id", "t", "y", "x", F.round(raster.ndvi(), 6).alias("ndvi"))
 
 
 @query
 def ndwi(spark, sf):
-    return view(spark, sf, "pixels").select("tile_id", "t", "y", "x", F.round(raster.ndwi(), 6).alias("ndwi"))
+    return _pixels(spark, sf).select("tile_id", "t", "y", "x", F.round(raster.ndwi(), 6).alias("ndwi"))
 
 
 @query
 def erode15(spark, sf):
-    p = view(spark, sf, "pixels").withColumn("dark", F.least("r", "g", "b"))
+    p = _pixels(spark, sf).withColumn("dark", F.least("r", "g", "b"))
     return raster.erode(p, "dark", 15).select("tile_id", "t", "y", "x", "dark")
 
 
 def _mask(spark, sf):
-    return view(spark, sf, "pixels").withColumn("m", F.when(F.col("r") > 128, 1).otherwise(0))
+    return _pixels(spark, sf).withColumn("m", F.when(F.col("r") > 128, 1).otherwise(0))
 
 
 @query
@@ -335,87 +340,87 @@ def close9(spark, sf):
 
 @query
 def nodata_mask(spark, sf):
-    return raster.nodata(view(spark, sf, "pixels")).select("tile_id", "t", "y", "x", "nodata")
+    return raster.nodata(_pixels(spark, sf)).select("tile_id", "t", "y", "x", "nodata")
 
 
 @query
 def cloud_mask(spark, sf):
-    return raster.clouds(view(spark, sf, "pixels")).select("tile_id", "t", "y", "x", "cloud")
+    return raster.clouds(_pixels(spark, sf)).select("tile_id", "t", "y", "x", "cloud")
 
 
 @query
 def shadow_mask(spark, sf):
-    return raster.shadows(view(spark, sf, "pixels")).select("tile_id", "t", "y", "x", "shadow")
+    return raster.shadows(_pixels(spark, sf)).select("tile_id", "t", "y", "x", "shadow")
 
 
 @query
 def invalid_mask(spark, sf):
-    return raster.invalid(view(spark, sf, "pixels"))
+    return raster.invalid(_pixels(spark, sf))
 
 
 @query
 def water_change(spark, sf):
-    return raster.water_change(view(spark, sf, "pixels"))
+    return raster.water_change(_pixels(spark, sf))
 
 
 @query
 def veg_change(spark, sf):
-    return raster.vegetation_change(view(spark, sf, "pixels"))
+    return raster.vegetation_change(_pixels(spark, sf))
 
 
 @query
 def seasonal_gate(spark, sf):
-    return _rounded(raster.seasonal(raster.vegetation_change(view(spark, sf, "pixels")), "loss"), "share")
+    return _rounded(raster.seasonal(raster.vegetation_change(_pixels(spark, sf)), "loss"), "share")
 
 
 @query
 def channel_cdf(spark, sf):
-    return _rounded(raster.cdf(view(spark, sf, "pixels"), "r", "tile_id", "t"), "cdf")
+    return _rounded(raster.cdf(_pixels(spark, sf), "r", "tile_id", "t"), "cdf")
 
 
 @query
 def otsu(spark, sf):
-    return raster.otsu(raster.histogram(view(spark, sf, "pixels").where("t = 1"), "r", "tile_id"))
+    return raster.otsu(raster.histogram(_pixels(spark, sf), "r", "tile_id", "t"), "tile_id", "t")
 
 
 @query
 def built_mask(spark, sf):
-    return raster.built(view(spark, sf, "pixels"))
+    return raster.built(_pixels(spark, sf))
 
 
 @query
 def ssim_box(spark, sf):
-    return _rounded(raster.ssim_map(view(spark, sf, "pixels")), "ssim")
+    return _rounded(raster.ssim_map(_pixels(spark, sf)), "ssim")
 
 
 @query
 def structural_change(spark, sf):
-    return raster.structural(view(spark, sf, "pixels"))
+    return raster.structural(_pixels(spark, sf))
 
 
 @query
 def atmos_light(spark, sf):
-    return _rounded(raster.atmospheric_light(view(spark, sf, "pixels")), "a_r", "a_g", "a_b")
+    return _rounded(raster.atmospheric_light(_pixels(spark, sf)), "a_r", "a_g", "a_b")
 
 
 @query
 def dehaze(spark, sf):
-    return raster.dehaze(view(spark, sf, "pixels"))
+    return raster.dehaze(_pixels(spark, sf))
 
 
 @query
 def enhance(spark, sf):
-    return raster.enhance(view(spark, sf, "pixels"))
+    return raster.enhance(_pixels(spark, sf))
 
 
 @query
 def standardise(spark, sf):
-    return quality.standardise(view(spark, sf, "pixels"))
+    return quality.standardise(_pixels(spark, sf))
 
 
 @query
 def hist_match(spark, sf):
-    return raster.match_histogram(view(spark, sf, "pixels"), "r")
+    return raster.match_histogram(_pixels(spark, sf), "r")
 
 
 # Change
@@ -441,34 +446,38 @@ def event_confidence(spark, sf):
     return view(spark, sf, "shapes").select("event_id", change.confidence().alias("confidence"))
 
 
-def _large_pixels(spark, sf):
-    """Each chip enlarged eight times, so that changes are as large as shapes must be."""
-    p = view(spark, sf, "pixels")
-    step = lambda n: F.explode(F.sequence(F.lit(0), F.lit(7))).alias(n)
-    wide = p.select("*", step("dy")).select("*", step("dx"))
-    return wide.select("tile_id", "t", (F.col("y") * 8 + F.col("dy")).alias("y"), (F.col("x") * 8 + F.col("dx")).alias("x"), "r", "g", "b", "nir")
+LARGE = {"enlarge": 8}  # so that changes are as large as shapes must be
 
 
 @query
 def change_events(spark, sf):
-    found = kernels.change_shapes(_large_pixels(spark, sf), strict=False)
+    found = kernels.change_shapes(view(spark, sf, "pixels"), strict=False, **LARGE)
     kept = change.classify(change.keep(found, width=256, height=256)).withColumn("confidence", change.confidence())
     return kept.select("tile_id", "type", F.floor("area").cast("long").alias("area"), "center_x", "center_y", "confidence")
 
 
 @query
 def change_events_strict(spark, sf):
-    found = kernels.change_shapes(_large_pixels(spark, sf), strict=True)
+    found = kernels.change_shapes(view(spark, sf, "pixels"), strict=True, **LARGE)
     return found.select("tile_id", "category", "is_global", F.floor("area").cast("long").alias("area"))
 
 
 @query
 def change_timeline(spark, sf):
-    found = kernels.change_shapes(_large_pixels(spark, sf), strict=False).where("not is_global")
-    lon, lat = geo.pixel_to_lonlat(F.lit(0), F.lit(0), F.lit(256), F.lit(256), tuple(F.lit(v) for v in (80.3, 26.4, 80.35, 26.45)))
-    points = F.transform("contour", lambda p: F.struct((lon + p["x"] * F.lit(0.05 / 256)).alias("lon"), (lat - p["y"] * F.lit(0.05 / 256)).alias("lat")))
-    feature = sinks.feature(geo.closed(points), event_type=F.col("category"), area_pixels=F.floor("area").cast("int"))
-    return found.select("tile_id", feature.alias("feature"))
+    found = kernels.change_shapes(view(spark, sf, "pixels"), strict=False, **LARGE).where("not is_global")
+    west, south = F.lit(80.3) + F.lit(0.05) * F.pmod("tile_id", F.lit(25)), F.lit(26.4) + F.lit(0.05) * F.floor(F.col("tile_id") / 25)
+    points = F.transform("contour", lambda p: F.struct((west + p["x"] * F.lit(0.05 / 256)).alias("lon"), (south + F.lit(0.05) - p["y"] * F.lit(0.05 / 256)).alias("lat")))
+    feature = sinks.feature(geo.closed(points), event_type=F.col("category"), area_pixels=F.floor("area").cast("int"), from_date=F.col("t_1"), to_date=F.col("t_2"))
+    return found.select("tile_id", feature.alias("feature")).orderBy("tile_id", "feature")
+
+
+@query
+def event_first_dates(spark, sf):
+    """Each event of the latest pair with the first date that looks like it, over three dates of a tile."""
+    pixels = view(spark, sf, "pixels")
+    third = pixels.where("t = 1").withColumn("t", F.lit(2)).withColumn("r", F.when((F.col("x") < 10) & (F.col("y") < 10), 255 - F.col("r")).otherwise(F.col("r")))
+    places = pixels.where("t = 0 and y % 16 = 8 and x % 16 = 8").select("tile_id", F.col("x").alias("center_x"), F.col("y").alias("center_y"), F.lit(False).alias("is_global"))
+    return kernels.first_dates(pixels.unionByName(third), places, around=8)
 
 
 @query
@@ -598,7 +607,7 @@ def feedback_terms(spark, sf):
 
 @query
 def review_from_search(spark, sf):
-    return review.from_search(semantic_search(spark, sf), "path")
+    return review.from_search(semantic_search(spark, sf).withColumn("answer", F.when(F.right("path", F.lit(1)) < "5", "Y").otherwise("n")), "path", "answer")
 
 
 @query

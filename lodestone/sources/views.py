@@ -20,7 +20,9 @@ VIEWS = {
         FROM {embeddings}""",
     "scenes": """
         SELECT o_orderkey AS item_id, o_orderdate AS acq_ts, CONCAT('place_', CAST(o_custkey % 20 AS STRING)) AS place,
-          CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_totalprice / CAST(5000 AS DOUBLE) END AS cloud_cover
+          CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_totalprice / CAST(5000 AS DOUBLE) END AS cloud_cover,
+          CASE WHEN o_orderkey % 3 = 0 THEN 'sentinel-1-grd' ELSE 'sentinel-2-l2a' END AS collection,
+          CAST(80.3 AS DOUBLE) + CAST(0.045 AS DOUBLE) * (o_custkey % 25) AS min_lon, CAST(26.4 AS DOUBLE) + CAST(0.045 AS DOUBLE) * (o_custkey % 21) AS min_lat
         FROM {orders}""",
     "pixels": """
         SELECT tile_id, t, y, x,
@@ -34,7 +36,7 @@ VIEWS = {
             CAST((x.x*3 + y.y*11 + s_suppkey*17 + t.t*(x.x % 5)) % 256 AS INT) AS g0,
             CAST((x.x*19 + y.y*2 + s_suppkey*23) % 256 AS INT) AS b0,
             CAST((x.x*5 + y.y*9 + s_suppkey*31 + t.t*97*(CASE WHEN x.x > 16 THEN 1 ELSE 0 END)) % 256 AS INT) AS nir
-          FROM {supplier}, range(0,2) AS t(t), range(0,32) AS y(y), range(0,32) AS x(x) WHERE s_suppkey < 20) p""",
+          FROM {supplier}, range(0,2) AS t(t), range(0,32) AS y(y), range(0,32) AS x(x)) p""",
     "observations": """
         SELECT user_id AS site_id, event_id AS obs_id, ts,
           LEAST(CAST(1 AS DOUBLE), value / CAST(60 AS DOUBLE)) * CASE WHEN user_id % 10 = 0 THEN CAST(0.1 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS sim,
@@ -55,7 +57,7 @@ VIEWS = {
     "shapes": """
         SELECT p_partkey AS event_id, CASE p_partkey % 4 WHEN 0 THEN 'Land Clearance' WHEN 1 THEN 'Construction' WHEN 2 THEN 'Flooding' ELSE 'Afforestation / Crop Growth' END AS category,
           CAST(p_size AS DOUBLE) * 45 AS area, CAST(p_partkey % 100 AS DOUBLE) / 100 AS solidity, CAST(p_partkey % 7 AS DOUBLE) AS aspect,
-          CAST(p_partkey % 40 AS DOUBLE) / 100 AS compactness, CAST(p_partkey % 90 AS DOUBLE) / 100 AS extent, p_partkey % 2 = 0 AS is_linear,
+          CAST(p_partkey % 40 AS DOUBLE) / 100 AS compactness, CAST(p_partkey % 90 AS DOUBLE) / 100 AS extent, p_partkey % 2 = 0 AS is_linear, p_partkey % 11 = 0 AS is_global,
           CAST(p_partkey % 750 AS INT) AS x, CAST(p_partkey % 611 AS INT) AS y, CAST(10 + p_size AS INT) AS w, CAST(12 + p_partkey % 30 AS INT) AS h
         FROM {part}""",
 }

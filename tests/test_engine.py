@@ -41,7 +41,7 @@ def test_quality_pipeline(spark):
 
 
 def test_change_pipeline(spark):
-    events, legend, candidates = change_pipeline(queries._large_pixels(spark, SF), strict=False, width=256, height=256)
+    events, legend, candidates = change_pipeline(view(spark, SF, "pixels"), strict=False, width=256, height=256, **queries.LARGE)
     rows = events.collect()
     assert sum(r["count"] for r in legend.collect()) == len(rows)
     assert candidates.count() == sum(not r["is_global"] for r in rows) > 0

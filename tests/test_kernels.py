@@ -73,7 +73,8 @@ def test_water_masks_are_apart():
 
 def test_align_finds_a_shift():
     a = np.random.default_rng(5).random((32, 32))
-    assert np.array_equal(k.align(a, np.roll(a, (3, -5), (0, 1))), a)
+    back = k.align(a, np.roll(a, (3, -5), (0, 1)))
+    assert np.array_equal(back[:29, 5:], a[:29, 5:]) and not back[29:].any() and not back[:, :5].any()
 
 
 def test_otsu_splits_two_levels():

@@ -37,4 +37,4 @@ def test_same_rows(spark, duck, name):
 
 
 def test_every_query_without_sql_is_known():
-    assert set(registry.QUERIES) - set(registry.ORACLES) == {"kmeans", "change_events", "change_events_strict", "change_timeline", "search_geojson"}
+    assert set(registry.QUERIES) - set(registry.ORACLES) == {"kmeans", "change_events", "change_events_strict", "change_timeline", "event_first_dates", "search_geojson"}
