@@ -34,8 +34,8 @@ def verdict(gated: DataFrame) -> DataFrame:
     cloud, border = F.col("cloud_pct"), F.col("border_pct")
     cases = {
         "unreadable": (cloud.isNull() | border.isNull(), F.lit("Error: Failed to read image file.")),
-        "cloud": (cloud > raster.CLOUD_LIMIT, F.format_string("Rejected: Excessive cloud cover (%.1f%% > 15%%).", cloud)),
-        "border": (border > raster.BORDER_LIMIT, F.format_string("Rejected: Excessive black borders (%.1f%% > 25%%).", border)),
+        "cloud": (cloud > raster.CLOUD_LIMIT, F.format_string("Rejected: Excessive cloud cover (%.1f%% > 15%%).", F.bround(cloud, 1))),
+        "border": (border > raster.BORDER_LIMIT, F.format_string("Rejected: Excessive black borders (%.1f%% > 25%%).", F.bround(border, 1))),
     }
     reason, message = F.lit(None).cast("string"), F.lit("Passed quality gate.")
     for name, (holds, said) in reversed(cases.items()):
@@ -67,10 +67,14 @@ def master_reference(scored: DataFrame, band: str, score: str, order: str) -> Da
 def standardise(pixels: DataFrame, template: int = 0) -> DataFrame:
     """Dehaze, colour and contrast, matching to the tile's raw chip of date ``template``, smoothing."""
     out = raster.enhance(raster.dehaze(pixels))
+    chip = W.partitionBy(*raster.CHIP)
     for c in "rgb":
-        goal = raster.cdf(pixels.where(F.col("t") == template), c, *raster.CHIP)
-        table = raster.quantiles(raster.cdf(out, c, *raster.CHIP), goal).groupBy("tile_id").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("t", "v"), "matched"))).alias(f"_{c}"))
-        out = out.join(table, "tile_id").withColumn(c, F.element_at(f"_{c}", F.struct("t", F.col(c).alias("v")))).drop(f"_{c}")  # 256 entries a date at most
+        goal = raster.quantile_table(raster.cdf(pixels.where(F.col("t") == template), c, *raster.CHIP))
+        share = F.count("*").over(chip.orderBy(c)).cast("double") / F.count("*").over(chip)
+        alike = W.partitionBy(*raster.CHIP, c)  # a value is looked up once a chip
+        out = out.withColumns({"_q": share, "_first": F.row_number().over(alike.orderBy("y", "x"))}).join(goal, "tile_id")
+        out = out.withColumn("_m", F.when(F.col("_first") == 1, raster.at_quantile(F.col("_q")))).withColumn("_m", F.max("_m").over(alike))
+        out = out.select(*raster.CHIP, "y", "x", *(F.col("_m").alias(c) if d == c else d for d in "rgb"))
     for c in "rgb":
         out = raster.smooth(out, c, 30.0, 30.0)
     return out

@@ -244,19 +244,22 @@ def enhance(df: DataFrame, colour: float = 1.15, contrast: float = 1.10) -> Data
     return two.select(*CHIP, "y", "x", *(clip(F.col("m") + F.lit(contrast) * (F.col(c) - F.col("m"))).alias(c) for c in "rgb"))
 
 
-def quantiles(source: DataFrame, goal: DataFrame) -> DataFrame:
-    """(tile_id, t, v, matched): each value with the goal's value at its quantile, between neighbours by line."""
-    table = goal.groupBy("tile_id").agg(F.array_sort(F.collect_list(F.struct("cdf", "v"))).alias("table"))
-    s = source.join(table, "tile_id")  # 256 entries a tile at most
-    q = F.col("cdf")
+def quantile_table(goal: DataFrame) -> DataFrame:
+    """(tile_id, table) of a table of shares: 256 entries a tile at most."""
+    return goal.groupBy("tile_id").agg(F.array_sort(F.collect_list(F.struct("cdf", "v"))).alias("table"))
+
+
+def at_quantile(q: Column) -> Column:
+    """The value of ``table`` at a quantile, between neighbours by line."""
     low = F.try_element_at(F.filter("table", lambda e: e["cdf"] <= q), F.lit(-1))
     high = F.get(F.filter("table", lambda e: e["cdf"] >= q), F.lit(0))
     ends = F.when(low.isNull(), high["v"].cast("double")).when(high.isNull() | (high["cdf"] == low["cdf"]), low["v"].cast("double"))
     between = low["v"] + (q - low["cdf"]) * (high["v"] - low["v"]) / (high["cdf"] - low["cdf"])
-    return s.select("tile_id", "t", "v", F.floor(F.coalesce(ends, between) + F.lit(1e-9)).cast("int").alias("matched"))
+    return F.floor(F.coalesce(ends, between) + F.lit(1e-9)).cast("int")
 
 
 def match_histogram(df: DataFrame, column: str, source: int = 1, template: int = 0) -> DataFrame:
     """Each source value with the template's value at its quantile."""
     both = cdf(df, column, *CHIP)
-    return quantiles(both.where(F.col("t") == source), both.where(F.col("t") == template)).drop("t")
+    goal = quantile_table(both.where(F.col("t") == template))
+    return both.where(F.col("t") == source).join(goal, "tile_id").select("tile_id", "v", at_quantile(F.col("cdf")).alias("matched"))

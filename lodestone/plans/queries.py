@@ -257,22 +257,22 @@ def index_add(spark, sf):
 
 @query
 def cloud_pct(spark, sf):
-    return _rounded(quality.gates(_pixels(spark, sf)).select("tile_id", "t", "cloud_pct"), "cloud_pct")
+    return _rounded(quality.gates(view(spark, sf, "pixels")).select("tile_id", "t", "cloud_pct"), "cloud_pct")
 
 
 @query
 def border_pct(spark, sf):
-    return _rounded(quality.gates(_pixels(spark, sf)).select("tile_id", "t", "border_pct"), "border_pct")
+    return _rounded(quality.gates(view(spark, sf, "pixels")).select("tile_id", "t", "border_pct"), "border_pct")
 
 
 @query
 def quality_verdict(spark, sf):
-    return quality.verdict(quality.gates(_pixels(spark, sf))).select("tile_id", "t", "status", "reason", "message")
+    return quality.verdict(quality.gates(view(spark, sf, "pixels"))).select("tile_id", "t", "status", "reason", "message")
 
 
 @query
 def quality_confidence(spark, sf):
-    return quality.verdict(quality.gates(_pixels(spark, sf))).select("tile_id", "t", "confidence")
+    return quality.verdict(quality.gates(view(spark, sf, "pixels"))).select("tile_id", "t", "confidence")
 
 
 @query
@@ -305,12 +305,12 @@ def thumb_qa(spark, sf):
 
 @query
 def ndvi(spark, sf):
-    return _pixels(spark, sf).select("tile_id", "t", "y", "x", F.round(raster.ndvi(), 6).alias("ndvi"))
+    return view(spark, sf, "pixels").select("tile_id", "t", "y", "x", F.round(raster.ndvi(), 6).alias("ndvi"))
 
 
 @query
 def ndwi(spark, sf):
-    return _pixels(spark, sf).select("tile_id", "t", "y", "x", F.round(raster.ndwi(), 6).alias("ndwi"))
+    return view(spark, sf, "pixels").select("tile_id", "t", "y", "x", F.round(raster.ndwi(), 6).alias("ndwi"))
 
 
 @query
@@ -375,12 +375,12 @@ def seasonal_gate(spark, sf):
 
 @query
 def channel_cdf(spark, sf):
-    return _rounded(raster.cdf(_pixels(spark, sf), "r", "tile_id", "t"), "cdf")
+    return _rounded(raster.cdf(view(spark, sf, "pixels"), "r", "tile_id", "t"), "cdf")
 
 
 @query
 def otsu(spark, sf):
-    return raster.otsu(raster.histogram(_pixels(spark, sf), "r", "tile_id", "t"), "tile_id", "t")
+    return raster.otsu(raster.histogram(view(spark, sf, "pixels"), "r", "tile_id", "t"), "tile_id", "t")
 
 
 @query
@@ -420,7 +420,7 @@ def standardise(spark, sf):
 
 @query
 def hist_match(spark, sf):
-    return raster.match_histogram(_pixels(spark, sf), "r")
+    return raster.match_histogram(view(spark, sf, "pixels"), "r")
 
 
 # Change

@@ -66,3 +66,23 @@ def test_encoders(spark):
     rows = encode(df, "s", HashedWords(8)).collect()
     assert abs(sum(x * x for x in rows[0]["embedding"]) - 1) < 1e-6 and not any(rows[1]["embedding"])
     assert ChipColours()([bytes(range(48))]).shape == (1, 64)
+
+
+def test_all_consecutive_pairs(spark):
+    pixels = view(spark, SF, "pixels").where("tile_id < 3")
+    more = pixels.withColumn("t", F.col("t") + 5).unionByName(pixels)  # dates 0, 1, 5, 6
+    found = kernels.change_shapes(more, strict=False, **queries.LARGE).collect()
+    key = lambda t: sorted((r["tile_id"], r["category"], r["area"]) for r in found if (r["t_1"], r["t_2"]) == t)
+    assert {(r["t_1"], r["t_2"]) for r in found} <= {(0, 1), (1, 5), (5, 6)} and key((0, 1)) == key((5, 6)) != []
+    alone = kernels.change_shapes(pixels, strict=False, **queries.LARGE).collect()
+    assert sorted((r["tile_id"], r["category"], r["area"]) for r in alone) == key((0, 1))
+
+
+def test_first_dates(spark):
+    rng = np.random.default_rng(2)
+    old, new = rng.integers(0, 256, (2, 24, 24))
+    rows = [(tile, t, y, x, int((new if t >= since else old)[y, x])) for tile, since, n in ((1, 2, 4), (2, 9, 3), (3, 1, 2), (4, 0, 1)) for t in range(n) for y in range(24) for x in range(24)]
+    pixels = spark.createDataFrame(rows, "tile_id long, t int, y int, x int, r int").withColumns({"g": F.col("r"), "b": F.col("r")})
+    events = spark.createDataFrame([(i, 12, 12, False) for i in (1, 2, 3, 4)] + [(1, 0, 0, True)], "tile_id long, center_x int, center_y int, is_global boolean")
+    got = {r["tile_id"]: r["first_t"] for r in kernels.first_dates(pixels, events, around=10).collect()}
+    assert got == {1: 1, 2: 1, 3: 0, 4: None}  # unlike up to date 1; never unlike; two dates; one

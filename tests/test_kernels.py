@@ -80,3 +80,14 @@ def test_align_finds_a_shift():
 def test_otsu_splits_two_levels():
     v = np.array([[10] * 8, [200] * 8], np.uint8)
     assert k.otsu_cut(v) == 10
+
+
+def test_resize_keeps_constants_and_ends():
+    a = np.arange(12, dtype=np.uint8).reshape(3, 4) * 10
+    assert np.array_equal(k.resize(a, 3, 4), a) and (k.resize(np.full((5, 7), 9, np.uint8), 3, 11) == 9).all()
+    assert k.resize(a, 6, 8)[0, 0] == 0 and k.resize(a, 6, 8)[-1, -1] == 110
+
+
+def test_small_patches_have_no_similarity():
+    a = np.random.default_rng(1).integers(0, 256, (9, 9)).astype(float)
+    assert k.patch_similarity(a, a) == pytest.approx(1) and k.patch_similarity(a[:5], a[:5]) is None
