@@ -5,12 +5,15 @@ every place that looks like more (digits with separators, at signs in any
 spelling) a semi-Markov CRF reads a window of tokens: candidate segments of one
 to ``SPAN`` tokens are scored by features of the whole span, and dynamic
 programming over entities of bounded length chooses boundaries and types
-jointly. Segments whose posterior reaches ``least`` and that meet no base span
-are added; base spans always stay.
+jointly: the best segmentation of the window. Its entities are added where their
+posterior, over all segmentations, reaches ``least`` and they meet no base span;
+base spans always stay.
 
-The field is trained on windows around base spans of a bounded sample and on
-respelt copies of them (at signs in words, defanged dots, phones without a plus,
-other separators), alone and in lists, against number runs that are no personal data.
+The field is trained on passages around base spans and on respelt copies of them
+(at signs in words, defanged dots, phones without a plus, other separators), alone
+and in lists, against number runs that are no personal data. The passages come from
+a sample bounded by three parameters (rows drawn by a hash, passages a text and in
+all); texts in it are read whole, of any length, and only passages reach the driver.
 
 Cases: null texts are empty; empty texts have no spans; all work is linear in
 the text, so very long texts and runs of digits are read whole; repeated rows
@@ -26,11 +29,13 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from ._shared import map_rows, strings
+from ._shared import map_rows, strings, trimmed
 
 KINDS = ("email", "ip", "card", "phone")
 SPAN = 5  # tokens in an entity at most
@@ -216,6 +221,28 @@ def posteriors(field: Field, w: Window) -> tuple[np.ndarray, np.ndarray]:
     return p, moved
 
 
+def best_segments(field: Field, w: Window) -> list[tuple[int, int, int]]:
+    """(end, length - 1, label) of the entities of the best segmentation, by dynamic programming."""
+    s = _scores(field, w)
+    best = np.full((len(s) + 1, len(field.moves)), -np.inf)
+    came = np.zeros((*best.shape, 2), int)  # length - 1 of the last segment, label before it
+    best[0, 0] = 0
+    for j in range(1, len(best)):
+        d = min(SPAN, j)
+        ways = best[j - d : j][::-1, :, None] + field.moves + s[j - 1, :d, None, :]  # length - 1, label before, label
+        flat = ways.reshape(-1, ways.shape[2])
+        top = flat.argmax(axis=0)
+        best[j] = flat[top, np.arange(flat.shape[1])]
+        came[j, :, 0], came[j, :, 1] = top // ways.shape[1], top % ways.shape[1]
+    out, j, y = [], len(s), int(best[-1].argmax())
+    while j:
+        d, before = came[j, y]
+        if y:
+            out.append((j - 1, int(d), y))
+        j, y = j - 1 - int(d), int(before)
+    return out[::-1]
+
+
 def train(examples: list[tuple[str, list[Span]]], epochs: int = 8, rate: float = 0.3, ridge: float = 1e-3) -> Field:
     """Adagrad on the conditional likelihood of (window text, its spans)."""
     weights, moves = np.zeros((_PLAIN + _HASHED, len(KINDS))), np.zeros((len(KINDS) + 1,) * 2)
@@ -271,42 +298,59 @@ def respelt(kind: str, s: str, pick: random.Random) -> str:
     return pick.choice((f"({tail[:3]}) {tail[3:6]}-{tail[6:]}", f"{digits[:-10] or 1}-{tail[:3]}-{tail[3:6]}-{tail[6:]}", f"00{digits[:-10] or 1} {tail[:3]} {tail[3:6]} {tail[6:]}", f"{tail[:3]}-{tail[3:6]}-{tail[6:]}"))
 
 
-def examples(texts: list[str], most: int = 400, around: int = 3, seed: int = 11) -> list[tuple[str, list[Span]]]:
-    """Windows around base spans, their respelt copies, lists of them, and number runs that are neither."""
+#: A passage: kind ("none" for what looks like data and is none), the span, words before and after.
+Passage = tuple[str, str, str, str]
+
+
+def passages(text: str, most: int = 4, around: int = 3) -> list[Passage]:
+    """Up to ``most`` of each kind from anywhere in the text, chosen by a hash."""
+    found: dict[str, list[tuple[int, Passage]]] = {}
+    spans = base_spans(text)
+    starts, ends = (np.array([s[i] for s in spans], np.int64) for i in (1, 2))
+
+    def put(kind: str, a: int, b: int, left: str, right: str) -> None:
+        found.setdefault(kind, []).append((zlib.crc32(f"{a} {text[a:b]}".encode("utf-8", "replace")), (kind, text[a:b], left, right)))
+
+    for kind, a, b in spans:
+        if ((starts < b) & (a < ends)).sum() > 1:
+            continue
+        left = " ".join(text[max(0, a - 60) : a].split()[-around:])
+        right = " ".join(text[b : b + 60].split()[:around])
+        if left and not text[a - 1].strip() and len(left) <= 50 and not base_spans(left) and not base_spans(right):
+            put(kind, a, b, left, right)
+    for m in _TRIGGER.finditer(text):
+        if not ((starts < m.end()) & (m.start() < ends)).any():
+            part = " ".join(text[max(0, m.start() - 40) : m.end() + 40].split()[1:-1][:10])
+            if not base_spans(part):
+                found.setdefault("none", []).append((zlib.crc32(part.encode("utf-8", "replace")), ("none", part, "", "")))
+    return [p for held in found.values() for _, p in sorted(held)[:most]]
+
+
+def examples(found: list[Passage], most: int = 400, seed: int = 11) -> list[tuple[str, list[Span]]]:
+    """Passages, their respelt copies, lists of them, and number runs that are neither; ``most`` bounds each sort."""
     pick, out = random.Random(seed), []
     lists, held = random.Random(seed + 2), {}
     per = {k: 0 for k in (*KINDS, "none")}
-    for text in texts:
-        spans = base_spans(text)
-        for kind, a, b in spans:
-            if per[kind] >= most // 5 or any(s < b and a < e and (s, e) != (a, b) for _, s, e in spans):
-                continue
-            left = " ".join(text[max(0, a - 60) : a].split()[-around:])
-            right = " ".join(text[b : b + 60].split()[:around])
-            glue = " " if left and not text[a - 1].strip() else ""
-            if base_spans(left) or base_spans(right) or len(left) > 50 or not glue:
-                continue
-            for s in (text[a:b], respelt(kind, text[a:b], pick)):
-                at = len(left) + 1
-                out.append((f"{left} {s} {right}", [(kind, at, at + len(s))]))
-            per[kind] += 1
-            items = held.setdefault(kind, [])
-            items.append(lists.choice((text[a:b], s, s)))
-            if len(items) == 3:
-                line, among = left + " ", []
-                for i, s in enumerate(items):
-                    line += lists.choice((", ", "; ", " ", " or ", " and ")) if i else ""
-                    among.append((kind, len(line), len(line) + len(s)))
-                    line += s
-                out.append((f"{line} {right}", among))
-                items.clear()
-        for m in _TRIGGER.finditer(text):
-            if per["none"] < most // 2 and not any(s < m.end() and m.start() < e for _, s, e in spans):
-                words = text[max(0, m.start() - 40) : m.end() + 40].split()[1:-1]
-                part = " ".join(words[:10])
-                if not base_spans(part):
-                    out.append((part, []))
-                    per["none"] += 1
+    for kind, span, left, right in found:
+        if per[kind] >= (most // 2 if kind == "none" else most // 5):
+            continue
+        per[kind] += 1
+        if kind == "none":
+            out.append((span, []))
+            continue
+        for s in (span, respelt(kind, span, pick)):
+            at = len(left) + 1
+            out.append((f"{left} {s} {right}", [(kind, at, at + len(s))]))
+        items = held.setdefault(kind, [])
+        items.append(lists.choice((span, s, s)))
+        if len(items) == 3:
+            line, among = left + " ", []
+            for i, s in enumerate(items):
+                line += lists.choice((", ", "; ", " ", " or ", " and ")) if i else ""
+                among.append((kind, len(line), len(line) + len(s)))
+                line += s
+            out.append((f"{line} {right}", among))
+            items.clear()
     digits = random.Random(seed + 1)
     for _ in range(most // 4):  # runs of digits that are no data of anybody
         n = digits.choice((7, 8, 9, 11, 13, 14, 15, 16, 18, 22))
@@ -317,23 +361,27 @@ def examples(texts: list[str], most: int = 400, around: int = 3, seed: int = 11)
     return out
 
 
-def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", max_sample: int = 1500, most: int = 400) -> Field | None:
-    """The field from at most ``max_sample`` texts that hold digits or at signs.
+def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", max_rows: int = 20_000, a_text: int = 4, max_passages: int = 6_000, most: int = 400) -> Field | None:
+    """The field from at most ``max_rows`` rows, ``a_text`` passages of each kind of a text and ``max_passages`` in all.
 
-    Ids are drawn in the order of a hash, out of a share of all rows that holds
-    some 50 times as many; texts are then fetched by a broadcast of those ids.
+    Keys are drawn in the order of a hash; their rows are then fetched by a broadcast
+    of those keys and read where they are.
     """
-    share = min(1.0, 50 * max_sample / max(1, docs.count()))
     order = F.xxhash64(F.col(key).cast("string"), F.lit("pii"))
-    drawn = docs.where(F.col(key).isNotNull() & (F.shiftrightunsigned(order, 33) < int(share * (1 << 31))))
-    drawn = drawn.where(F.col(text).rlike("@|[0-9]{7}|\\+[0-9]") & (F.length(text) < 20_000))
-    chosen = [tuple(r) for r in drawn.select(order.alias("_o"), F.col(key).cast("long").alias("_k")).distinct().orderBy("_o", "_k").limit(max_sample).toLocalIterator()]
-    if not chosen:
-        return None
-    few = F.broadcast(docs.sparkSession.createDataFrame(chosen, "_o long, _k long"))
-    texts = docs.select(F.col(key).cast("long").alias("_d"), F.col(text).alias("_t")).where(F.length("_t") < 20_000).join(few, F.col("_d") == F.col("_k"))
-    found = examples([r["_t"] for r in sorted(texts.select("_o", "_k", "_t").collect())], most)
-    return train(found) if any(s for _, s in found) else None
+    drawn = docs.where(F.col(key).isNotNull()).select(order.alias("_o")).distinct().orderBy("_o").limit(max_rows)
+    schema = T.StructType([T.StructField("_o", T.LongType()), *(T.StructField(c, T.StringType()) for c in ("kind", "span", "before", "after"))])
+
+    def run(batches):
+        for batch in batches:
+            out = [(o, *p) for o, t in zip(batch.column(0).to_pylist(), strings(batch, "_t")) for p in passages(t, a_text)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], f.type) for i, f in enumerate(to_arrow_schema(schema))], schema=to_arrow_schema(schema))
+
+    own = docs.select(order.alias("_o"), F.col(text).alias("_t")).where(F.col(key).isNotNull())
+    texts = own.join(F.broadcast(drawn), "_o", "left_semi").where(F.col("_t").rlike("@|[0-9]{7}|\\+[0-9]"))
+    columns = ("_o", "kind", "span", "before", "after")
+    found = [tuple(r) for r in texts.mapInArrow(trimmed(run), schema).orderBy(*columns).limit(max_passages).toLocalIterator()]
+    made = examples([x[1:] for x in found], most)
+    return train(made) if any(spans for _, spans in made) else None
 
 
 def _windows(text: str, starts: np.ndarray, ends: np.ndarray) -> list[list[int]]:
@@ -363,13 +411,14 @@ def added_spans(text: str, field: Field, base: list[Span], least: float = 0.8) -
         for at in range(0, len(tokens), 32 - 2 * SPAN):  # long runs in overlapping parts
             part, last = tokens[at : at + 32], at + 32 >= len(tokens)
             w = window(text, part)
-            p, _ = posteriors(field, w)
-            for j, d, y in zip(*np.nonzero(p[:, :, 1:] >= least)):
+            chosen = best_segments(field, w)
+            p = posteriors(field, w)[0] if chosen else None
+            for j, d, y in chosen:
                 # a part has the spans that start away from its edges: each start is in one part, with context
-                if (at and j - d < 3) or (not last and j - d >= 35 - 2 * SPAN):
+                if (at and j - d < 3) or (not last and j - d >= 35 - 2 * SPAN) or p[j, d, y] < least:
                     continue
-                span = (KINDS[y], part[j - d][0], part[j][1])
-                if not ((starts < span[2]) & (span[1] < ends)).any() and not any(a < span[2] and span[1] < b for _, a, b in out[-64:]):
+                span = (KINDS[y - 1], part[j - d][0], part[j][1])
+                if not ((starts < span[2]) & (span[1] < ends)).any() and not (out and span[1] < out[-1][2]):
                     out.append(span)
             if last:
                 break

@@ -212,7 +212,7 @@ def field():
         card = digits(15)
         card += next(c for c in "0123456789" if pii.luhn(card + c))
         texts += [f"thing of {rng.choice('xyz')}.{digits(2)}@mail{rng.randint(1, 9)}.example.com the end of", f"was it {'.'.join(str(rng.randint(1, 254)) for _ in range(4))} on that one", f"for us {card} is here again", f"please do +1 ({digits(3)}) {digits(3)}-{digits(4)} it now then"]
-    return pii.train(pii.examples(texts, most=150), epochs=5)
+    return pii.train(pii.examples([p for t in texts for p in pii.passages(t)], most=150), epochs=5)
 
 
 def test_field_posteriors_sum_to_one(field):
@@ -245,6 +245,43 @@ def test_field_reads_lists_whole(field):
     assert got == want
 
 
+def test_best_segments_by_brute_force(field):
+    for text in ("call (017) 555-7713 now", "bob.77 (at) mail3.example.com al", "1234 5678 9012 3456"):
+        tokens = [m.span() for m in re.finditer(r"\S+", text)]
+        w = pii.window(text, tokens)
+        scores = pii._scores(field, w)
+
+        def ways(at, label):
+            if at == len(tokens):
+                yield 0.0, []
+            for d in range(min(pii.SPAN, len(tokens) - at)):
+                for y in range(len(pii.KINDS) + 1):
+                    own = field.moves[label, y] + scores[at + d, d, y]
+                    if np.isfinite(own):
+                        for rest, parts in ways(at + d + 1, y):
+                            yield own + rest, [(at + d, d, y)] * bool(y) + parts
+
+        best = max(ways(0, 0), key=lambda x: x[0])
+        assert pii.best_segments(field, w) == best[1]
+
+
+@pytest.mark.parametrize("apart", range(1, 5))
+def test_field_reads_entities_some_tokens_apart(field, apart):
+    between = " ".join(["and", "also", "there", "is"][:apart])
+    items = ["al.12 (at) mail4.example.com", "bob.77 (at) mail3.example.com", "xy.34 (at) mail8.example.com"]
+    text = f"please do {f' {between} '.join(items)} it now then"
+    assert [text[a:b] for _, a, b in pii.added_spans(text, field, [])] == items
+
+
+def test_passages_are_taken_from_whole_texts(spark):
+    far = "word " * 30_000 + "do mail al.12@mail4.example.com to him and call +1 (212) 555-7713 for it"
+    found = pii.passages(far)
+    assert {(k, s) for k, s, _, _ in found} == {("email", "al.12@mail4.example.com"), ("phone", "+1 (212) 555-7713")}
+    assert max(Counter(k for k, *_ in pii.passages(" x ".join(f"do mail a{i}@b.example.com" for i in range(50)))).values()) == 4
+    df = spark.createDataFrame([(i, far) for i in range(3)] + [(None, far), (9, None), (9, "")], "doc_id long, text string")
+    assert pii.fit(df) is not None and pii.fit(df.where("doc_id = 9")) is None and pii.fit(df.limit(0)) is None
+
+
 def test_triggers_cover_respelt_spans():
     pick = random.Random(5)
     for kind, s in (("email", "bob.7@example.org"), ("ip", "10.20.30.40"), ("card", "4111111111111111"), ("phone", "+1 (212) 555-7713")):
