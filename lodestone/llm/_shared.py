@@ -25,10 +25,12 @@ _staged: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, or one of our own where none is named (tests)."""
+    """The cluster's shared folder, or one of our own where none is named and all runs on this machine (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="lodestone-"))
         atexit.register(shutil.rmtree, _own[0], True)
@@ -44,13 +46,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_staged(spark: SparkSession) -> int:
-    """Deletes the intermediate tables of this process, once no result needs them."""
-    jvm, n = spark.sparkContext._jvm, len(_staged)
-    while _staged:
-        place = jvm.org.apache.hadoop.fs.Path(_staged.pop())
+def staged_so_far() -> int:
+    """How many intermediate tables there are: a mark for ``drop_staged``."""
+    return len(_staged)
+
+
+def drop_staged(spark: SparkSession, since: int = 0, but: int = 0) -> int:
+    """Deletes the tables made after the mark ``since``, but for the last ``but``, once no result needs them."""
+    jvm, gone = spark.sparkContext._jvm, _staged[since : len(_staged) - but]
+    for path in gone:
+        place = jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-    return n
+    del _staged[since : len(_staged) - but]
+    return len(gone)
 
 
 def fold(key: str, n: int) -> Column:

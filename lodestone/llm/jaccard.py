@@ -12,8 +12,16 @@
    could have. Pairs already connected are skipped, so a group of near copies
    costs its number and not its square.
 4. What blocks may have missed is found exactly: linked sets share a shingle in
-   their rarest ``cnt - need + 1``; such buckets give the pairs that lie in
-   different components and may still reach the threshold, and each is verified.
+   their rarest ``cnt - need + 1``. The members of such a bucket, by size, are the
+   leaves of another tree, whose nodes hold ranges of sizes and of components and
+   the most that any member can still share; its dual traversal gives the pairs
+   of different components that may reach the threshold, and each is verified.
+
+Trees over all blocks at once would be exact without step 4, but OR-combined maps
+of more than some hundred sets are full, so that they rule out next to nothing.
+
+A shingle that a chunk of nodes holds very often goes to its reducer once, with
+its count, so that one found in all documents costs its reducer a row a chunk.
 
 Cases: null, empty and blank texts have no shingles and link with nothing; with
 fewer words than a shingle the whole sequence is the one shingle; repeated rows
@@ -35,7 +43,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import _words
-from ._shared import staged, trimmed
+from ._shared import drop_staged, staged, staged_so_far, trimmed
 
 BITS = 2048  # of a signature
 KEEP = 48  # bits of a shingle's hash that travel
@@ -72,8 +80,10 @@ def members(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
 
 
 # Step 2. A chunk is some thousand nodes of one task; a segment is a range of hashes.
-_SPREAD = T.StructType([T.StructField(c, t) for c, t in (("key", T.LongType()), ("chunk", T.LongType()), ("low", T.BinaryType()), ("high", T.BinaryType()), ("ref", T.BinaryType()))])
-_SHARED = T.StructType([T.StructField(c, t) for c, t in (("chunk", T.LongType()), ("hashes", T.BinaryType()), ("refs", T.BinaryType()), ("counts", T.BinaryType()))])
+# A reference below MANY is a node of the chunk; others are the chunk's frequent hashes, whose nodes stay in its names.
+MANY, OFTEN = 4096, 64
+_SPREAD = T.StructType([T.StructField(c, t) for c, t in (("key", T.LongType()), ("chunk", T.LongType()), ("low", T.BinaryType()), ("high", T.BinaryType()), ("ref", T.BinaryType()), ("times", T.BinaryType()))])
+_SHARED = T.StructType([T.StructField(c, t) for c, t in (("chunk", T.LongType()), ("hashes", T.BinaryType()), ("refs", T.BinaryType()), ("counts", T.BinaryType()), ("often", T.BinaryType()))])
 _LIVE = T.StructType([T.StructField(c, t) for c, t in (("node", T.LongType()), ("n", T.LongType()), ("prefix", T.IntegerType()), ("live", T.BinaryType()))])
 
 
@@ -82,7 +92,7 @@ def _table(schema: T.StructType, rows: list[tuple]) -> pa.Table:
     return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow)], schema=arrow)
 
 
-def live_sets(docs: DataFrame, text: str, size: int, percent: int, bits: int, chunk_rows: int = 4096) -> DataFrame:
+def live_sets(docs: DataFrame, text: str, size: int, percent: int, bits: int) -> DataFrame:
     """(node, n, prefix, live) of every node that could link: its shared hashes, rarest first."""
 
     def spread(batches):
@@ -97,15 +107,23 @@ def live_sets(docs: DataFrame, text: str, size: int, percent: int, bits: int, ch
             refs = np.repeat(np.arange(len(held), dtype=np.uint16), [len(s) for _, s in held])
             order = np.argsort(hashes, kind="stable")
             hashes, refs = hashes[order], refs[order]
-            edges = np.searchsorted(hashes, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(KEEP - bits))
-            edges[-1] = len(hashes)
-            rest = hashes & np.uint64((1 << (KEEP - bits)) - 1)
+            first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+            times = np.diff(np.append(first, len(hashes)))
+            often = np.flatnonzero(times >= OFTEN)
+            names = [(int(times[i]), refs[first[i] : first[i] + times[i]].copy()) for i in often]
+            alone = np.repeat(times < OFTEN, times)
+            alone[first[often]] = True
+            refs[first[often]] = MANY + np.arange(len(often), dtype=np.uint16)
+            hashes, refs = hashes[alone], refs[alone]
             nodes = np.array([(x, len(s)) for x, s in held], np.int64)
-            yield (-chunk, chunk, np.ascontiguousarray(nodes[:, 0]).tobytes(), np.ascontiguousarray(nodes[:, 1]).tobytes(), None)
-            for k in range(1 << bits):
-                a, b = edges[k], edges[k + 1]
-                if a < b:
-                    yield (k, chunk, rest[a:b].astype(np.uint32).tobytes(), (rest[a:b] >> np.uint64(32)).astype(np.uint16).tobytes(), refs[a:b].tobytes())
+            listed = np.array([n for n, _ in names], np.uint32).tobytes(), b"".join(r.tobytes() for _, r in names)
+            yield (-chunk, chunk, np.ascontiguousarray(nodes[:, 0]).tobytes(), np.ascontiguousarray(nodes[:, 1]).tobytes(), listed[0], listed[1])
+            rest = hashes & np.uint64((1 << (KEEP - bits)) - 1)
+            where, at = np.unique(hashes >> np.uint64(KEEP - bits), return_index=True)
+            for k, a, b in zip(where.tolist(), at, [*at[1:], len(hashes)]):
+                own = refs[a:b]
+                many = np.array([names[i - MANY][0] for i in own[own >= MANY]], np.uint32)
+                yield (k, chunk, rest[a:b].astype(np.uint32).tobytes(), (rest[a:b] >> np.uint64(32)).astype(np.uint16).tobytes(), own.tobytes(), many.tobytes())
 
         def send():
             out, room = [], 0
@@ -128,7 +146,7 @@ def live_sets(docs: DataFrame, text: str, size: int, percent: int, bits: int, ch
                     seen.add(node)
                 held.append((node, own))
                 total += len(own)
-                if len(held) >= chunk_rows or total >= 1_000_000:
+                if len(held) >= MANY or total >= 1_000_000:
                     yield from send()
                     held.clear()
                     total, chunk = 0, chunk + 1
@@ -138,7 +156,7 @@ def live_sets(docs: DataFrame, text: str, size: int, percent: int, bits: int, ch
     def shared(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         if rows[0]["key"] < 0:
-            return _table(_SHARED, [(r["chunk"], r["low"], r["high"], None) for r in rows])
+            return _table(_SHARED, [(r["chunk"], r["low"], r["high"], r["ref"], r["times"]) for r in rows])
         low = np.concatenate([np.frombuffer(r["low"], np.uint32) for r in rows]).astype(np.uint64)
         high = np.concatenate([np.frombuffer(r["high"], np.uint16) for r in rows]).astype(np.uint64)
         refs = np.concatenate([np.frombuffer(r["ref"], np.uint16) for r in rows])
@@ -147,26 +165,36 @@ def live_sets(docs: DataFrame, text: str, size: int, percent: int, bits: int, ch
         order = np.argsort(hashes, kind="stable")
         hashes = hashes[order]
         starts = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
-        counts = np.diff(np.append(starts, len(hashes)))
-        counts = np.repeat(counts, counts)
+        weight = np.ones(len(refs), np.int64)
+        weight[refs >= MANY] = np.concatenate([np.frombuffer(r["times"], np.uint32) for r in rows])
+        counts = np.repeat(np.add.reduceat(weight[order], starts), np.diff(np.append(starts, len(hashes))))
         many = counts > 1
         hashes, counts, order = hashes[many], counts[many], order[many]
         refs, place = refs[order], place[order]
         by = np.argsort(place, kind="stable")
-        hashes, counts, refs, place = hashes[by], counts[by].astype(np.uint32), refs[by], place[by]
+        hashes, counts, refs, place = hashes[by], np.minimum(counts[by], 0xFFFFFFFF).astype(np.uint32), refs[by], place[by]
         cut = np.searchsorted(place, np.arange(len(rows) + 1))
-        return _table(_SHARED, [(r["chunk"], hashes[a:b].tobytes(), refs[a:b].tobytes(), counts[a:b].tobytes()) for r, a, b in zip(rows, cut, cut[1:]) if a < b])
+        return _table(_SHARED, [(r["chunk"], hashes[a:b].tobytes(), refs[a:b].tobytes(), counts[a:b].tobytes(), None) for r, a, b in zip(rows, cut, cut[1:]) if a < b])
 
     def living(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        names = next(r for r in rows if r["counts"] is None)
+        names = next(r for r in rows if r["often"] is not None)
         nodes, sizes = np.frombuffer(names["hashes"], np.int64), np.frombuffer(names["refs"], np.int64)
-        rows = [r for r in rows if r["counts"] is not None]
+        times, among = np.frombuffer(names["counts"], np.uint32).astype(np.int64), np.frombuffer(names["often"], np.uint16)
+        rows = [r for r in rows if r["often"] is None]
         if not rows:
             return _table(_LIVE, [])
         hashes = np.concatenate([np.frombuffer(r["hashes"], np.uint64) for r in rows])
         refs = np.concatenate([np.frombuffer(r["refs"], np.uint16) for r in rows])
         counts = np.concatenate([np.frombuffer(r["counts"], np.uint32) for r in rows])
+        if len(times):  # frequent hashes back to the nodes that hold them
+            group = refs >= MANY
+            which = refs[group].astype(np.int64) - MANY
+            begin = np.cumsum(times) - times
+            places = np.concatenate([among[begin[i] : begin[i] + times[i]] for i in which] or [among[:0]])
+            hashes = np.concatenate([hashes[~group], np.repeat(hashes[group], times[which])])
+            counts = np.concatenate([counts[~group], np.repeat(counts[group], times[which])])
+            refs = np.concatenate([refs[~group], places])
         have = np.bincount(refs, minlength=len(nodes))
         need = -(-percent * sizes // 100)
         keep = (have >= need)[refs]
@@ -285,6 +313,7 @@ def components(links: DataFrame) -> DataFrame:
     label changes. Hooked owners carry their whole group along, so that rounds
     grow with the log of a path; labels only fall, so that they end.
     """
+    spark, mark = links.sparkSession, staged_so_far()
     both = staged(links.where("a <> b").unionByName(links.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
     while True:
@@ -294,10 +323,45 @@ def components(links: DataFrame) -> DataFrame:
         low = staged(told.join(hook, "node", "left").select("node", F.least("label", "near", "hook").alias("label"), F.col("label").alias("was")), "labels")
         jump = low.select(F.col("node").alias("label"), F.col("label").alias("next"))
         labels = staged(low.join(jump, "label", "left").select("node", F.coalesce("next", "label").alias("label"), "was"), "labels")
-        if not labels.where("label <> was").limit(1).count():
-            break
+        done = not labels.where("label <> was").limit(1).count()
+        drop_staged(spark, mark + (0 if done else 1), 1)  # what this round read; the edges stay until the last
         labels = labels.select("node", "label")
-    return labels.select("node", "label")
+        if done:
+            return labels
+
+
+def bucket_tree_pairs(n: np.ndarray, left: np.ndarray, label: np.ndarray, percent: int, fan: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a bucket's members, ascending by size, of different labels and with enough left to share.
+
+    Members are a tree's leaves; a pair of its nodes is dropped when the largest of
+    one cannot match the smallest of the other, when less is left than the smallest
+    pair among them needs, or when all below have one label.
+    """
+    levels = [(n, n, left, label, label)]
+    while len(levels[-1][0]) > 1:
+        low, high, most, first, last = levels[-1]
+        at = np.arange(0, len(low), fan)
+        levels.append((np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(most, at), np.minimum.reduceat(first, at), np.maximum.reduceat(last, at)))
+    out, step = [], np.arange(fan)
+    todo = [(len(levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+    while todo:  # depth first, a bounded number of node pairs at a time
+        depth, a, b = todo.pop()
+        low, high, most, first, last = levels[depth]
+        ok = (a <= b) if depth else (a < b)
+        ok &= 100 * np.minimum(high[a], high[b]) >= percent * np.maximum(low[a], low[b])
+        ok &= np.minimum(most[a], most[b]) >= needed(low[a], low[b], percent)
+        ok &= (np.minimum(first[a], first[b]) != np.maximum(last[a], last[b]))
+        a, b = a[ok], b[ok]
+        if not depth:
+            out.append((a, b))
+            continue
+        for at in range(0, len(a), 1 << 12):
+            x = (a[at : at + (1 << 12), None, None] * fan + step[None, :, None]) + np.zeros(fan, np.int64)
+            y = (b[at : at + (1 << 12), None, None] * fan + step[None, None, :]) + np.zeros((fan, 1), np.int64)
+            x, y = x.ravel(), y.ravel()
+            ok = (x <= y) & (y < len(levels[depth - 1][0]))
+            todo.append((depth - 1, x[ok], y[ok]))
+    return tuple(np.concatenate([p[k] for p in out] or [np.empty(0, np.int64)]) for k in (0, 1))
 
 
 def bucket_pairs(live: DataFrame, labels: DataFrame, percent: int, bits: int) -> DataFrame:
@@ -321,19 +385,16 @@ def bucket_pairs(live: DataFrame, labels: DataFrame, percent: int, bits: int) ->
 
     def meet(table: pa.Table) -> pa.Table:
         h, node, label, n, left = (table.column(c).to_numpy() for c in ("hash", "node", "label", "n", "left"))
-        order = np.lexsort((n, h))
+        order = np.lexsort((label, n, h))
         h, node, label, n, left = (x[order] for x in (h, node, label, n, left))
         starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         ends = np.append(starts[1:], len(h))
         mixed = np.maximum.reduceat(label, starts) != np.minimum.reduceat(label, starts)
         found = []
         for a, b in zip(starts[mixed].tolist(), ends[mixed].tolist()):
-            for i in range(a, b - 1):  # sizes ascend: the partners of i are a run
-                to = i + 1 + int(np.searchsorted(n[i + 1 : b], 100 * n[i] // percent, "right"))
-                j = np.arange(i + 1, to)
-                j = j[(label[j] != label[i]) & (np.minimum(left[j], left[i]) >= needed(n[i], n[j], percent))]
-                if len(j):
-                    found.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], axis=1))
+            i, j = bucket_tree_pairs(n[a:b], left[a:b], label[a:b], percent)
+            if len(i):
+                found.append(np.stack([np.minimum(node[a + i], node[a + j]), np.maximum(node[a + i], node[a + j])], axis=1))
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
         return pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=to_arrow_schema(_LINKS))
 
@@ -358,7 +419,7 @@ def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     """(key, n_shingles, component_id) of every row of ``docs``."""
     rows = staged(members(docs, key, text, size), "members")
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
-    bits = min(16, max(4, math.ceil(math.log2(total / 400_000 + 1))))
+    bits = max(4, math.ceil(math.log2(total / 400_000 + 1)))
     live = staged(live_sets(docs, text, size, percent, bits), "live")
     links = None
     for salt in salts:

@@ -661,6 +661,31 @@ def test_signature_tree_loses_no_pair(seed):
                 assert (i, j) in kept
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 2**32 - 1))
+def test_bucket_tree_loses_no_pair(seed):
+    rng = np.random.default_rng(seed)
+    many = int(rng.integers(2, 90))
+    n = np.sort(rng.integers(1, 60, many))
+    left, label = rng.integers(1, n + 1), rng.integers(0, 4, many)
+    i, j = jaccard.bucket_tree_pairs(n, left, label, 75, fan=3)
+    want = {(a, b) for a in range(many) for b in range(a + 1, many) if label[a] != label[b] and 100 * n[a] >= 75 * n[b] and min(left[a], left[b]) >= jaccard.needed(int(n[a]), int(n[b]), 75)}
+    assert set(zip(i.tolist(), j.tolist())) == want and len(i) == len(want)
+
+
+def test_bucket_of_boilerplate_is_no_square():
+    many = 200_000  # 78 of 100 shingles in common: none can link
+    i, _ = jaccard.bucket_tree_pairs(np.full(many, 100), np.full(many, 78), np.arange(many), 75)
+    assert not len(i)
+
+
+def test_frequent_shingles_keep_their_nodes(spark):
+    shared = " ".join(f"s{i}" for i in range(40))
+    rows = [(i, f"{shared} t{i} u{i}") for i in range(300)] + [(1000 + i, " ".join(f"{w}{i}" for w in "abcdefgh")) for i in range(300)]
+    got = jaccard.join_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()
+    assert all(r["component_id"] == (0 if r["doc_id"] < 1000 else r["doc_id"]) for r in got) and len(got) == 600
+
+
 def test_components(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (10, 11), (12, 11), (7, 7)], "a long, b long")
     assert {r["node"]: r["label"] for r in jaccard.components(links).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 10: 10, 11: 10, 12: 10}
