@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import jaccard, mixing, packing, pii, toxicity
-from lodestone.llm._shared import staged
+from lodestone.llm._shared import drop_staged, staged, staged_so_far
 from lodestone.llm.queries import encoder_files, training_labels
 
 
@@ -73,7 +73,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, mark = spark.read.parquet(f"{sf_dir}/documents.parquet"), staged_so_far()
     for name, stage in STAGES:
         docs = staged(stage(spark, docs, sf_dir), f"stage-{name}")
+        drop_staged(spark, mark, 1)  # the stage before and this one's working tables
     return docs
