@@ -61,6 +61,48 @@ def drop_staged(spark: SparkSession, since: int = 0, but: int = 0) -> int:
     return len(gone)
 
 
+def write_files(rows: DataFrame, root: str, name: str, data: str, tail: bytes = b"\n") -> None:
+    """Each row's bytes as a file ``root/<name>=<its name>/part-...``, followed by ``tail``.
+
+    Spark's text sink does the writing, a row a file, so that any store that Spark
+    writes will do and a lost task is written again. Names are unique; ``tail`` takes
+    the place of the line's end, so a format with a fixed end needs nothing added.
+    """
+    held = rows.select(F.col(name), F.col(data).cast("string").alias("value"))
+    held.write.partitionBy(name).option("encoding", "ISO-8859-1").option("lineSep", tail.decode("latin-1")).option("maxRecordsPerFile", 1).option("compression", "none").text(root)
+
+
+def read_files(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """(name, path, data) of what ``write_files`` wrote."""
+    return spark.read.schema(f"path string, modificationTime timestamp, length long, content binary, {name} string").format("binaryFile").load(root).select(name, "path", F.col("content").alias("data"))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh place in the shared folder, dropped with the staged tables."""
+    path = f"{shared_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
+    _staged.append(path)
+    return path
+
+
+class RangeReader:
+    """Reads parts of a file through the Hadoop file system; counts the bytes it asked for."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.jvm, self.asked = spark.sparkContext._jvm, 0
+        self.path = self.jvm.org.apache.hadoop.fs.Path(path)
+        self.store = self.path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.size = self.store.getFileStatus(self.path).getLen()
+
+    def __call__(self, at: int, n: int) -> bytes:
+        stream = self.store.open(self.path)
+        try:
+            stream.seek(at)
+            self.asked += n
+            return bytes(self.jvm.org.apache.commons.io.IOUtils.toByteArray(stream, n))
+        finally:
+            stream.close()
+
+
 def fold(key: str, n: int) -> Column:
     """crc32 of the key's text, mod n: the same on every engine and at every size."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % n

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, jaccard, licenses, lm, media, mixing, packing, pii, toxicity, warc
-from ._shared import fold
+from ._shared import fold, scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,8 +76,9 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bundles = warc.write_bundles(table(spark, sf_dir, "pages"))
-    return warc.read_bundles(bundles).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+    root = scratch(spark, "warc")
+    warc.write_archive(table(spark, sf_dir, "pages"), root)
+    return warc.read_archive(spark, root).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

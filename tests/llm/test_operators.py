@@ -15,6 +15,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.llm import _words, ann, jaccard, licenses, lm, media, mixing, packing, pii, queries, toxicity, warc
 
@@ -700,11 +701,13 @@ def test_components_of_a_long_path(spark):
 # WARC
 
 
-def test_warc_round_trip(spark):
+def test_warc_round_trip(spark, tmp_path):
     cases = [(5, "http://a/\r\nX: y", "same"), (2, None, "same"), (9, "u", None), (4, "v", ""), (None, "w", "same"), (7, "z", "é" * 300_000), (8, "q", "own"), (8, "q", "own")]
-    df = spark.createDataFrame(cases, "page_id long, url string, html string").repartition(2)
-    bundles = warc.write_bundles(df)
-    got = Counter((r["id"], bytes(r["payload"]) if r["record_type"] == "response" else None, r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.read_bundles(bundles).collect())
+    clash = "payload string, frame int, bundle string, id int"
+    df = spark.createDataFrame([(*c, "x", 1, "y", 0) for c in cases], f"page_id long, url string, html string, {clash}").repartition(2)
+    root = str(tmp_path / "a")
+    warc.write_archive(df, root)
+    got = Counter((r["id"], bytes(r["payload"]) if r["record_type"] == "response" else None, r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.read_archive(spark, root).collect())
     want = Counter()
     for i, _, t in cases:
         raw = (t or "").encode()
@@ -712,24 +715,42 @@ def test_warc_round_trip(spark):
         response = refers is None or i == refers
         want[i, raw if response else None, len(raw), warc.digest(raw), "response" if response else "revisit", None if response else refers] += 1
     assert got == want
-    for b in bundles.collect():
-        assert b["data"].find(warc.seek_table([])[:4]) > 0
-        sizes = warc.frames(bytes(b["data"]))
-        assert sum(s[1] for s in sizes) + 8 + 8 * len(sizes) + 9 == len(b["data"])
-    assert warc.write_bundles(df.where("false")).count() == 0
+    warc.write_archive(df.where("false"), str(tmp_path / "none"))
+    warc.write_archive(spark.createDataFrame([("a b/<ö>", "u", "x"), ("", "u", "x"), (None, "u", "y")], "page_id string, url string, html string"), str(tmp_path / "names"))
+    assert {(r["id"], r["refers_to"]) for r in warc.read_archive(spark, str(tmp_path / "names"), T.StringType()).collect()} == {("a b/<ö>", ""), ("", None), (None, None)}
+
+
+def test_warc_files_are_bundles_and_records_are_read_alone(spark, tmp_path):
+    rng = random.Random(3)
+    texts = {i: "".join(rng.choices("abcdefghij <>", k=20_000)) for i in range(200)}
+    root = str(tmp_path / "a")
+    warc.write_archive(spark.createDataFrame([(i, "u", t) for i, t in texts.items()], "page_id long, url string, html string").repartition(1), root)
+    files = [p for p in (tmp_path / "a").rglob("part-*")]
+    assert len(files) == 1 and files[0].parent.name.endswith(".warc.zst")
+    data = files[0].read_bytes()
+    read = lambda at, n: data[at : at + n]
+    sizes = warc.frames(read, len(data))
+    assert len(sizes) > 10 and sum(s[1] for s in sizes) + 8 + 8 * len(sizes) + 9 == len(data)
+    import zstandard
+
+    whole = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data), read_across_frames=True).read()
+    assert whole.count(b"WARC/1.1\r\n") == 200
+    indexed = warc.index(spark, root)
+    assert indexed.count() == 200
+    for i in (0, 77, 199):
+        (found,) = warc.read_record(spark, indexed, i)
+        assert found["payload"].decode() == texts[i] and found["bytes_read"] <= 9 + 8 * len(sizes) + max(s[1] for s in sizes) < len(data) / 5
+    assert warc.read_record(spark, indexed, 1000) == []
 
 
 def test_frames_can_be_read_alone():
     w = warc.BundleWriter(frame_bytes=300)
-    parts = [(i, warc.record("response", i, "u", b"x" * 100, "D", 100, None)) for i in range(7)]
-    for key, data in parts:
-        w.add(key, data)
+    parts = [warc.record("response", str(i), "u", b"x" * 100, "D", 100, None) for i in range(7)]
+    places = [w.add(p) for p in parts]
     data = w.close()
-    for place, (_, raw) in zip(w.records, parts):
-        assert warc.read_frame(data, place["frame"])[place["offset"] : place["offset"] + place["length"]] == raw
-    import zstandard
-
-    assert zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data), read_across_frames=True).read() == b"".join(d for _, d in parts)
+    read = lambda at, n: data[at : at + n]
+    for (frame, offset), raw in zip(places, parts):
+        assert warc.read_frame(read, warc.frames(read, len(data))[frame])[offset : offset + len(raw)] == raw
 
 
 # Nearest neighbours
