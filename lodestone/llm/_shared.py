@@ -37,11 +37,11 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[0]
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """``df`` written once to the shared folder and read back: lineage is cut."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "snappy").parquet(path)
+    df.write.option("compression", codec).parquet(path)
     _staged.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

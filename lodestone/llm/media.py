@@ -1,10 +1,12 @@
 """Netpbm and BMP columns: decode to numpy, area-resize, NPY tiles, difference hashes.
 
-Images travel as binary columns, so any store that Spark reads will do. Decoders
-take P1 to P6 and uncompressed 1, 8, 24 and 32 bit BMP. Resizing averages the
-exact source area of each target pixel with integral images (summed-area
-tables), in integers until the last division, so equal pixels give equal tiles
-on every machine.
+Images are stored as binary columns of a written table, so any store that Spark
+writes will do, and read back from there. Decoders take P1 to P6 and uncompressed
+1, 8, 24 and 32 bit BMP. Resizing averages the exact source area of each target
+pixel with integral images (summed-area tables) of one strip of rows after the
+other, in integers until the last division, so that equal pixels give equal tiles
+on every machine and a very long text costs a strip beyond its own bytes.
+``write_tiles`` puts tiles into NPY files, many to a file, with an index.
 
 Cases: null texts count as empty; an empty text still has one row of padding
 and so an image; null or damaged image bytes give null tiles and hashes and
@@ -19,10 +21,13 @@ import re
 import struct
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from ._shared import map_rows, strings
+from ._shared import map_rows, staged, strings, trimmed, write_files
 
 ROW_BYTES = 576  # 192 pixels of three samples: no row needs padding in either format
 
@@ -116,34 +121,54 @@ def decode(data: bytes) -> np.ndarray:
     return decode_bmp(data) if data[:2] == b"BM" else decode_netpbm(data)
 
 
-def _integral(axis_sum: np.ndarray, n: int, size: int) -> np.ndarray:
-    """Weighted area sums along the first axis, in units of 1/size of a source row."""
-    edges = np.arange(size + 1, dtype=np.int64) * n
+STRIP = 1 << 19  # samples that are widened at once
+
+
+def _integral(summed: np.ndarray, edges: np.ndarray, size: int) -> np.ndarray:
+    """Weighted area sums along the first axis between edges, in units of 1/size of a source row."""
     whole, part = edges // size, edges % size
-    ext = np.concatenate([axis_sum, axis_sum[-1:]])
-    at = ext[whole] * size + (ext[np.minimum(whole + 1, n)] - ext[whole]) * part.reshape((-1,) + (1,) * (axis_sum.ndim - 1))
+    ext = np.concatenate([summed, summed[-1:]])
+    at = ext[whole] * size + (ext[whole + 1] - ext[whole]) * part.reshape((-1,) + (1,) * (summed.ndim - 1))
     return np.diff(at, axis=0)
 
 
+def _sums(a: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros((1, *a.shape[1:]), np.int64), a.cumsum(axis=0, dtype=np.int64)])
+
+
 def area_resize(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
     """Mean over each target pixel's exact source area, rounded half up."""
     h, w = pixels.shape[:2]
-    grid = pixels.astype(np.int64)
-    summed = np.concatenate([np.zeros((1, *grid.shape[1:]), np.int64), grid.cumsum(axis=0)])
-    rows = _integral(summed, h, height)
-    across = np.swapaxes(rows, 0, 1)
-    summed = np.concatenate([np.zeros((1, *across.shape[1:]), np.int64), across.cumsum(axis=0)])
-    both = np.swapaxes(_integral(summed, w, width), 0, 1)
-    area = h * w
-    return ((both * 2 + area) // (2 * area)).astype(np.uint8)
+    out = np.empty((height, width, *pixels.shape[2:]), np.uint8)
+    edges, across = np.arange(height + 1, dtype=np.int64) * h, np.arange(width + 1, dtype=np.int64) * w
+    step = max(1, STRIP * height // max(1, pixels.size))
+    for i in range(0, height, step):
+        own = edges[i : i + step + 1]
+        top, end = own[0] // height, -(-own[-1] // height)
+        rows = 0
+        part = max(1, STRIP // max(1, pixels[0].size))
+        if end - top <= part or len(own) > 2:
+            rows = _integral(_sums(pixels[top:end]), own - top * height, height)
+        else:  # one target row of very many source rows
+            for at in range(top, end, part):
+                upto = min(end, at + part)
+                inside = np.clip(own, at * height, upto * height) - at * height
+                rows = rows + _integral(_sums(pixels[at:upto]), inside, height)
+        both = np.swapaxes(_integral(_sums(np.swapaxes(rows, 0, 1)), across, width), 0, 1)
+        out[i : i + step] = (both * 2 + h * w) // (2 * h * w)
+    return out
 
 
 def grey(pixels: np.ndarray) -> np.ndarray:
     """Integer luma of three-plane pixels."""
     if pixels.ndim == 2:
         return pixels
-    p = pixels.astype(np.int64)
-    return ((299 * p[:, :, 0] + 587 * p[:, :, 1] + 114 * p[:, :, 2] + 500) // 1000).astype(np.uint8)
+    out = np.empty(pixels.shape[:2], np.uint8)
+    step = max(1, STRIP // max(1, pixels[0].size))
+    for at in range(0, len(pixels), step):
+        p = pixels[at : at + step].astype(np.uint32)
+        out[at : at + step] = (299 * p[:, :, 0] + 587 * p[:, :, 1] + 114 * p[:, :, 2] + 500) // 1000
+    return out
 
 
 def difference_hash(pixels: np.ndarray, side: int = 8) -> str:
@@ -179,7 +204,7 @@ def text_images(docs: DataFrame, text: str = "text", form: str = "netpbm") -> Da
 
         return step
 
-    return map_rows(docs, make, T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType()), keep=[c for c in docs.columns if c != text])
+    return map_rows(docs, make, T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType()), keep=[c for c in docs.columns if c != text], rows=128)
 
 
 def _read(data: bytes | None, side: int, samples: bool) -> tuple:
@@ -194,34 +219,60 @@ def _read(data: bytes | None, side: int, samples: bool) -> tuple:
 _TILE = [T.StructField("tile", T.BinaryType()), T.StructField("height", T.IntegerType()), T.StructField("width", T.IntegerType()), T.StructField("feature", T.StringType())]
 
 
-def tiles(images: DataFrame, media: str = "media", side: int = 32) -> DataFrame:
-    """Adds ``tile`` (NPY bytes of a side x side area-resized image), ``height``,
-    ``width`` and ``feature`` (difference hash)."""
+def tiles(images: DataFrame, media: str = "media", side: int = 32, samples: bool = False) -> DataFrame:
+    """Adds ``tile`` (NPY bytes of a side x side area-resized image), ``height``, ``width`` and
+    ``feature`` (difference hash); with ``samples``, the pixels that were read from the stored bytes."""
+    fields = [*_TILE, T.StructField("samples", T.BinaryType())] if samples else _TILE
 
     def make():
         def step(batch):
-            found = [_read(x, side, False) for x in batch.column(batch.schema.get_field_index(media)).to_pylist()]
-            return {f.name: [x[i] for x in found] for i, f in enumerate(_TILE)}
+            found = [_read(x, side, samples) for x in batch.column(batch.schema.get_field_index(media)).to_pylist()]
+            return {f.name: [x[i] for x in found] for i, f in enumerate(fields)}
 
         return step
 
-    return map_rows(images, make, *_TILE, rows=256)
+    return map_rows(images, make, *fields, rows=128)
 
 
 def text_tiles(docs: DataFrame, text: str = "text", form: str = "netpbm", side: int = 32) -> DataFrame:
-    """:func:`text_images` and :func:`tiles` in one pass, with ``samples``: the
-    pixels that were read back from the stored bytes."""
-    encode = encode_bmp if form == "bmp" else encode_netpbm
-    names = ("tile", "height", "width", "feature", "samples")
-
-    def make():
-        def step(batch):
-            found = [text_payload(t) for t in strings(batch, text)]
-            stored = [encode(payload_image(p)) for _, p in found]
-            read = [_read(x, side, True) for x in stored]
-            return {"n_bytes": [n for n, _ in found], "media": stored} | {k: [x[i] for x in read] for i, k in enumerate(names)}
-
-        return step
-
-    first = [T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())]
-    return map_rows(docs, make, *first, *_TILE, T.StructField("samples", T.BinaryType()), keep=[c for c in docs.columns if c != text], rows=128)
+    """Texts stored as images in a written table, and :func:`tiles` of what is read back from it."""
+    return tiles(staged(text_images(docs, text, form), "images", "zstd"), side=side, samples=True)
+
+
+def write_tiles(images: DataFrame, root: str, key: str = "doc_id", media: str = "media", side: int = 32, each: int = 1024) -> DataFrame:
+    """Tiles as NPY files below the new folder ``root``, of up to ``each`` tiles (n x side x side x 3).
+
+    Returns the index (key, stack, place, feature): a tile is row ``place`` of the
+    file in ``root/stack=<stack>``. Images that cannot be read have a null stack.
+    """
+    member = T.StructType([images.schema[key], T.StructField("place", T.IntegerType()), T.StructField("feature", T.StringType())])
+    schema = T.StructType([T.StructField("data", T.BinaryType()), T.StructField("members", T.ArrayType(member))])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        held: list[np.ndarray] = []
+        told: list[dict] = []
+
+        def stack():
+            data = npy_bytes(np.stack(held)) if held else None
+            return pa.RecordBatch.from_pylist([{"data": data, "members": told}], schema=arrow)
+
+        for batch in batches:
+            for k, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+                tile, _, _, feature, _ = _read(x.as_py(), side, False)
+                told.append({key: k, "place": None if tile is None else len(held), "feature": feature})
+                if tile is not None:
+                    own = np.load(io.BytesIO(tile))
+                    held.append(own if own.ndim == 3 else np.repeat(own[:, :, None], 3, axis=2))
+                if len(told) >= each:
+                    yield stack()
+                    held, told = [], []
+        if told:
+            yield stack()
+
+    stacks = images.select(key, media).mapInArrow(trimmed(run), schema)
+    name = F.when(F.col("data").isNotNull(), F.concat(F.lpad(F.hex(F.monotonically_increasing_id()), 16, "0"), F.lit(".npy")))
+    stacks = staged(stacks.withColumn("stack", name), "stacks")
+    write_files(stacks.where("stack is not null"), root, "stack", "data")
+    listed = stacks.select("stack", F.explode("members").alias("m"))
+    return listed.select(F.col("m")[key].alias(key), F.when(F.col("m.place").isNotNull(), F.col("stack")).alias("stack"), "m.place", "m.feature")

@@ -383,6 +383,49 @@ def test_text_tiles(spark, docs, rows, empty):
     assert [r["feature"] for r in media.tiles(broken).collect()] == [None, None]
 
 
+def test_resize_by_strips(monkeypatch):
+    rng = np.random.default_rng(5)
+    pictures = [rng.integers(0, 256, shape).astype(np.uint8) for shape in ((500, 12, 3), (7, 9), (64, 64, 3))]
+    whole = [(media.area_resize(p, 32, 32), media.grey(p), media.difference_hash(p)) for p in pictures]
+    for strip in (1, 50, 1000):
+        monkeypatch.setattr(media, "STRIP", strip)
+        for p, (small, luma, told) in zip(pictures, whole):
+            assert np.array_equal(media.area_resize(p, 32, 32), small) and np.array_equal(media.grey(p), luma) and media.difference_hash(p) == told
+
+
+def plain_hash(text):
+    """The difference hash of a text's image, pixel by pixel."""
+    raw = (text or "").encode()
+    raw += b"\xff" * (-len(raw) % 576 if raw else 576)
+    rows = len(raw) // 576
+    luma = [[(299 * raw[y * 576 + 3 * x] + 587 * raw[y * 576 + 3 * x + 1] + 114 * raw[y * 576 + 3 * x + 2] + 500) // 1000 for x in range(192)] for y in range(rows)]
+    over = lambda a, b, i, n, m: max(0, min(b * m, (i + 1) * n) - max(a * m, i * n))
+    cells = []
+    for i in range(8):
+        wide = [over(y, y + 1, i, rows, 8) for y in range(rows)]
+        line = [sum(k * luma[y][x] for y, k in enumerate(wide) if k) for x in range(192)]
+        cells.append([sum(line[x] * over(x, x + 1, j, 192, 9) for x in range(192)) for j in range(9)])
+    area = rows * 192
+    small = [[(2 * v + area) // (2 * area) for v in row] for row in cells]
+    bits = "".join(str(int(row[j] < row[j + 1])) for row in small for j in range(8))
+    return bytes(int(bits[i : i + 8], 2) for i in range(0, 64, 8)).hex()
+
+
+def test_features_by_brute_force(spark, docs, rows):
+    got = Counter((r["doc_id"], r["feature"]) for r in media.text_tiles(docs.select("doc_id", "text")).collect())
+    assert got == Counter((i, plain_hash(t)) for i, t in rows)
+
+
+def test_tiles_as_files(spark, docs, rows, tmp_path):
+    images = media.text_images(docs.select("doc_id", "text")).unionByName(spark.createDataFrame([(900, 0, bytearray(b"P6 9 9 255\nshort")), (901, 0, None)], "doc_id long, n_bytes long, media binary"))
+    root = str(tmp_path / "tiles")
+    listed = media.write_tiles(images, root, each=10).collect()
+    want = Counter((r["doc_id"], bytes(r["tile"]) if r["tile"] else None, r["feature"]) for r in media.tiles(images).collect())
+    held = {p.parent.name.removeprefix("stack="): np.load(io.BytesIO(p.read_bytes())) for p in (tmp_path / "tiles").rglob("part-*")}
+    assert Counter((r["doc_id"], media.npy_bytes(held[r["stack"]][r["place"]]) if r["stack"] else None, r["feature"]) for r in listed) == want
+    assert len(held) >= len(rows) // 10 and all(x.shape[1:] == (32, 32, 3) for x in held.values())
+
+
 # Language model
 
 
