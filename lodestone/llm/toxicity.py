@@ -145,7 +145,8 @@ def fit(rows: list[tuple[str | None, int]], dict_bytes: int = 4096, base_bytes:
     lead = packed([w for _, w in scored], dict_bytes)
     common = packed([w for w, _ in sorted(by[0].items(), key=lambda x: (-x[1], x[0])) if len(w) >= 4], len(lead))
     pieces = (b" ".join(found[i : i + 8]) for found, y in kept if not y for i in range(0, len(found), 8))
-    plain = heapq.nsmallest(base_pieces, pieces, key=lambda piece: (zlib.crc32(piece), piece))
+    drawn = heapq.nsmallest(base_pieces, ((zlib.crc32(piece), i, piece) for i, piece in enumerate(pieces)))
+    plain = [piece for _, _, piece in sorted(drawn, key=lambda x: x[1])]  # in the texts' order: the trainer looks at neighbours
     try:
         base = zs.train_dictionary(base_bytes, plain).as_bytes()
     except zs.ZstdError:  # too little text to train on
