@@ -13,8 +13,8 @@ import time
 from lodestone.plans import registry
 from lodestone.session import session
 
-HEADLINE = ["semantic_search", "semantic_search_15", "band_fusion", "similar_sites", "kmeans_assign", "cloud_pct", "erode15", "dehaze", "ssim_box", "hist_match", "change_events", "monthly_best", "earliest_change", "multiband_pivot", "review_ranked"]
-LLM = ["op2_best_fit_packing", "op4_toxicity", "op8_jaccard_join", "op9_warc"]
+HEADLINE = ["semantic_search", "semantic_search_15", "band_fusion", "similar_sites", "kmeans_assign", "cloud_pct", "erode15", "dehaze", "ssim_box", "hist_match", "invalid_mask", "built_mask", "standardise", "change_events", "monthly_best", "earliest_change", "multiband_pivot", "review_ranked"]
+LLM = ["op1_license_scan", "op2_best_fit_packing", "op3_personal_data", "op4_toxicity", "op5_media_columns", "op6_lm_scoring", "op7_mixing", "op8_jaccard_join", "op9_warc", "op10_nearest_neighbours"]
 
 
 def seconds(run) -> float:

@@ -9,6 +9,10 @@ from .functions import text
 from .functions.encoders import Encoder, HashedWords, encode
 from .operators import catalog, change, kernels, quality, raster, review, search
 
+# The wording of prompts, which the encoders' vectors depend on.
+ASKED = ("{query}, {hints}, high-resolution satellite imagery", "satellite view of {query}")
+LIKED, REFUSED = "satellite view of {label}, similar to confirmed sites", "satellite view of {label}"
+
 
 class Engine:
     """``tiles``: path, tile_id, placename, layer, acq_date, min_lon, min_lat, embedding."""
@@ -25,9 +29,9 @@ class Engine:
 
     def query_vector(self, query: str, hints: str, positive: list[str] = (), negative: list[str] = ()) -> list[float]:
         """Prompts of a query and of confirmed and rejected labels as one vector."""
-        asked = [f"{query}, {hints}, high-resolution satellite imagery", f"satellite view of {query}"]
-        liked = [f"satellite view of {p}, similar to confirmed sites" for p in positive[:3]]
-        refused = [f"satellite view of {n}" for n in negative[:3]]
+        asked = [p.format(query=query, hints=hints) for p in ASKED]
+        liked = [LIKED.format(label=p) for p in positive[:3]]
+        refused = [REFUSED.format(label=n) for n in negative[:3]]
         vectors = [list(map(float, v)) for v in self.encoder([*asked, *liked, *refused])]
         a, b = len(asked), len(asked) + len(liked)
         return self.spark.range(1).select(search.ensemble(vectors[:a], vectors[a:b], vectors[b:]).alias("v")).first()["v"]
