@@ -69,12 +69,10 @@ def standardise(pixels: DataFrame, template: int = 0) -> DataFrame:
     out = raster.enhance(raster.dehaze(pixels))
     chip = W.partitionBy(*raster.CHIP)
     for c in "rgb":
-        goal = raster.quantile_table(raster.cdf(pixels.where(F.col("t") == template), c, *raster.CHIP))
+        goal = raster.cdf(pixels.where(F.col("t") == template), c, *raster.CHIP)
         share = F.count("*").over(chip.orderBy(c)).cast("double") / F.count("*").over(chip)
-        alike = W.partitionBy(*raster.CHIP, c)  # a value is looked up once a chip
-        out = out.withColumns({"_q": share, "_first": F.row_number().over(alike.orderBy("y", "x"))}).join(goal, "tile_id")
-        out = out.withColumn("_m", F.when(F.col("_first") == 1, raster.at_quantile(F.col("_q")))).withColumn("_m", F.max("_m").over(alike))
-        out = out.select(*raster.CHIP, "y", "x", *(F.col("_m").alias(c) if d == c else d for d in "rgb"))
+        told = raster.at_quantiles(out.withColumn("q", share), goal)
+        out = told.select(*raster.CHIP, "y", "x", *(F.col("matched").alias(c) if d == c else d for d in "rgb"))
     for c in "rgb":
         out = raster.smooth(out, c, 30.0, 30.0)
     return out

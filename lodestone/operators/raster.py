@@ -244,22 +244,25 @@ def enhance(df: DataFrame, colour: float = 1.15, contrast: float = 1.10) -> Data
     return two.select(*CHIP, "y", "x", *(clip(F.col("m") + F.lit(contrast) * (F.col(c) - F.col("m"))).alias(c) for c in "rgb"))
 
 
-def quantile_table(goal: DataFrame) -> DataFrame:
-    """(tile_id, table) of a table of shares: 256 entries a tile at most."""
-    return goal.groupBy("tile_id").agg(F.array_sort(F.collect_list(F.struct("cdf", "v"))).alias("table"))
-
-
-def at_quantile(q: Column) -> Column:
-    """The value of ``table`` at a quantile, between neighbours by line."""
-    low = F.try_element_at(F.filter("table", lambda e: e["cdf"] <= q), F.lit(-1))
-    high = F.get(F.filter("table", lambda e: e["cdf"] >= q), F.lit(0))
+def at_quantiles(rows: DataFrame, goal: DataFrame) -> DataFrame:
+    """``rows`` (tile_id, q, ...) with ``matched``: the goal's value at quantile q, between neighbours by line.
+
+    The goal's shares stand among the rows in the order of q, and the nearest on
+    either side is carried along, so that each row costs a step and not a search.
+    """
+    marks = goal.select("tile_id", F.col("cdf").alias("q"), F.struct("cdf", "v").alias("_g"))
+    both = rows.withColumns({"_own": F.lit(True), "_g": F.lit(None).cast(marks.schema["_g"].dataType)}).unionByName(marks.withColumn("_own", F.lit(False)), allowMissingColumns=True)
+    line = W.partitionBy("tile_id")
+    near = {"_low": line.orderBy("q"), "_high": line.orderBy(F.desc("q"))}
+    both = both.withColumns({name: F.last("_g", ignorenulls=True).over(w.rangeBetween(W.unboundedPreceding, W.currentRow)) for name, w in near.items()}).where("_own")
+    q, low, high = F.col("q"), F.col("_low"), F.col("_high")
     ends = F.when(low.isNull(), high["v"].cast("double")).when(high.isNull() | (high["cdf"] == low["cdf"]), low["v"].cast("double"))
     between = low["v"] + (q - low["cdf"]) * (high["v"] - low["v"]) / (high["cdf"] - low["cdf"])
-    return F.floor(F.coalesce(ends, between) + F.lit(1e-9)).cast("int")
+    return both.select(*rows.columns, F.floor(F.coalesce(ends, between) + F.lit(1e-9)).cast("int").alias("matched"))
 
 
 def match_histogram(df: DataFrame, column: str, source: int = 1, template: int = 0) -> DataFrame:
     """Each source value with the template's value at its quantile."""
     both = cdf(df, column, *CHIP)
-    goal = quantile_table(both.where(F.col("t") == template))
-    return both.where(F.col("t") == source).join(goal, "tile_id").select("tile_id", "v", at_quantile(F.col("cdf")).alias("matched"))
+    rows = both.where(F.col("t") == source).select("tile_id", "v", F.col("cdf").alias("q"))
+    return at_quantiles(rows, both.where(F.col("t") == template)).drop("q")
