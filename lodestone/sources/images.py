@@ -63,3 +63,21 @@ def tiff_bounds(data: bytes) -> tuple[float, float, float, float] | None:
         return west, north - height * scale[1], west + width * scale[0], north
     except (KeyError, IndexError, struct.error):
         return None
+
+
+BOUNDS = ("min_lon", "min_lat", "max_lon", "max_lat")
+
+
+def bounds(spark: SparkSession, root: str, pattern: str = "*.tif*") -> DataFrame:
+    """(path, filename, min_lon, min_lat, max_lon, max_lat) of GeoTIFFs below a folder; null where a file tells none."""
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in ("path", "filename")] + [T.StructField(c, T.DoubleType()) for c in BOUNDS])
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            found = [tiff_bounds(x.as_py()) or (None,) * 4 for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([f[i] for f in found], pa.float64()) for i in range(4))], names=schema.names)
+
+    return read.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("filename"), "content").mapInArrow(run, schema)

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CRS84 = "urn:ogc:def:crs:OGC:1.3:CRS84"
 
@@ -26,3 +27,16 @@ def collection(features: DataFrame, column: str = "feature", order: str | None =
     body = F.array_join(F.transform(held, lambda e: e["f"]), ",")
     head = F.lit('{"type":"FeatureCollection","crs":{"type":"name","properties":{"name":"' + CRS84 + '"}},"features":[')
     return features.agg(F.concat(head, body, F.lit("]}")).alias("geojson"))
+
+
+AUDIT = T.StructType([T.StructField("id", T.StringType()), T.StructField("at", T.LongType()), T.StructField("decision", T.StringType()), T.StructField("note", T.StringType())])
+
+
+def append_audit(decisions: DataFrame, path: str) -> None:
+    """Decisions as lines of JSON; what is there stays, so the log is the history."""
+    decisions.select(*(F.col(f.name).cast(f.dataType) if f.name in decisions.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in AUDIT)).write.mode("append").json(path)
+
+
+def read_audit(spark: SparkSession, path: str) -> DataFrame:
+    """All decisions ever appended; feed them to ``review.state``."""
+    return spark.read.schema(AUDIT).json(path)

@@ -35,13 +35,18 @@ def test_chips(spark, tmp_path):
     assert images.files(spark, str(tmp_path)).count() == 2
 
 
-def test_tiff_bounds():
+def test_tiff_bounds(spark, tmp_path):
     scale, tie = struct.pack("<3d", 0.001, 0.002, 0), struct.pack("<6d", 0, 0, 0, 80.3, 26.5, 0)
     tags = [(256, 4, 1, 50), (257, 4, 1, 25), (33550, 12, 3, 200), (33922, 12, 6, 224)]
     head = struct.pack("<2sHI", b"II", 42, 8) + struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", *t) for t in tags)
     found = images.tiff_bounds(head.ljust(200, b"\0") + scale + tie)
     assert np.allclose(found, (80.3, 26.45, 80.35, 26.5))
     assert images.tiff_bounds(b"nothing") is None
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "deep" / "a.tif").write_bytes(head.ljust(200, b"\0") + scale + tie)
+    (tmp_path / "b.tiff").write_bytes(b"nothing")
+    told = {r["filename"]: [r[c] for c in images.BOUNDS] for r in images.bounds(spark, str(tmp_path)).collect()}
+    assert np.allclose(told["a.tif"], (80.3, 26.45, 80.35, 26.5)) and told["b.tiff"] == [None] * 4
 
 
 def test_geojson(spark, tmp_path):
@@ -76,6 +81,16 @@ def test_review_takes_the_latest_decision(spark):
     assert {r["id"]: r["status"] for r in review.state(c, d).collect()} == {"c1": "rejected", "c2": "pending"}
 
 
+def test_audit_is_appended_and_resumed(spark, tmp_path):
+    path = str(tmp_path / "audit")
+    for at, decision in ((1, "confirmed"), (2, "rejected")):
+        sinks.append_audit(spark.createDataFrame([("c1", at, decision)], "id string, at int, decision string"), path)
+    held = sinks.read_audit(spark, path)
+    assert [(r["at"], r["decision"]) for r in held.orderBy("at").collect()] == [(1, "confirmed"), (2, "rejected")]
+    c = spark.createDataFrame([("c1", "x"), ("c2", "y")], "id string, label string")
+    assert {r["id"]: r["status"] for r in review.state(c, held).collect()} == {"c1": "rejected", "c2": "pending"}
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
