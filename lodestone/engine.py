@@ -65,13 +65,20 @@ class Engine:
         return self.tiles.unionByName(new, allowMissingColumns=True)
 
 
-def quality_pipeline(pixels: DataFrame, height: int, width: int) -> tuple[DataFrame, DataFrame]:
-    """(manifest, cleaned chips): gates, the clearest frame of a date as reference, standardisation."""
+def quality_pipeline(pixels: DataFrame, height: int, width: int, likeness: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(manifest, cleaned chips): gates, the clearest frame of a date as reference, standardisation.
+
+    Frames rank by clarity where ``likeness`` (tile_id, t, similarity to a clear
+    view) is given, those missing in it last; else by sharpness.
+    """
     pixels = raster.by_tile(pixels)
     gated = quality.verdict(quality.gates(pixels, height, width))
     sharp = quality.sharpness(pixels)
     passed = gated.where("status = 'passed'").join(sharp, ["tile_id", "t"])
-    best = quality.master_reference(passed, "t", "sharpness", "tile_id").select("tile_id", "t")
+    if likeness is not None:
+        passed = passed.join(likeness.select("tile_id", "t", "similarity"), ["tile_id", "t"], "left")
+        passed = passed.withColumn("score", quality.clarity(F.col("sharpness"), F.col("similarity")))
+    best = quality.master_reference(passed, "t", "sharpness" if likeness is None else "score", "tile_id").select("tile_id", "t")
     references = kernels.to_chips(pixels.join(best, ["tile_id", "t"], "left_semi"))
     kept = pixels.join(passed.select("tile_id", "t"), ["tile_id", "t"], "left_semi")
     return gated, kernels.standardised_chips(kept, references)

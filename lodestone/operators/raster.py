@@ -266,3 +266,9 @@ def match_histogram(df: DataFrame, column: str, source: int = 1, template: int =
     both = cdf(df, column, *CHIP)
     rows = both.where(F.col("t") == source).select("tile_id", "v", F.col("cdf").alias("q"))
     return at_quantiles(rows, both.where(F.col("t") == template)).drop("q")
+
+
+def thumbnail(pixels: DataFrame, side: int = 8, height: int = 32, width: int = 32) -> DataFrame:
+    """Chips made ``side`` pixels square by the means of boxes; boxes differ by a row where ``side`` does not divide an edge."""
+    y, x = (F.floor(F.col(c) * side / n).cast("int").alias(c) for c, n in (("y", height), ("x", width)))
+    return pixels.select(*CHIP, y, x, "r", "g", "b").groupBy(*CHIP, "y", "x").agg(*(F.avg(c).alias(c) for c in "rgb"))

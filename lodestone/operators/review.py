@@ -11,6 +11,16 @@ def ranked(candidates: DataFrame, k: int = 20, status: str = "pending") -> DataF
     return candidates.where(F.col("status") == status).orderBy(F.desc("confidence"), "seq").limit(k)
 
 
+def resolve(candidates: DataFrame, choice: str, status: str = "pending") -> DataFrame:
+    """The candidate that an analyst names: its place in the ranked queue, from 1, or its id in any case; no row for neither."""
+    named = choice.strip()
+    if not (named.isascii() and named.isdigit()):
+        return ranked(candidates.where(F.lower("id") == named.lower()), 1, status)
+    place = int(named)
+    page = ranked(candidates, place, status).withColumn("n", F.row_number().over(W.orderBy(F.desc("confidence"), "seq")))  # a page, as long as the place asked for
+    return page.where(F.col("n") == place).drop("n")
+
+
 def state(candidates: DataFrame, decisions: DataFrame) -> DataFrame:
     """Each candidate with its latest decision; decisions on unknown ids fall away."""
     last = decisions.groupBy("id").agg(F.max_by("decision", "at").alias("decision"), F.max("at").alias("decision_at"))

@@ -90,3 +90,9 @@ def mates(assigned: DataFrame, seed: int, key: str = "tile_id") -> DataFrame:
     """The other members of the seed's cluster."""
     own = assigned.where(F.col(key) == seed).select(F.col("cluster").alias("own")).limit(1)
     return assigned.join(F.broadcast(own), F.col("cluster") == F.col("own")).where(F.col(key) != seed).select(key, "cluster")
+
+
+def preview(assigned: DataFrame, key: str = "tile_id", k: int = 8) -> DataFrame:
+    """The first ``k`` members of each cluster by key, numbered from 1."""
+    rn = F.row_number().over(W.partitionBy("cluster").orderBy(key))
+    return assigned.withColumn("rn", rn).where(F.col("rn") <= k)

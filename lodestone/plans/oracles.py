@@ -211,6 +211,7 @@ _RAW: dict[str, tuple[str, tuple[str, ...]]] = {
     "sharpness": (f"SELECT tile_id, t, round(sharpness, 6) AS sharpness FROM ({SHARP})", ("pixels",)),
     "clarity": (f"SELECT tile_id, t, round(sharpness + 5 * (100 * (tile_id / 100::DOUBLE)), 6) AS clarity FROM ({SHARP})", ("pixels",)),
     "master_reference": (f"SELECT t, tile_id FROM (SELECT t, tile_id, row_number() OVER (PARTITION BY t ORDER BY round(sharpness + 5 * (100 * (tile_id / 100::DOUBLE)), 6) DESC, tile_id) AS rn FROM ({SHARP})) WHERE rn = 1", ("pixels",)),
+    "thumbnail": ("SELECT tile_id, t, y // 4 AS y, x // 4 AS x, round(avg(r), 6) AS r, round(avg(g), 6) AS g, round(avg(b), 6) AS b FROM (SELECT tile_id, t, CAST(y AS INT) AS y, CAST(x AS INT) AS x, r, g, b FROM pixels) GROUP BY 1, 2, 3, 4", ("pixels",)),
     "thumb_qa": ("""WITH d AS (SELECT tile_id, t, avg((r + g + b < 35)::INT::DOUBLE) AS dark, avg((r > 200 AND g > 200 AND b > 200)::INT::DOUBLE) AS bright FROM pixels GROUP BY ALL),
       ys AS (SELECT tile_id, t, count(*) FILTER (m < 35) AS dead_y FROM (SELECT tile_id, t, y, avg((r + g + b) / 3::DOUBLE) AS m FROM pixels GROUP BY ALL) GROUP BY ALL),
       xs AS (SELECT tile_id, t, count(*) FILTER (m < 35) AS dead_x FROM (SELECT tile_id, t, x, avg((r + g + b) / 3::DOUBLE) AS m FROM pixels GROUP BY ALL) GROUP BY ALL)
@@ -253,6 +254,8 @@ _RAW: dict[str, tuple[str, tuple[str, ...]]] = {
     "similar_sites": (f"WITH f AS ({FUSED}) SELECT base, round(raw, 6) AS score FROM (SELECT f.base, 100 * sum(f.x * s.x) AS raw FROM f JOIN f s ON s.base = 4 AND s.i = f.i WHERE f.base <> 4 GROUP BY 1) WHERE raw >= 5 ORDER BY raw DESC, base LIMIT 6", ()),
     "rocchio_query": ("""WITH v AS (SELECT vec_id, i - 1 AS i, embedding[i]::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS x FROM (SELECT *, unnest(generate_series(1, len(embedding))) AS i FROM embeddings WHERE vec_id < 6)),
       m AS (SELECT i, avg(x) FILTER (vec_id < 4) - 0.15::DOUBLE * avg(x) FILTER (vec_id >= 4) AS x FROM v GROUP BY i) SELECT i, round(x / sqrt(sum(x * x) OVER ()), 6) AS x FROM m""", ()),
+    "cluster_features": (f"WITH f AS ({FUSED}), s AS (SELECT base, round(raw, 6) AS score FROM (SELECT f.base, 100 * sum(f.x * s.x) AS raw FROM f JOIN f s ON s.base = 4 AND s.i = f.i WHERE f.base <> 4 GROUP BY 1) WHERE raw >= 5 ORDER BY raw DESC, base LIMIT 6) SELECT 'Similar_to_4' AS cluster_group, placename, CAST(base AS VARCHAR) AS filename, score AS match_confidence, round(min_lon, 6) AS west, CASE WHEN min_lon IS NULL THEN 0 ELSE 5 END::BIGINT AS corners FROM s JOIN tile_catalog ON tile_id = base * 3", ("tile_catalog",)),
+    "cluster_preview": (f"SELECT cluster, CAST(rn AS INT) AS rn, tile_id FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY tile_id) AS rn FROM ({ASSIGN})) WHERE rn <= 8", ("tile_catalog",)),
     "kmeans_assign": (ASSIGN, ("tile_catalog",)),
     "cluster_sizes": (f"SELECT cluster, count(*) AS n FROM ({ASSIGN}) GROUP BY 1", ("tile_catalog",)),
     "cluster_mates": (f"WITH a AS ({ASSIGN}) SELECT tile_id, cluster FROM a WHERE tile_id <> 10 AND cluster = (SELECT cluster FROM a WHERE tile_id = 10)", ("tile_catalog",)),
@@ -262,6 +265,7 @@ _RAW: dict[str, tuple[str, tuple[str, ...]]] = {
       SELECT place, item_id FROM s WHERE n <= 6 OR i IN (SELECT CAST(round_even(j * (s.n - 1) / 5::DOUBLE, 0) AS BIGINT) FROM range(0, 6) r(j))""", ("scenes",)),
     "remaining_scenes": ("SELECT item_id, place FROM scenes WHERE item_id % 3 <> 0 AND item_id % 5 <> 0", ("scenes",)),
     "review_ranked": ("SELECT id, round(confidence, 6) AS confidence FROM candidates WHERE status = 'pending' ORDER BY confidence DESC, seq LIMIT 20", ("candidates",)),
+    "review_resolve": ("WITH q AS (SELECT *, row_number() OVER (ORDER BY confidence DESC, seq) AS n FROM candidates WHERE status = 'pending') SELECT c.choice, q.id, round(q.confidence, 6) AS confidence FROM (VALUES ('1'), ('20'), ('33'), ('0'), ('C4'), ('c7'), ('c2'), ('zzz')) c(choice) JOIN q ON q.n = try_cast(c.choice AS BIGINT) OR lower(q.id) = lower(c.choice)", ("candidates",)),
     "review_state": ("WITH d AS (SELECT 'c' || CAST(seq % 50 + 1 AS VARCHAR) AS id, max(seq) AS at, arg_max(status, seq) AS decision FROM candidates WHERE status <> 'pending' GROUP BY 1) SELECT c.id, c.label, coalesce(d.decision, 'pending') AS status, d.at AS decision_at FROM candidates c LEFT JOIN d ON c.id = d.id", ("candidates",)),
     "feedback_terms": ("SELECT label, min(seq) AS seq FROM candidates WHERE status = 'confirmed' AND label <> '' GROUP BY 1 ORDER BY 2 LIMIT 3", ("candidates",)),
     "review_from_search": (f"SELECT 'c' || CAST(row_number() OVER (ORDER BY path) AS VARCHAR) AS id, round(least(1::DOUBLE, greatest(0::DOUBLE, score / 100)), 3) AS confidence, CASE WHEN right(path, 1) < '5' THEN 'confirmed' ELSE 'rejected' END AS status FROM ({SEARCH})", ("tile_catalog",)),

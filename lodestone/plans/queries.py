@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -303,6 +305,11 @@ def thumb_qa(spark, sf):
 # Rasters
 
 
+@query
+def thumbnail(spark, sf):
+    return _rounded(raster.thumbnail(_pixels(spark, sf)), "r", "g", "b")
+
+
 @query
 def ndvi(spark, sf):
     return view(spark, sf, "pixels").select("tile_id", "t", "y", "x", F.round(raster.ndvi(), 6).alias("ndvi"))
@@ -464,11 +471,12 @@ def change_events_strict(spark, sf):
 
 @query
 def change_timeline(spark, sf):
+    """Features of events, the earliest pair of dates first."""
     found = kernels.change_shapes(view(spark, sf, "pixels"), strict=False, **LARGE).where("not is_global")
     west, south = F.lit(80.3) + F.lit(0.05) * F.pmod("tile_id", F.lit(25)), F.lit(26.4) + F.lit(0.05) * F.floor(F.col("tile_id") / 25)
     points = F.transform("contour", lambda p: F.struct((west + p["x"] * F.lit(0.05 / 256)).alias("lon"), (south + F.lit(0.05) - p["y"] * F.lit(0.05 / 256)).alias("lat")))
     feature = sinks.feature(geo.closed(points), event_type=F.col("category"), area_pixels=F.floor("area").cast("int"), from_date=F.col("t_1"), to_date=F.col("t_2"))
-    return found.select("tile_id", feature.alias("feature")).orderBy("tile_id", "feature")
+    return found.select("tile_id", "t_1", feature.alias("feature")).orderBy("t_1", "tile_id", "feature")
 
 
 @query
@@ -537,6 +545,19 @@ def rocchio_query(spark, sf):
     return spark.range(1).select(F.posexplode(vector).alias("i", "x")).select(F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))
 
 
+@query
+def cluster_features(spark, sf):
+    """Sites like a seed as features: group, place, score and the west of the first band's box (unknown where it is)."""
+    found = similar_sites(spark, sf)
+    first = view(spark, sf, "tile_catalog").where("tile_id % 3 = 0").select(F.floor(F.col("tile_id") / 3).cast("long").alias("base"), "placename", "min_lon", "min_lat")
+    held = found.join(first, "base")
+    box = (F.col("min_lon"), F.col("min_lat"), F.col("min_lon") + F.lit(0.045), F.col("min_lat") + F.lit(0.045))
+    told = held.withColumn("feature", sinks.feature(geo.ring(box), cluster_group=F.lit("Similar_to_4"), placename=F.col("placename"), filename=F.col("base").cast("string"), match_confidence=F.col("score")))
+    read = F.from_json("feature", "geometry struct<coordinates: array<array<array<double>>>>, properties struct<cluster_group: string, placename: string, filename: string, match_confidence: double>")
+    f = told.select(read.alias("f"))
+    return f.select("f.properties.*", F.round(F.col("f.geometry.coordinates")[0][0][0], 6).alias("west"), F.coalesce(F.array_size(F.col("f.geometry.coordinates")[0]), F.lit(0)).cast("long").alias("corners"))
+
+
 def _assigned(spark, sf):
     return search.assign(view(spark, sf, "tile_catalog"), _vector(spark, sf, *range(8)))
 
@@ -556,6 +577,11 @@ def cluster_mates(spark, sf):
     return search.mates(_assigned(spark, sf), 10)
 
 
+@query
+def cluster_preview(spark, sf):
+    return search.preview(_assigned(spark, sf)).select("cluster", "rn", "tile_id")
+
+
 @query
 def kmeans(spark, sf):
     return search.kmeans(view(spark, sf, "tile_catalog").select("tile_id", "embedding"))
@@ -593,6 +619,14 @@ def review_ranked(spark, sf):
     return _rounded(review.ranked(view(spark, sf, "candidates")).select("id", "confidence"), "confidence")
 
 
+@query
+def review_resolve(spark, sf):
+    """Candidates by place and by id, with a place past the queue and an id that isn't there."""
+    c = view(spark, sf, "candidates")
+    told = [review.resolve(c, choice).select(F.lit(choice).alias("choice"), "id", F.round("confidence", 6).alias("confidence")) for choice in ("1", "20", "33", "0", "C4", "c7", "c2", "zzz")]
+    return functools.reduce(DataFrame.unionByName, told)
+
+
 @query
 def review_state(spark, sf):
     c = view(spark, sf, "candidates")

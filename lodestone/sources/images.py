@@ -22,6 +22,12 @@ def files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     return read.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("filename"))
 
 
+def digests(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """(path, length, sha256) of every file below a folder; Spark's reader gives no row for an empty one."""
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
+    return read.select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+
 def to_pixels(images: DataFrame, *keep: str) -> DataFrame:
     """Pixel layout of decoded chips: (keep, y, x, r, g, b). For tests and aggregates."""
 

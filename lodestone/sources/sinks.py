@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,11 +23,12 @@ def write_features(features: DataFrame, path: str, column: str = "feature") -> N
     features.select(F.col(column).alias("value")).write.mode("overwrite").text(path)
 
 
-def collection(features: DataFrame, column: str = "feature", order: str | None = None) -> DataFrame:
-    """A FeatureCollection of a page of features as one row."""
+def collection(features: DataFrame, column: str = "feature", order: str | None = None, name: str | None = None) -> DataFrame:
+    """A FeatureCollection of a page of features as one row, with a name if there is one."""
     held = F.array_sort(F.collect_list(F.struct(F.col(order or column).alias("o"), F.col(column).alias("f"))))
     body = F.array_join(F.transform(held, lambda e: e["f"]), ",")
-    head = F.lit('{"type":"FeatureCollection","crs":{"type":"name","properties":{"name":"' + CRS84 + '"}},"features":[')
+    called = f'"name":{json.dumps(name)},' if name is not None else ""
+    head = F.lit('{"type":"FeatureCollection",' + called + '"crs":{"type":"name","properties":{"name":"' + CRS84 + '"}},"features":[')
     return features.agg(F.concat(head, body, F.lit("]}")).alias("geojson"))
 
 

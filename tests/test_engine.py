@@ -40,6 +40,17 @@ def test_quality_pipeline(spark):
     assert {(r["tile_id"], r["t"]) for r in clean.collect()} == passed and passed
 
 
+def test_quality_pipeline_ranks_by_clarity(spark):
+    pixels = view(spark, SF, "pixels").where("tile_id < 4")
+
+    def cleaned(liked):
+        likeness = spark.createDataFrame([(i, t, 1e6 if i == liked else 0.0) for i in range(4) for t in (0, 1)], "tile_id long, t int, similarity double")
+        return {(r["tile_id"], r["t"]): tuple(r) for r in quality_pipeline(pixels, 32, 32, likeness)[1].collect()}
+
+    one, other = cleaned(1), cleaned(2)
+    assert set(one) == set(other) and (1, 0) in one and one != other
+
+
 def test_change_pipeline(spark):
     events, legend, candidates = change_pipeline(view(spark, SF, "pixels"), strict=False, width=256, height=256, **queries.LARGE)
     rows = events.collect()

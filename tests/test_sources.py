@@ -1,5 +1,6 @@
 """Images, GeoTIFF headers, GeoJSON, the streaming index, entry points."""
 
+import hashlib
 import json
 import os
 import struct
@@ -100,3 +101,16 @@ def test_change_queries_find_shapes(spark):
     found = {n: entry.queries()[n](spark, "/root/testdata/sf0.001").collect() for n in ("change_events", "change_events_strict", "change_timeline", "search_geojson")}
     assert all(found.values())
     assert all(json.loads(r["feature"])["type"] == "Feature" for n in ("change_timeline", "search_geojson") for r in found[n])
+
+
+def test_digests_of_files(spark, tmp_path):
+    (tmp_path / "weights").mkdir()
+    (tmp_path / "weights" / "a.pt").write_bytes(b"abc")
+    (tmp_path / "weights" / "empty.pt").write_bytes(b"")
+    got = {r["path"].rsplit("/", 1)[1]: (r["length"], r["sha256"]) for r in images.digests(spark, str(tmp_path), "*.pt").collect()}
+    assert got == {n: (len(b), hashlib.sha256(b).hexdigest()) for n, b in (("a.pt", b"abc"),)}  # no row for an empty file
+
+
+def test_collection_has_its_name(spark):
+    told = spark.createDataFrame([('{"type":"Feature"}',)], "feature string")
+    assert json.loads(sinks.collection(told, name='Discovered "x"').first()["geojson"])["name"] == 'Discovered "x"'
