@@ -26,14 +26,25 @@ _AROUND = ((0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1))
 
 def box_extreme(m: np.ndarray, size: int, largest: bool) -> np.ndarray:
     """Sliding minimum or maximum over a square; cells outside are left out."""
-    pick, pad = (np.maximum, -np.inf) if largest else (np.minimum, np.inf)
-    half, out = size // 2, m.astype(np.float64)
+    pick, out = np.maximum if largest else np.minimum, m
+    if m.dtype.kind == "f":
+        pad = -np.inf if largest else np.inf
+    elif m.dtype.kind == "b":
+        pad = not largest
+    else:
+        pad = np.iinfo(m.dtype).min if largest else np.iinfo(m.dtype).max
+    half = size // 2
     for axis in (0, 1):
         width = [(0, 0), (0, 0)]
         width[axis] = (half, half)
-        wide = np.pad(out, width, constant_values=pad)
-        out = pick.reduce([np.take(wide, range(i, i + m.shape[axis]), axis) for i in range(size)])
-    return out.astype(m.dtype)
+        wide, n, held = np.pad(out, width, constant_values=pad), m.shape[axis], 1
+        part = lambda a, i, j: a[i:j] if axis == 0 else a[:, i:j]  # noqa: B023, E731
+        while held < size:  # each cell holds ``held`` cells from itself on; windows of up to twice that are two of them
+            step = min(held, size - held)
+            wide = pick(part(wide, 0, wide.shape[axis] - step), part(wide, step, wide.shape[axis]))
+            held += step
+        out = part(wide, 0, n)
+    return out
 
 
 def closing(m: np.ndarray, size: int) -> np.ndarray:
@@ -60,22 +71,25 @@ def equalise(grey: np.ndarray, clip: float = 3.0, grid: int = 8) -> np.ndarray:
     fx = np.clip((np.arange(w) + 0.5) * grid / w - 0.5, 0, grid - 1)
     y0, x0 = np.minimum(fy.astype(int), grid - 2) if grid > 1 else fy.astype(int), np.minimum(fx.astype(int), grid - 2) if grid > 1 else fx.astype(int)
     wy, wx = (fy - y0)[:, None], (fx - x0)[None, :]
-    at = lambda dy, dx: maps[np.minimum(y0 + dy, grid - 1)[:, None], np.minimum(x0 + dx, grid - 1)[None, :], grey]
+    flat, value = maps.ravel(), grey.astype(np.int64)
+    at = lambda dy, dx: flat.take((np.minimum(y0 + dy, grid - 1) * (grid * 256))[:, None] + (np.minimum(x0 + dx, grid - 1) * 256)[None, :] + value)
     out = (1 - wy) * ((1 - wx) * at(0, 0) + wx * at(0, 1)) + wy * ((1 - wx) * at(1, 0) + wx * at(1, 1))
     return np.clip(np.round(out), 0, 255).astype(np.uint8)
 
 
 def bilateral(grey: np.ndarray, size: int = 5, colour: float = 50.0, space: float = 50.0) -> np.ndarray:
     """Mean of near pixels of like value, weighted by distance and difference."""
-    half, g = size // 2, grey.astype(float)
-    wide = np.pad(g, half, mode="reflect")
+    half, g, (h, w) = size // 2, grey.astype(float), grey.shape
+    wide, value = np.pad(g, half, mode="reflect"), grey.astype(np.intp)
+    index = np.pad(value, half, mode="reflect") + 255
+    apart = np.arange(-255, 256).astype(float) ** 2
     total, weight = np.zeros_like(g), np.zeros_like(g)
     for dy in range(-half, half + 1):
         for dx in range(-half, half + 1):
             if dy * dy + dx * dx <= half * half:
-                near = wide[half + dy : half + dy + g.shape[0], half + dx : half + dx + g.shape[1]]
-                k = np.exp(-((near - g) ** 2) / (2 * colour**2) - (dy * dy + dx * dx) / (2 * space**2))
-                total += k * near
+                box = slice(half + dy, half + dy + h), slice(half + dx, half + dx + w)
+                k = np.exp(-apart / (2 * colour**2) - (dy * dy + dx * dx) / (2 * space**2)).take(index[box] - value)  # levels are few
+                total += k * wide[box]
                 weight += k
     return np.round(total / weight).astype(np.uint8)
 
@@ -145,9 +159,16 @@ def resize(a: np.ndarray, height: int, width: int) -> np.ndarray:
 
 def regions(mask: np.ndarray) -> list[np.ndarray]:
     """Pixels (y, x) of each 8-connected region, by union of runs of rows."""
-    root: list[int] = []
-    runs: list[tuple[int, int, int, int]] = []
-    last: list[tuple[int, int, int, int]] = []
+    cells = np.zeros((mask.shape[0], mask.shape[1] + 2), bool)
+    cells[:, 1:-1] = mask
+    rows, edge = np.nonzero(cells[:, 1:] != cells[:, :-1])  # a run of a row begins and ends at such a place
+    y, a, b = rows[::2], edge[::2], edge[1::2]
+    if not len(y):
+        return []
+    # A run meets those of the row above that end at or after its start and start at or before its end.
+    wide = cells.shape[1] + 1
+    low, high = np.searchsorted(y * wide + b, (y - 1) * wide + a), np.searchsorted(y * wide + a, (y - 1) * wide + b, side="right")
+    root = list(range(len(y)))
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -155,35 +176,33 @@ def regions(mask: np.ndarray) -> list[np.ndarray]:
             i = root[i]
         return i
 
-    for y, row in enumerate(mask):
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], row.astype(np.int8), [0]])))
-        now = []
-        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
-            own = len(root)
-            root.append(own)
-            for _, c, d, other in last:
-                if c <= b and a <= d:
-                    root[find(own)] = find(other)
-            now.append((y, a, b, own))
-        runs += now
-        last = now
-    parts: dict[int, list[np.ndarray]] = {}
-    for y, a, b, own in runs:
-        parts.setdefault(find(own), []).append(np.stack([np.full(b - a, y), np.arange(a, b)], axis=1))
-    return [np.concatenate(p) for p in parts.values()]
+    for own, (c, d) in enumerate(zip(low.tolist(), high.tolist())):
+        for other in range(c, d):
+            one, two = find(own), find(other)
+            root[max(one, two)] = min(one, two)
+    label = np.array([find(i) for i in range(len(y))])
+    size = b - a
+    pixel = np.arange(size.sum()) - np.repeat(size.cumsum() - size, size) + np.repeat(a, size)
+    pixels, label = np.stack([np.repeat(y, size), pixel], axis=1), np.repeat(label, size)
+    order = np.argsort(label, kind="stable")
+    return np.split(pixels[order], np.flatnonzero(np.diff(label[order])) + 1)
 
 
 def outline(pixels: np.ndarray) -> np.ndarray:
     """Outer boundary as (x, y), clockwise from the topmost-left pixel."""
-    inside = set(map(tuple, pixels.tolist()))
-    start = min(inside)
+    corner = pixels.min(0) - 1
+    height, width = (pixels.max(0) - corner + 2).tolist()
+    cells = np.zeros((height, width), np.uint8)
+    cells[pixels[:, 0] - corner[0], pixels[:, 1] - corner[1]] = 1
+    start = int(cells.argmax())
+    inside, steps = cells.tobytes(), [dy * width + dx for dy, dx in _AROUND]
+    turns = [[((came + turn) % 8, steps[(came + turn) % 8]) for turn in range(1, 9)] for came in range(8)]
     path, here, came = [start], start, 4  # came: direction towards the background we entered by
     first = None
     while True:
-        for turn in range(1, 9):
-            way = (came + turn) % 8
-            nxt = (here[0] + _AROUND[way][0], here[1] + _AROUND[way][1])
-            if nxt in inside:
+        for way, step in turns[came]:
+            nxt = here + step
+            if inside[nxt]:
                 break
         else:
             break
@@ -194,7 +213,8 @@ def outline(pixels: np.ndarray) -> np.ndarray:
             break
         path.append(nxt)
         here, came = nxt, (way + 4) % 8
-    return np.array([(x, y) for y, x in path], float)
+    y, x = np.divmod(np.array(path), width)
+    return np.stack([x + corner[1], y + corner[0]], axis=1).astype(float)
 
 
 def area_of(p: np.ndarray) -> float:
@@ -360,6 +380,40 @@ def _planes(row: dict, tail: str = "") -> np.ndarray:
     return np.frombuffer(row["data" + tail], np.uint8).reshape(row["height" + tail], row["width" + tail], -1).transpose(2, 0, 1)
 
 
+_PAIR = ("height", "width", "data", "height_2", "width_2", "data_2")
+
+
+def pair_shapes(batches, strict: bool, enlarge: int, aligned: bool):
+    """Rows of ``SHAPES`` from batches of pairs; a pair equal to the one before it takes over its shapes."""
+    arrow = to_arrow_schema(SHAPES)
+    last, found, out = None, [], []
+    for batch in batches:
+        for at in range(batch.num_rows):
+            if len(out) >= 512:
+                yield pa.RecordBatch.from_pylist(out, schema=arrow)
+                out = []
+            (row,) = batch.slice(at, 1).to_pylist()
+            own = {"tile_id": row["tile_id"], "t_1": row["t"], "t_2": row["t_2"]}
+            if (now := tuple(row[c] for c in _PAIR)) == last:
+                out += [own | f for f in found]
+                continue
+            one, two = _planes(row), _planes(row, "_2")
+            if one.shape != two.shape:
+                two = np.stack([resize(p, *one.shape[1:]) for p in two])
+            if aligned:
+                by = shift_between(*(p[:3].mean(axis=0) for p in (one, two)))
+                two = np.stack([moved(p, by) for p in two])
+            big = [p.repeat(enlarge, axis=1).repeat(enlarge, axis=2) for p in (one, two)]
+            chip = {f"{c}_{t}": plane for t, p in enumerate(big, 1) for c, plane in zip(("r", "g", "b", "nir"), p)}
+            last, found = now, [
+                {"category": s.category, "area": s.area, **dict(zip("xywh", s.box)), "solidity": s.solidity, "extent": s.extent, "aspect": s.aspect, "compactness": s.compactness,
+                 "center_x": s.centre[0], "center_y": s.centre[1], "is_linear": s.is_linear, "is_global": s.is_global, "contour": None if s.contour is None else [{"x": int(a), "y": int(b)} for a, b in s.contour]}
+                for s in events(chip, strict)
+            ]
+            out += [own | f for f in found]
+    yield pa.RecordBatch.from_pylist(out, schema=arrow)
+
+
 def change_shapes(pixels: DataFrame, strict: bool = True, enlarge: int = 1, aligned: bool = False) -> DataFrame:
     """Measured shapes of all pairs of consecutive dates of every tile.
 
@@ -367,31 +421,17 @@ def change_shapes(pixels: DataFrame, strict: bool = True, enlarge: int = 1, alig
     one, and a pair is one step of work: no date meets all others. A second chip
     of another size is resized to the first; ``aligned`` moves it onto the first;
     ``enlarge`` repeats every pixel so many times each way.
+
+    Equal pairs have equal shapes. So pairs are brought together by a hash of their
+    pixels and sorted by it, and a pair that equals the one before it, byte for byte,
+    takes over its shapes; only these are held.
     """
     chips = to_chips(raster.by_tile(pixels), ("r", "g", "b", "nir"))
     line = W.partitionBy("tile_id").orderBy("t")
     pairs = chips.withColumns({f"{c}_2": F.lead(c).over(line) for c in ("t", "height", "width", "data")}).where("t_2 is not null")
-
-    def run(batches):
-        for batch in batches:
-            for at in range(batch.num_rows):
-                (row,) = batch.slice(at, 1).to_pylist()
-                one, two = _planes(row), _planes(row, "_2")
-                if one.shape != two.shape:
-                    two = np.stack([resize(p, *one.shape[1:]) for p in two])
-                if aligned:
-                    by = shift_between(*(p[:3].mean(axis=0) for p in (one, two)))
-                    two = np.stack([moved(p, by) for p in two])
-                big = [p.repeat(enlarge, axis=1).repeat(enlarge, axis=2) for p in (one, two)]
-                chip = {f"{c}_{t}": plane for t, p in enumerate(big, 1) for c, plane in zip(("r", "g", "b", "nir"), p)}
-                rows = [
-                    {"tile_id": row["tile_id"], "t_1": row["t"], "t_2": row["t_2"], "category": s.category, "area": s.area, **dict(zip("xywh", s.box)), "solidity": s.solidity, "extent": s.extent, "aspect": s.aspect, "compactness": s.compactness,
-                     "center_x": s.centre[0], "center_y": s.centre[1], "is_linear": s.is_linear, "is_global": s.is_global, "contour": None if s.contour is None else [{"x": int(a), "y": int(b)} for a, b in s.contour]}
-                    for s in events(chip, strict)
-                ]
-                yield pa.RecordBatch.from_pylist(rows, schema=to_arrow_schema(SHAPES))
-
-    return pairs.mapInArrow(run, SHAPES)
+    parts = int(pixels.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed number: small chips are much work
+    pairs = pairs.withColumn("h", F.xxhash64(*_PAIR)).repartition(parts, "h").sortWithinPartitions("h")
+    return pairs.mapInArrow(lambda batches: pair_shapes(batches, strict, enlarge, aligned), SHAPES)
 
 
 def patch_similarity(a: np.ndarray, b: np.ndarray, size: int = 7) -> float | None:
