@@ -7,13 +7,14 @@ import pytest
 from lodestone.operators import kernels as k
 
 
-def test_equal_pairs_are_measured_once(monkeypatch):
+@pytest.mark.parametrize("strict", [False, True])
+def test_equal_pairs_are_measured_once(monkeypatch, strict):
     rng = np.random.default_rng(8)
     one, two, three = (rng.integers(0, 256, (32, 32, 4)).astype(np.uint8).tobytes() for _ in range(3))
     rows = [{"tile_id": i, "t": 0, "t_2": 1, "height": 32, "width": 32, "data": one, "height_2": 32, "width_2": 32, "data_2": d} for i, d in enumerate([two, two, two, three, two])]
     calls, events = [], k.events
     monkeypatch.setattr(k, "events", lambda *a: calls.append(1) or events(*a))
-    found = lambda rows: pa.Table.from_batches(k.pair_shapes([pa.RecordBatch.from_pylist(rows)], False, 8, False)).to_pylist()
+    found = lambda rows: pa.Table.from_batches(k.pair_shapes([pa.RecordBatch.from_pylist(rows)], strict, 8, False)).to_pylist()
     together = found(rows)
     assert len(calls) == 3  # two, three and two again
     alone = [r for row in rows for r in found([row])]
