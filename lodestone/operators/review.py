@@ -36,7 +36,8 @@ def feedback_terms(candidates: DataFrame, status: str, k: int = 3) -> DataFrame:
 def from_search(results: DataFrame, order: str, answer: str) -> DataFrame:
     """Candidates from a page of answered results: "y" confirms, all else rejects; confidence is the score as a share."""
     number = F.row_number().over(W.orderBy(order))  # a page of results, not a table
-    confidence = F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("score") / 100)), 3)
+    share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("score") / 100))
+    confidence = F.round(share * 1000) / 1000  # as SQL engines round a double; to three places Spark rounds its decimal text, which parts on halves
     return results.withColumn("n", number).select(F.concat(F.lit("c"), F.col("n").cast("string")).alias("id"), confidence.alias("confidence"), F.when(F.lower(F.trim(answer)) == "y", "confirmed").otherwise("rejected").alias("status"))
 
 
