@@ -9,6 +9,7 @@ is meant to be bit-equal to any library.
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -426,7 +427,7 @@ def change_shapes(pixels: DataFrame, strict: bool = True, enlarge: int = 1, alig
     pixels and sorted by it, and a pair that equals the one before it, byte for byte,
     takes over its shapes; only these are held.
     """
-    chips = to_chips(raster.by_tile(pixels), ("r", "g", "b", "nir"))
+    chips = to_chips(pixels, ("r", "g", "b", "nir"))
     line = W.partitionBy("tile_id").orderBy("t")
     pairs = chips.withColumns({f"{c}_2": F.lead(c).over(line) for c in ("t", "height", "width", "data")}).where("t_2 is not null")
     parts = int(pixels.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed number: small chips are much work
@@ -468,7 +469,7 @@ def first_dates(pixels: DataFrame, events: DataFrame, around: int = 40, limit: f
             out.append({**e, "first_t": first})
         return pa.Table.from_pylist(out, schema=to_arrow_schema(schema))
 
-    chips = to_chips(raster.by_tile(pixels))
+    chips = to_chips(pixels)
     places = events.where("not is_global").select("tile_id", "center_x", "center_y")
     return chips.groupBy("tile_id").cogroup(places.groupBy("tile_id")).applyInArrow(run, schema)
 
@@ -540,15 +541,50 @@ def standardised_chips(pixels: DataFrame, references: DataFrame, most: int = 64)
     return pixels.select("tile_id", "t", "y", "x", "r", "g", "b").join(told, "t").groupBy("tile_id", "t").applyInArrow(one, CHIP_BYTES)
 
 
-def to_chips(pixels: DataFrame, channels: tuple[str, ...] = ("r", "g", "b")) -> DataFrame:
-    """Chips from pixel layout, one row a tile and date; channels are interleaved."""
-    arrow = to_arrow_schema(CHIP_BYTES)
+_BLOCK, _AT_ONCE = 64, 6  # pixels of a block's side, channels beside a place in a long: six bits each for y and x above six bytes
 
-    def one(table: pa.Table) -> pa.Table:
-        y, x = table.column("y").to_numpy(), table.column("x").to_numpy()
-        chip = np.zeros((int(y.max()) + 1, int(x.max()) + 1, len(channels)), np.uint8)
-        chip[y, x] = np.stack([table.column(c).to_numpy() for c in channels], axis=1)
-        row = {"tile_id": table.column("tile_id")[0].as_py(), "t": table.column("t")[0].as_py(), "height": chip.shape[0], "width": chip.shape[1], "data": chip.tobytes()}
-        return pa.Table.from_pylist([row], schema=arrow)
 
-    return pixels.select(F.col("tile_id").cast("long").alias("tile_id"), F.col("t").cast("int").alias("t"), "y", "x", *channels).groupBy("tile_id", "t").applyInArrow(one, CHIP_BYTES)
+def _assembled(batches, channels: int):
+    """Rows of ``CHIP_BYTES`` from blocks (tile_id, t, row, column, lists of packed pixels) in the order of tile and date."""
+    arrow, key, held, out = to_arrow_schema(CHIP_BYTES), None, [], []
+
+    def chip() -> dict:
+        y = [by * _BLOCK + (p >> 54) for by, _, _, p in held]
+        x = [bx * _BLOCK + (p >> 48 & 63) for _, bx, _, p in held]
+        a = np.zeros((max(int(v.max()) for v in y) + 1, max(int(v.max()) for v in x) + 1, channels), np.uint8)
+        for own_y, own_x, (_, _, first, p) in zip(y, x, held):
+            n = min(_AT_ONCE, channels - first)
+            a[own_y, own_x, first : first + n] = p.view(np.uint8).reshape(-1, 8)[:, :n]
+        return {"tile_id": key[0], "t": key[1], "height": a.shape[0], "width": a.shape[1], "data": a.tobytes()}
+
+    for batch in batches:
+        lists = [(c.offsets.to_numpy(), c.values.to_numpy()) for c in batch.columns[4:]]
+        for at, (tile, t, by, bx) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:4]))):
+            if held and (tile, t) != key:
+                out.append(chip())
+                held = []
+                if len(out) >= 64:
+                    yield pa.RecordBatch.from_pylist(out, schema=arrow)
+                    out = []
+            key = tile, t
+            held += [(by, bx, i * _AT_ONCE, values[ends[at] : ends[at + 1]]) for i, (ends, values) in enumerate(lists)]
+    if held:
+        out.append(chip())
+    yield pa.RecordBatch.from_pylist(out, schema=arrow)
+
+
+def to_chips(pixels: DataFrame, channels: tuple[str, ...] = ("r", "g", "b")) -> DataFrame:
+    """Chips from pixel layout, one row a tile and date; channels are interleaved.
+
+    Pixels are gathered into blocks of 64 x 64 where they are read, one long each,
+    so that blocks and not single pixels are exchanged and handed to Python. A task
+    that meets some hundred blocks at once sorts its pixels; only blocks are held.
+    """
+    level = lambda c: F.coalesce(F.col(c).cast("long").bitwiseAND(F.lit(255)), F.lit(0))
+    y, x = F.col("y").cast("int"), F.col("x").cast("int")
+    place = F.shiftleft(y.bitwiseAND(F.lit(_BLOCK - 1)).cast("long"), 54).bitwiseOR(F.shiftleft(x.bitwiseAND(F.lit(_BLOCK - 1)).cast("long"), 48))
+    packed = [functools.reduce(lambda p, c: p.bitwiseOR(F.shiftleft(level(c[1]), 8 * c[0])), enumerate(channels[i : i + _AT_ONCE]), place).alias(f"p{i}") for i in range(0, len(channels), _AT_ONCE)]
+    flat = pixels.select(F.col("tile_id").cast("long").alias("tile_id"), F.col("t").cast("int").alias("t"), F.shiftright(y, 6).alias("by"), F.shiftright(x, 6).alias("bx"), *packed)
+    blocks = flat.groupBy("tile_id", "t", "by", "bx").agg(*(F.collect_list(c).alias(c) for c in flat.columns[4:]))
+    n = len(channels)
+    return blocks.repartition("tile_id", "t").sortWithinPartitions("tile_id", "t").mapInArrow(lambda batches: _assembled(batches, n), CHIP_BYTES)
